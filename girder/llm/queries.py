@@ -6,8 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has_boxes, is_violated
+from ..session import cut_lineage
 from ..tables import CLASSES, METADATA, RULES, table
-from . import cooccurrence, mixing, sampling, tokenizing
+from . import cooccurrence, mixing, sampling, tokenizing, truncation
+
+
+# p2 and p6: defective and truncated answers
+def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """prediction_id, source, defects, truncated of every answer."""
+    prompts = table(spark, folder, "prompt_text").select("prompt_id", "prompt", "lang")
+    outputs = table(spark, folder, "predictions").select("prediction_id", "prompt_id", "source", "raw_output").join(prompts, "prompt_id", "left")
+    return truncation.judged(cut_lineage(truncation.examined(outputs, "prediction_id")), "prediction_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    every = F.concat("defects", F.when(F.col("truncated"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")))
+    return judged_answers(spark, folder).select("prediction_id", F.explode(every).alias("defect"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return judged_answers(spark, folder).where("truncated").select("prediction_id")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated_by_source(judged_answers(spark, folder))
 
 
 # p4: sample by target proportions
@@ -86,6 +108,9 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,
