@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import has_boxes, is_violated
 from ..session import cut_lineage
 from ..tables import CLASSES, METADATA, RULES, table
-from . import cooccurrence, mixing, sampling, tokenizing, truncation
+from . import cooccurrence, mixing, overlap, sampling, tokenizing, truncation
 
 
 # p2 and p6: defective and truncated answers
@@ -32,6 +32,24 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_by_source(judged_answers(spark, folder))
 
 
+# p3: overlaps across splits
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.split_overlaps(table(spark, folder, "raw_sample"), "sample_id", "split", "image_id", "image_caption")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split and source of the evaluation record: its records, those also in training, and the pairs."""
+    pairs = _overlaps(spark, folder).groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    rows = table(spark, folder, "raw_sample").where("split in ('val', 'test')").select("sample_id", "split", "source")
+    return rows.join(pairs, rows["sample_id"] == pairs["eval_id"], "left").groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("records"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
+
+
 # p4: sample by target proportions
 def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, sampling.SamplePlan]:
     samples = table(spark, folder, "raw_sample")
@@ -109,6 +127,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_counts": p3_counts,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p4_found": p4_found,
