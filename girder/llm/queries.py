@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import has_boxes, is_violated
 from ..session import cut_lineage
 from ..tables import CLASSES, METADATA, RULES, table
-from . import cooccurrence, mixing, overlap, sampling, tokenizing, truncation
+from . import cooccurrence, mixing, overlap, sampling, subjects, tokenizing, truncation
 
 
 # p2 and p6: defective and truncated answers
@@ -125,6 +125,22 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1].withColumn("share", F.round("share", 6))
 
 
+# p10: subject areas
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.assigned(table(spark, folder, "documents"), table(spark, folder, "doc_label"), table(spark, folder, "subject_area"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per subject: documents that deal with it, their share of all documents, and its sentences in them."""
+    documents = table(spark, folder, "documents").count()
+    found = _subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+    return found.withColumn("share", F.col("documents") / F.lit(max(documents, 1)))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -137,6 +153,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
 }
