@@ -27,16 +27,18 @@ from .answers import FUNCTION_WORDS
 #: Bounds of the lexicon's training sample and size. Documents beyond are left out in the order of a hash.
 MOST_LABELLED, MOST_FEATURES = 20_000, 100_000
 SHARE = 0.2
-#: Log odds between the two best subjects from which a lexicon vote is sure, or a vote at all.
-SURE, UNSURE = 4.0, 1.0
+#: Log odds between the two best subjects from which a lexicon vote is certain, sure, or a vote at all.
+CERTAIN, SURE, UNSURE = 8.0, 4.0, 1.0
 ABSTAIN, NOTHING = -1, 0  # votes; subjects are numbered from 1 in alphabetical order
 _LANGUAGES = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-VOTERS = ("sure", "unsure", "section", "source_vote", "address_vote")
+VOTERS = ("certain", "sure", "unsure", "section", "source_vote", "address_vote")
 
+#: Share of sentences without a subject that the lexicon's model supposes in every document.
+NO_SUBJECT = 0.3
 #: Accuracies the model starts from, by voter, and how many votes a class this start is worth.
-FIRST_ACCURACY, PRIOR_VOTES = (0.97, 0.6, 0.6, 0.3, 0.2), 50.0
+FIRST_ACCURACY, PRIOR_VOTES = (0.995, 0.95, 0.6, 0.6, 0.3, 0.2), 50.0
 
-_BLOCK = re.compile(r"```.*?(?:```|$)|<[^<>]{1,60}>|^\s*[{\[].*[}\]]\s*$", re.S | re.M)
+_BLOCK = re.compile(r"```.*?(?:```|$)|<[^<>]{1,60}>|^[ \t]*\{[^\n]*\}[ \t]*$", re.S | re.M)
 _HEADING = re.compile(r"^\s*#.*$", re.M)
 _LINE = re.compile(r"[\r\n]+|(?<=[.!?。！？])[\s\u200b]+|\s(?=-\s)")
 _ITEM_END = re.compile(r"(?<=[a-z0-9)])\s+(?=[A-Z][a-z]*\s[a-z])")
@@ -122,14 +124,13 @@ def _learn_part(docs: list[list[list[str]]], labels: list[set[str]], subjects: l
     if not flat:
         return {}, np.zeros((0, k))
     prior = np.full((len(docs), k), 0.05)
-    prior[:, 0] = 1.0
     for d, own in enumerate(labels):
         for s in own:
             if s in column:
                 prior[d, column[s]] = 3.0
     doc, cell, sentence = np.array(doc_of), np.array(flat), np.repeat(np.arange(len(sizes)), sizes)
-    share = prior / prior.sum(axis=1, keepdims=True)
-    responsibility = share[doc]
+    share = _with_none(prior)
+    responsibility = _first_guess(share[doc], cell, sentence, len(kept))
     for _ in range(rounds):
         counts = np.zeros((len(kept), k))
         for c in range(k):
@@ -147,12 +148,33 @@ def _learn_part(docs: list[list[list[str]]], labels: list[set[str]], subjects: l
         share = prior.copy()
         for c in range(k):
             share[:, c] += np.bincount(doc, responsibility[:, c], len(docs))
-        share /= share.sum(axis=1, keepdims=True)
+        share = _with_none(share)
     return index, log_theta
 
 
-def voted(votes: list[list[tuple[int, float]]]) -> list[tuple[int, int, int]]:
-    """(sure, unsure, section) votes of each sentence from the lexicon's votes by section.
+def _first_guess(share: np.ndarray, cell: np.ndarray, sentence: np.ndarray, size: int) -> np.ndarray:
+    """Responsibilities to start from: a sentence none of whose features leans to a subject likely has none."""
+    k = share.shape[1]
+    counts = np.stack([np.bincount(cell, share[sentence, c], size) for c in range(1, k)], axis=1)
+    overall = counts.sum(axis=0) / counts.sum()
+    lean = (counts + 5.0 * overall) / (counts.sum(axis=1, keepdims=True) + 5.0) / overall
+    most = np.zeros(len(share))
+    np.maximum.at(most, sentence, lean.max(axis=1)[cell])
+    none = np.where(most < 2.0, 0.9, 0.1)[:, None]
+    return np.hstack([none, share[:, 1:] / share[:, 1:].sum(axis=1, keepdims=True) * (1 - none)])
+
+
+def _with_none(weights: np.ndarray) -> np.ndarray:
+    """Mixing shares of the subjects by weight, beside a fixed share of sentences without subject."""
+    share = weights.copy()
+    share[:, 0] = 0.0
+    share *= (1 - NO_SUBJECT) / share.sum(axis=1, keepdims=True)
+    share[:, 0] = NO_SUBJECT
+    return share
+
+
+def voted(votes: list[list[tuple[int, float]]]) -> list[tuple[int, int, int, int]]:
+    """(certain, sure, unsure, section) votes of each sentence from the lexicon's votes by section.
 
     The section votes for the subject that most of its other sentences are sure of, if any.
     """
@@ -160,41 +182,43 @@ def voted(votes: list[list[tuple[int, float]]]) -> list[tuple[int, int, int]]:
     for section in votes:
         tally = Counter(v for v, lead in section if v > NOTHING and lead >= SURE)
         for v, lead in section:
-            sure = v if lead >= SURE else ABSTAIN
-            unsure = v if sure == ABSTAIN and lead >= UNSURE else ABSTAIN
-            others = tally if sure <= NOTHING else tally - Counter([sure])
+            certain = v if lead >= CERTAIN else ABSTAIN
+            sure = v if SURE <= lead < CERTAIN else ABSTAIN
+            unsure = v if UNSURE <= lead < SURE else ABSTAIN
+            others = tally if v <= NOTHING or lead < SURE else tally - Counter([v])
             top = others.most_common(2)
             around = top[0][0] if top and (len(top) == 1 or top[0][1] > top[1][1]) else ABSTAIN
-            out.append((sure, unsure, around))
+            out.append((certain, sure, unsure, around))
     return out
 
 
 def sentence_votes(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, source, address and the distinct vote triples of its sentences with their counts.
+    """doc_id, source, address and the distinct votes of its sentences with their counts.
 
     Null, empty and blank texts have no sentences and give no row.
     """
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # bounded by MOST_FEATURES
-    kind = pa.list_(pa.struct([("sure", pa.int32()), ("unsure", pa.int32()), ("section", pa.int32()), ("n", pa.int64())]))
+    kind = pa.list_(pa.struct([("certain", pa.int32()), ("sure", pa.int32()), ("unsure", pa.int32()), ("section", pa.int32()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = shared.value.vote
         for batch in batches:
             rows = []
             for text in batch.column(3).to_pylist():
-                triples = Counter(voted([[vote(s) for s in section] for section in sentences(text)]))
-                rows.append([{"sure": a, "unsure": b, "section": c, "n": n} for (a, b, c), n in triples.items()])
+                tuples = Counter(voted([[vote(s) for s in section] for section in sentences(text)]))
+                rows.append([{"certain": a, "sure": b, "unsure": c, "section": d, "n": n} for (a, b, c, d), n in tuples.items()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, kind)], ["doc_id", "source", "address", "votes"])
 
     kept = documents.select("doc_id", "source", F.col("site_id").cast("string").alias("address"), "text")
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, source STRING, address STRING, votes ARRAY<STRUCT<sure INT, unsure INT, section INT, n BIGINT>>"
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, source STRING, address STRING, votes ARRAY<STRUCT<certain INT, sure INT, unsure INT, section INT, n BIGINT>>"
     return kept.mapInArrow(run, schema).select("doc_id", "source", "address", F.inline("votes"))
 
 
 def usual_subject(votes: DataFrame, by: str, out: str) -> DataFrame:
     """(by, out): the subject of most sure sentences per value, where it has a quarter of them; null values have none."""
-    counts = votes.where((F.col("sure") > NOTHING) & F.col(by).isNotNull()).groupBy(by, "sure").agg(F.sum("n").alias("n"))
-    top = counts.groupBy(by).agg(F.max_by("sure", F.struct("n", F.negative("sure"))).alias(out), F.max("n").alias("most"), F.sum("n").alias("all"))
+    voted_for = F.greatest("certain", "sure")
+    counts = votes.where((voted_for > NOTHING) & F.col(by).isNotNull()).groupBy(by, voted_for.alias("subject")).agg(F.sum("n").alias("n"))
+    top = counts.groupBy(by).agg(F.max_by("subject", F.struct("n", F.negative("subject"))).alias(out), F.max("n").alias("most"), F.sum("n").alias("all"))
     return top.where("most * 4 >= all").select(by, out)
 
 
@@ -253,7 +277,7 @@ def assigned(documents: DataFrame, labels: DataFrame, areas: DataFrame, share: f
     posterior, _ = learn_accuracies(patterns, np.array([r["n"] for r in table], float), len(subjects) + 1)
     best = posterior.argmax(axis=1)
     names = [None, *subjects]
-    spoken = ((patterns[:, 0] > NOTHING) | (patterns[:, 1] > NOTHING)) & (posterior.max(axis=1) >= 0.5)  # a section alone gives no subject
+    spoken = (patterns[:, :3] > NOTHING).any(axis=1) & (posterior.max(axis=1) >= 0.5)  # a section alone gives no subject
     decided = spark.createDataFrame(
         [(*map(int, p), names[b] if ok else None) for p, b, ok in zip(patterns, best, spoken, strict=True)], ", ".join(f"{v} INT" for v in VOTERS) + ", subject STRING"
     )
