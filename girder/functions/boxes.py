@@ -12,6 +12,11 @@ MIN_SIDE, TOLERANCE = 1e-4, 1e-6
 BOXES = "array<array<double>>"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once; an expression used twice is otherwise computed twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def none() -> Column:
     return F.array().cast(BOXES)
 
@@ -28,7 +33,7 @@ def is_valid(box: Column, min_side: float = MIN_SIDE) -> Column:
 
 
 def clean(boxes: Column) -> Column:
-    return F.filter(normalized(boxes), is_valid)
+    return F.filter(normalized(boxes), lambda b: is_valid(b))  # a second parameter would be given the position
 
 
 def to_thousand(boxes: Column) -> Column:
@@ -53,11 +58,14 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """STRUCT<iou, inter, uni> of two boxes; zeros if one is null or the union has no area."""
-    inter = _overlap(a, b)
-    union = area(a) + area(b) - inter
-    ok = a.isNotNull() & b.isNotNull() & (union > 0)
     zero = F.lit(0.0)
-    return F.struct(F.when(ok, inter / union).otherwise(zero).alias("iou"), F.when(ok, inter).otherwise(zero).alias("inter"), F.when(ok, union).otherwise(zero).alias("uni"))
+
+    def shares(x: Column) -> Column:
+        union = x["areas"] - x["inter"]
+        ok = F.coalesce(union > 0, F.lit(False))
+        return F.struct(F.when(ok, x["inter"] / union).otherwise(zero).alias("iou"), F.when(ok, x["inter"]).otherwise(zero).alias("inter"), F.when(ok, union).otherwise(zero).alias("uni"))
+
+    return let(F.struct(_overlap(a, b).alias("inter"), (area(a) + area(b)).alias("areas")), shares)
 
 
 def total_area(boxes: Column) -> Column:
@@ -65,6 +73,11 @@ def total_area(boxes: Column) -> Column:
 
 
 def greedy_iou(pred: Column, truth: Column) -> Column:
+    """See _greedy; the inputs are computed once."""
+    return let(F.struct(pred.alias("p"), truth.alias("t")), lambda s: _greedy(s["p"], s["t"]))
+
+
+def _greedy(pred: Column, truth: Column) -> Column:
     """STRUCT<iou, inter, uni>: each true box in turn takes the remaining prediction of highest IoU.
 
     The first one wins ties, and a match without overlap still uses its prediction up. The union holds the
@@ -76,18 +89,22 @@ def greedy_iou(pred: Column, truth: Column) -> Column:
 
     def step(state: Column, t: Column) -> Column:
         left = state["left"]
-        # the largest (iou, -position): the first of equals
-        best = F.array_max(F.transform(left, lambda p, i: F.struct(iou(p, t)["iou"].alias("iou"), (-i).alias("neg"))))
-        at = -best["neg"]
-        taken = F.get(left, at)
-        pair = iou(taken, t)
-        some = F.size(left) > 0
-        return F.struct(
-            F.when(some, F.filter(left, lambda p, i: i != at)).otherwise(left).alias("left"),
-            (state["ious"] + F.when(some, pair["iou"]).otherwise(zero)).alias("ious"),
-            (state["inter"] + F.when(some, pair["inter"]).otherwise(zero)).alias("inter"),
-            (state["uni"] + F.when(some, pair["uni"]).otherwise(area(t))).alias("uni"),
-        )
+
+        def take(best: Column) -> Column:
+            # the largest (iou, -position) is the first of equals; null if nothing is left
+            some = best.isNotNull()
+            at = -best["neg"]
+            return F.struct(
+                F.when(some, F.filter(left, lambda p, i: i != at)).otherwise(left).alias("left"),
+                (state["ious"] + F.when(some, best["iou"]).otherwise(zero)).alias("ious"),
+                (state["inter"] + F.when(some, best["inter"]).otherwise(zero)).alias("inter"),
+                (state["uni"] + F.when(some, best["uni"]).otherwise(area(t))).alias("uni"),
+            )
+
+        def rated(p: Column, i: Column) -> Column:
+            return let(iou(p, t), lambda x: F.struct(x["iou"].alias("iou"), (-i).alias("neg"), x["inter"].alias("inter"), x["uni"].alias("uni")))
+
+        return let(F.array_max(F.transform(left, rated)), take)
 
     def finish(state: Column) -> Column:
         n = F.size(truth)
@@ -100,33 +117,48 @@ def greedy_iou(pred: Column, truth: Column) -> Column:
 
 def union_area(boxes: Column) -> Column:
     """Area covered by at least one box: slabs between neighbouring x edges, intervals merged along y in each."""
-    distinct = F.array_distinct(boxes)
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform(distinct, lambda b: F.array(b[0], b[2])))))
-    # sorted by ymin: the struct's first field
-    by_y = F.array_sort(F.transform(distinct, lambda b: F.struct(b[1].alias("y0"), b[3].alias("y1"), b[0].alias("x0"), b[2].alias("x1"))))
-
-    def slab(total: Column, i: Column) -> Column:
-        x0, x1 = F.get(edges, i), F.get(edges, i + 1)
-        inside = F.filter(by_y, lambda s: (s["x0"] <= x0) & (s["x1"] >= x1))
-        merged = F.aggregate(
-            inside,
-            F.struct(F.lit(float("-inf")).alias("upto"), F.lit(0.0).alias("length")),
-            lambda m, s: F.struct(
-                F.greatest(m["upto"], s["y1"]).alias("upto"), (m["length"] + F.greatest(F.lit(0.0), s["y1"] - F.greatest(m["upto"], s["y0"]))).alias("length")
-            ),
-        )
-        return total + (x1 - x0) * merged["length"]
 
-    slabs = F.when(F.size(edges) > 1, F.sequence(F.lit(0), F.size(edges) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(slabs, F.lit(0.0), slab)
+    def slabs(s: Column) -> Column:
+        edges, by_y = s["edges"], s["by_y"]
+
+        def slab(total: Column, i: Column) -> Column:
+            x0, x1 = F.get(edges, i), F.get(edges, i + 1)
+            merged = F.aggregate(
+                by_y,
+                F.struct(F.lit(float("-inf")).alias("upto"), F.lit(0.0).alias("length")),
+                lambda m, b: F.when(
+                    (b["x0"] <= x0) & (b["x1"] >= x1),
+                    F.struct(F.greatest(m["upto"], b["y1"]).alias("upto"), (m["length"] + F.greatest(F.lit(0.0), b["y1"] - F.greatest(m["upto"], b["y0"]))).alias("length")),
+                ).otherwise(m),
+            )
+            return total + (x1 - x0) * merged["length"]
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(edges) - 2), F.lit(0.0), slab)
+
+    def sorted_parts(d: Column) -> Column:
+        edges = F.array_sort(F.array_distinct(F.flatten(F.transform(d, lambda b: F.array(b[0], b[2])))))
+        # sorted by ymin, the struct's first field
+        by_y = F.array_sort(F.transform(d, lambda b: F.struct(b[1].alias("y0"), b[3].alias("y1"), b[0].alias("x0"), b[2].alias("x1"))))
+        return let(F.struct(edges.alias("edges"), by_y.alias("by_y")), slabs)
+
+    alone = F.when(F.size(boxes) == 0, F.lit(0.0)).when(F.size(boxes) == 1, area(F.get(boxes, F.lit(0))))
+    return alone.otherwise(let(F.array_distinct(boxes), sorted_parts))
 
 
 def mask_iou(pred: Column, truth: Column) -> Column:
     """STRUCT<iou, inter, uni> of the covered regions; iou is null if both are empty, 0 if one is."""
-    p, t, both = union_area(pred), union_area(truth), union_area(F.concat(pred, truth))
-    inter = F.greatest(F.lit(0.0), p + t - both)
-    empty = (F.size(pred) == 0) & (F.size(truth) == 0)
-    return F.struct(F.when(empty, F.lit(None).cast("double")).when(both > 0, inter / both).otherwise(F.lit(0.0)).alias("iou"), inter.alias("inter"), both.alias("uni"))
+
+    def shares(x: Column) -> Column:
+        inter = F.greatest(F.lit(0.0), x["p"] + x["t"] - x["both"])
+        value = F.when(x["empty"], F.lit(None).cast("double")).when(x["both"] > 0, inter / x["both"]).otherwise(F.lit(0.0))
+        return F.struct(value.alias("iou"), inter.alias("inter"), x["both"].alias("uni"))
+
+    def areas(s: Column) -> Column:
+        p, t = s["p"], s["t"]
+        empty = (F.size(p) == 0) & (F.size(t) == 0)
+        return let(F.struct(empty.alias("empty"), union_area(p).alias("p"), union_area(t).alias("t"), union_area(F.concat(p, t)).alias("both")), shares)
+
+    return let(F.struct(pred.alias("p"), truth.alias("t")), areas)
 
 
 def audit_issues(box: Column, tolerance: float = TOLERANCE, least_area: float = 1e-5) -> Column:
@@ -145,4 +177,5 @@ def audit_issues(box: Column, tolerance: float = TOLERANCE, least_area: float =
 
 def most_repeats(boxes: Column) -> Column:
     """How often the most frequent box occurs; 0 without boxes."""
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(boxes), lambda b: F.size(F.filter(boxes, lambda x: x == b)))), F.lit(0))
+    tally = lambda s: F.array_max(F.transform(F.array_distinct(s), lambda b: F.size(F.filter(s, lambda x: x == b))))
+    return F.coalesce(let(boxes, tally), F.lit(0))

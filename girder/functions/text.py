@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boxes import let
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores of any script; null gives none."""
@@ -19,11 +21,14 @@ def ngrams(words: Column, n: int) -> Column:
 
 def ngram_f1(pred: Column, ref: Column) -> Column:
     """F1 of the sets of 1-grams and 2-grams; 0 if either text has no word."""
-    a, b = tokens(pred), tokens(ref)
-    x, y = (F.array_distinct(F.concat(t, ngrams(t, 2))) for t in (a, b))
-    shared = F.size(F.array_intersect(x, y))
-    precision, recall = shared / F.size(x), shared / F.size(y)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0) | (shared == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+    grams = lambda text: let(tokens(text), lambda t: F.array_distinct(F.concat(t, ngrams(t, 2))))
+
+    def score(s: Column) -> Column:
+        # with x, y and shared members, precision and recall combine to 2 shared / (x + y)
+        return F.when((s["x"] == 0) | (s["y"] == 0), F.lit(0.0)).otherwise(2.0 * s["shared"] / (s["x"] + s["y"]))
+
+    sizes = lambda s: let(F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("shared")), score)
+    return let(F.struct(grams(pred).alias("x"), grams(ref).alias("y")), sizes)
 
 
 def word_count(text: Column) -> Column:
