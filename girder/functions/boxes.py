@@ -162,17 +162,13 @@ def mask_iou(pred: Column, truth: Column) -> Column:
 
 
 def audit_issues(box: Column, tolerance: float = TOLERANCE, least_area: float = 1e-5) -> Column:
-    """The defects of an annotated box joined by ';', '' if it has none."""
-    outside = F.exists(box, lambda c: (c < -tolerance) | (c > 1 + tolerance))
-    flat = (box[2] - box[0]) * (box[3] - box[1])
-    return F.array_join(
-        F.array_compact(
-            F.array(
-                F.when(F.size(box) != 4, "wrong_length"), F.when(outside, "out_of_range"), F.when(box[0] >= box[2], "x_order"),
-                F.when(box[1] >= box[3], "y_order"), F.when((F.abs(flat) < least_area), "near_zero_area"),
-            )
-        ), ";",
-    )
+    """The defects of an annotated box joined by ';', '' if it has none; missing corners only make it too short."""
+    x0, y0, x1, y1 = (F.get(box, F.lit(i)) for i in range(4))
+    tests = [
+        ("wrong_length", F.size(box) != 4), ("out_of_range", F.exists(box, lambda c: (c < -tolerance) | (c > 1 + tolerance))), ("x_order", x0 >= x1),
+        ("y_order", y0 >= y1), ("near_zero_area", F.abs((x1 - x0) * (y1 - y0)) < least_area),
+    ]
+    return F.array_join(F.array_compact(F.array(*[F.when(test, name) for name, test in tests])), ";")
 
 
 def most_repeats(boxes: Column) -> Column:
