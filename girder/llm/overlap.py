@@ -4,8 +4,10 @@ Captions are canonicalised (case, punctuation, spacing, character forms) and has
 one class, and everything below works on one row per class. For near matches a class gets hashes of
 what survives edits: pairs of words that stand near each other within a sentence, without the pairs
 that more than 1 % of the classes have (there are at most 100 times as many of those as a caption has
-pairs, so the list has a proven size). Minimum hashes of the remaining pairs, two to a band, are the
+pairs, so the list has a proven size). Minimum hashes of the remaining pairs, three to a band, are the
 join keys between evaluation and training; each joined pair of classes is then compared word by word.
+A class with hardly any rare pair (a group of near copies that makes its own pairs frequent) is hashed
+with all its pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,11 @@ from ..session import cut_lineage
 
 #: Shared words over the larger number of words, from which two captions are of the same wording.
 SAME_WORDING = 0.75
-BANDS, ROWS, WINDOW = 24, 2, 8
+BANDS, ROWS, WINDOW = 60, 3, 6
 #: A pair of words is frequent if more than one class in FREQUENT_ONE_IN has it, and more than FREQUENT_LEAST.
 FREQUENT_ONE_IN, FREQUENT_LEAST = 100, 5
-#: A class with fewer rare pairs than this is hashed with all its pairs.
-FEW_PAIRS = 8
+#: A class is hashed with all its pairs if fewer than this many, or than this share of them, are rare.
+FEW_PAIRS, RARE_SHARE = 8, 0.10
 
 # Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans(
@@ -55,16 +58,18 @@ def canonical(text: str) -> list[list[str]]:
 
 def near_pairs(sentences: list[list[str]]) -> np.ndarray:
     """Hashes of the word pairs within WINDOW words of each other in a sentence, in order, each once."""
-    codes = {w: _hash64(w) for s in sentences for w in s}
-    out = []
-    for s in sentences:
-        h = np.array([codes[w] for w in s], np.uint64)
-        out += [_mix(h[:-d] * np.uint64(0x9E3779B97F4A7C15) + h[d:]) for d in range(1, min(WINDOW, len(h) - 1) + 1)]
-        if len(h) == 1:
-            out.append(_mix(h))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
+    words = [w for s in sentences for w in s]
+    h = np.array([_hash64(w) for w in words], np.uint64)
+    of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    first = h * np.uint64(0x9E3779B97F4A7C15)
+    out = [np.zeros(0, np.uint64)]
+    for d in range(1, min(WINDOW, len(h) - 1) + 1):
+        out.append((first[:-d] + h[d:])[of[:-d] == of[d:]])
+    pairs = np.unique(_mix(np.concatenate(out)))
+    return pairs if len(pairs) else np.unique(_mix(h))  # one word a sentence
+
+
+@lru_cache(maxsize=200_000)
 def _hash64(word: str) -> int:
     import xxhash
 
@@ -139,7 +144,7 @@ def banded(classes: DataFrame, frequent: list[int]) -> DataFrame:
                 if len(common):
                     at = np.minimum(np.searchsorted(common, pairs), len(common) - 1)
                     rare = pairs[common[at] != pairs]
-                    pairs = rare if len(rare) >= FEW_PAIRS else pairs
+                    pairs = rare if len(rare) >= max(FEW_PAIRS, RARE_SHARE * len(pairs)) else pairs
                 keys.append(bands(pairs))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["class_id", "keys"])
 
@@ -149,10 +154,15 @@ def banded(classes: DataFrame, frequent: list[int]) -> DataFrame:
 def same_wording(a: str, b: str) -> bool:
     """Whether the shared words, in any order, are at least SAME_WORDING of the longer caption's words."""
     x, y = a.split(), b.split()
-    longer = max(len(x), len(y))
+    longer, left = max(len(x), len(y)), Counter(y)
     if min(len(x), len(y)) < SAME_WORDING * longer:
         return False
-    return sum((Counter(x) & Counter(y)).values()) >= SAME_WORDING * longer
+    shared = 0
+    for w in x:
+        if n := left.get(w):
+            left[w] = n - 1
+            shared += 1
+    return shared >= SAME_WORDING * longer
 
 
 def near_classes(classes: DataFrame, count: int) -> DataFrame:
