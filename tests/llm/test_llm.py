@@ -89,7 +89,7 @@ def test_truncation(spark):
 # p3
 def test_overlaps_equal_brute_force(spark):
     r = random.Random(5)
-    nouns = [f"noun{i}" for i in range(60)]
+    nouns = [f"noun{i}" for i in range(400)]
     make = lambda: ". ".join(" ".join(r.choice(nouns) for _ in range(9)) for _ in range(5)) + "."
     rows = [(i, r.choice(["train", "val", "test"]), f"{i:07}", make(), 1) for i in range(250)]
     for i in range(60):
