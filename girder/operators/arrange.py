@@ -157,3 +157,43 @@ def chunks(rows: Iterator, size: int) -> Iterator[list]:
             batch = []
     if batch:
         yield batch
+
+
+def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in an explicit order (a cap that the caller asks for)."""
+    return df.orderBy(*order).limit(n)
+
+
+def seeded_first_n(df: DataFrame, id: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows drawn by a hash of the id: the same ones for the same seed, on any cluster."""
+    return first_n(df, [seeded_key(seed, F.col(id)), F.col(id)], n)
+
+
+def paired(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Inner join of predictions and references by key, in place of matching by position.
+
+    Raises if either side is empty, repeats a key, or holds a key that the other side lacks.
+    """
+    sides = {"predictions": predictions, "references": references}
+    sizes = {name: df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("k")).first() for name, df in sides.items()}
+    for name, size in sizes.items():
+        if not size["n"]:
+            raise ValueError(f"no {name}")
+        if size["n"] != size["k"]:
+            raise ValueError(f"{name} repeat or lack keys: {size['n']} rows, {size['k']} keys")
+    joined = predictions.join(references, key)
+    if not sizes["predictions"]["n"] == sizes["references"]["n"] == joined.count():
+        raise ValueError("predictions and references don't have the same keys")
+    return joined
+
+
+def missing_keys(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Distinct expected keys that weren't found; null keys are never expected."""
+    return expected.where(F.col(key).isNotNull()).select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
+
+
+def aspect_drift(width: Column, height: Column, new_width: Column, new_height: Column) -> Column:
+    """Change of the aspect ratio by a resize in percent; null where a side is 0 or null."""
+    before = F.when(height > 0, width / height)
+    after = F.when(new_height > 0, new_width / new_height)
+    return F.when(before > 0, F.abs(after - before) / before * 100)

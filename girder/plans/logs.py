@@ -118,7 +118,27 @@ def _cosines(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(nxt, "vec_id").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
+def _seeded(spark: SparkSession, folder: str) -> DataFrame:
+    """A seeded evaluation sample of 200 test images (the size is the operator's parameter)."""
+    rows = table(spark, folder, "raw_sample").where("split = 'test'").select("sample_id", "split")
+    return arrange.seeded_first_n(rows, "sample_id", 200).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _missing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Image ids of predictions, as written, that no sample has."""
+    return arrange.missing_keys(table(spark, folder, "predictions"), table(spark, folder, "raw_sample"), "image_id")
+
+
+def _id_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Per run the number of failed and usable answers and the first and last failed id, as an export lists them."""
+    bad = is_blank(F.col("raw_output"))
+    return _log(spark, folder).groupBy("run_id").agg(F.count_if(bad).alias("failed"), F.count_if(~bad).alias("usable"), F.min(F.when(bad, F.col("prediction_id"))).alias("first_failed"), F.max(F.when(bad, F.col("prediction_id"))).alias("last_failed"))
+
+
 QUERIES = {
+    "o4_seeded_sample": _seeded,
+    "j6_missing_ids": _missing_ids,
+    "o15_failure_ids": _id_lists,
     "a27_repair_status": _statuses,
     "a28_repair_changes": _events("changes"),
     "a28_repair_warnings": _events("warnings"),
@@ -137,7 +157,11 @@ QUERIES = {
 }
 
 _NUMBER = "TRY_CAST(NULLIF(regexp_extract(image_id, '([0-9]+)', 1), '') AS BIGINT)"
+_EMPTY = "regexp_full_match(coalesce(raw_output, ''), '[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*')"
 ORACLE = {
+    "o4_seeded_sample": "SELECT split, least(count(*), 200) AS n FROM raw_sample WHERE split = 'test' GROUP BY split",
+    "j6_missing_ids": "SELECT DISTINCT image_id FROM predictions WHERE image_id IS NOT NULL AND image_id NOT IN (SELECT image_id FROM raw_sample WHERE image_id IS NOT NULL)",
+    "o15_failure_ids": f"SELECT run_id, count(*) FILTER ({_EMPTY}) AS failed, count(*) FILTER (NOT {_EMPTY}) AS usable, min(prediction_id) FILTER ({_EMPTY}) AS first_failed, max(prediction_id) FILTER ({_EMPTY}) AS last_failed FROM predictions GROUP BY run_id",
     "j4_pending_images": f"SELECT DISTINCT {_NUMBER} AS image FROM raw_sample WHERE {_NUMBER} IS NOT NULL AND {_NUMBER} NOT IN (SELECT {_NUMBER} FROM predictions WHERE trim(coalesce(raw_output, '')) <> '' AND {_NUMBER} IS NOT NULL)",
     "o10_first_answers": "SELECT run_id, image_id, prediction_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image_id ORDER BY logged_at, prediction_id) AS k FROM predictions WHERE NOT regexp_full_match(coalesce(raw_output, ''), '[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*')) WHERE k = 1",
     "o9_failure_runs": "WITH p AS (SELECT run_id, prediction_id, error IS NOT NULL AS f, row_number() OVER (PARTITION BY run_id ORDER BY prediction_id) AS n FROM predictions), r AS (SELECT *, n - row_number() OVER (PARTITION BY run_id ORDER BY prediction_id) AS run FROM p WHERE f) SELECT run_id, min(prediction_id) AS first, max(prediction_id) AS last, count(*) AS length FROM r GROUP BY run_id, run",

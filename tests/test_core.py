@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from girder.operators import arrange, audit, compare, conversations, nested, profile, ranking
-from girder.sources import files
+from girder.sources import artefacts, files
 from girder.streaming import ingest
 
 SPEC = profile.ProfileSpec(columns=("view", "tone"), load="load", patterns={"view": "^[a-z]+$"}, partitions=3)
@@ -140,6 +140,26 @@ def test_orders(spark, sample_schema, make_sample):
     assert [r["image_id"] for r in arrange.pending(log.select("image_id").distinct(), log, "image_id").collect()] == ["b"]
 
 
+def test_pairing(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, p STRING")
+    t = spark.createDataFrame([(2, "x"), (1, "y")], "id INT, t STRING")
+    assert arrange.paired(p, t, "id").count() == 2
+    for bad in (t.limit(0), t.limit(1), t.unionAll(t), t.where("id = 1").unionAll(spark.createDataFrame([(3, "z")], "id INT, t STRING"))):
+        with pytest.raises(ValueError):
+            arrange.paired(p, bad, "id")
+    assert [r["id"] for r in arrange.missing_keys(p, t.where("id = 1"), "id").collect()] == [2]
+    many = spark.range(100)
+    assert arrange.seeded_first_n(many, "id", 7).collect() == arrange.seeded_first_n(many.repartition(5), "id", 7).collect()
+
+
+def test_artefacts(spark, tmp_path):
+    rows = [(1, "unified", '{"caption":"a",}'), (2, "unified", "x"), (3, "unified", '{"caption":"a"}')]
+    report = artefacts.write_repair(spark.createDataFrame(rows, "id INT, task STRING, raw STRING"), "id", "raw", "task", str(tmp_path))
+    assert report["status_counts"] == {"fixed_valid": 1, "invalid_json": 1, "valid_raw": 1} and report["total_records"] == 3
+    assert report["change_type_summary"]["json_syntax_trailing_comma_removed"] == {"total_occurrences": 1, "records_affected": 1}
+    assert spark.read.json(str(tmp_path / "broken")).count() == 1 and spark.read.json(str(tmp_path / "repaired")).count() == 3
+
+
 def test_audit(spark, sample_schema, make_sample):
     s = spark.createDataFrame([make_sample("1", rules={1: ([], "r"), 2: ([[0.5, 0.1, 0.4, 0.2]], "r")}, rebar=[[0.1, 0.1, 0.2, 0.2]] * 5), make_sample("2")], sample_schema)
     issues = Counter((r["class"], r["issues"]) for r in audit.audit_boxes(s, "image_id").collect())
