@@ -132,7 +132,7 @@ def frequent_pairs(classes: DataFrame, count: int) -> list[int]:
 
 
 def banded(classes: DataFrame, frequent: list[int]) -> DataFrame:
-    """(class_id, key): the join keys of each class."""
+    """(class_id, in_train, in_eval, keys): the join keys of each class."""
     shared = classes.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +146,9 @@ def banded(classes: DataFrame, frequent: list[int]) -> DataFrame:
                     rare = pairs[common[at] != pairs]
                     pairs = rare if len(rare) >= max(FEW_PAIRS, RARE_SHARE * len(pairs)) else pairs
                 keys.append(bands(pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["class_id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(keys, pa.list_(pa.int64()))], ["class_id", "in_train", "in_eval", "keys"])
 
-    return classes.select("class_id", "canon").mapInArrow(run, "class_id BIGINT, keys ARRAY<BIGINT>").select("class_id", F.explode("keys").alias("key"))
+    return classes.select("class_id", "canon", "in_train", "in_eval").mapInArrow(run, "class_id BIGINT, in_train BOOLEAN, in_eval BOOLEAN, keys ARRAY<BIGINT>")
 
 
 def same_wording(a: str, b: str) -> bool:
@@ -170,9 +170,9 @@ def near_classes(classes: DataFrame, count: int) -> DataFrame:
 
     `classes`: class_id, canon, in_train, in_eval. A class on both sides is joined as either.
     """
-    keyed = cut_lineage(banded(classes, frequent_pairs(classes, count)).join(classes.select("class_id", "in_train", "in_eval"), "class_id"))
-    left = keyed.where("in_eval").select(F.col("class_id").alias("eval_class"), "key")
-    right = keyed.where("in_train").select(F.col("class_id").alias("train_class"), "key")
+    keyed = cut_lineage(banded(classes, frequent_pairs(classes, count)))
+    left = keyed.where("in_eval").select(F.col("class_id").alias("eval_class"), F.explode("keys").alias("key"))
+    right = keyed.where("in_train").select(F.col("class_id").alias("train_class"), F.explode("keys").alias("key"))
     candidates = left.join(right, "key").where("eval_class <> train_class").select("eval_class", "train_class").distinct()
     text = classes.select("class_id", "canon")
     with_text = (
