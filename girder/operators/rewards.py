@@ -26,13 +26,6 @@ def reported(side: str) -> Column:
     return F.array_compact(F.array(*[F.when(says(F.col(f"{side}.{r}")), F.lit(i + 1)) for i, r in enumerate(RULES)]))
 
 
-def mean_over(values: list[tuple[Column, Column]]) -> Column:
-    """Mean of the values whose condition holds; 0 if none does."""
-    n = sum((c.cast("int") for c, _ in values), F.lit(0))
-    s = sum((F.when(c, v).otherwise(F.lit(0.0)) for c, v in values), F.lit(0.0))
-    return F.when(n > 0, s / n).otherwise(F.lit(0.0))
-
-
 def reward_format() -> Column:
     return F.col("parsed.schema_valid").cast("double")
 
@@ -46,14 +39,19 @@ def reward_caption(similarity: Column | None = None) -> Column:
     return F.coalesce(F.when(some, closeness * text.length_factor(pred, truth, CAPTION_FLOOR)), F.lit(0.0))
 
 
-def _class_boxes(name: str) -> tuple[Column, Column]:
-    return boxes.clean(boxes.from_thousand(F.col(f"parsed.{name}"))), boxes.clean(F.col(f"sample.{name}"))
+def _class_boxes() -> Column:
+    """One struct per class: p and t, the cleaned boxes of both sides. One expression serves all of them."""
+    raw = F.array(*[F.struct(F.col(f"parsed.{c}").alias("p"), F.col(f"sample.{c}").alias("t")) for c in CLASSES])
+    return F.transform(raw, lambda s: F.struct(boxes.clean(boxes.from_thousand(s["p"])).alias("p"), boxes.clean(s["t"]).alias("t")))
+
+
+def _mean(values: Column, n: int) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
 
 
 def reward_grounding() -> Column:
     """Mean over the classes: mask IoU, 0.10 where the class is absent on both sides."""
-    parts = [F.coalesce(boxes.mask_iou(*_class_boxes(c))["iou"], F.lit(NOTHING_THERE)) for c in CLASSES]
-    return sum(parts, F.lit(0.0)) / len(CLASSES)
+    return _mean(F.transform(_class_boxes(), lambda s: F.coalesce(boxes.mask_iou(s["p"], s["t"])["iou"], F.lit(NOTHING_THERE))), len(CLASSES))
 
 
 def reward_violation_id() -> Column:
@@ -64,26 +62,35 @@ def reward_violation_id() -> Column:
     return F.when((F.size(p) == 0) & (F.size(t) == 0), F.lit(NOTHING_THERE)).otherwise(score)
 
 
-def _common(i: int) -> Column:
-    return F.array_contains("p_rules", i + 1) & F.array_contains("t_rules", i + 1)
+def _common_rules(*more: Column) -> Column:
+    """One struct per rule that both sides report: p and t, the violations of both sides."""
+    both = lambda i: F.array_contains("p_rules", i + 1) & F.array_contains("t_rules", i + 1)
+    return F.array_compact(F.array(*[F.when(both(i), F.struct(F.col(f"parsed.{r}").alias("p"), F.col(f"sample.{r}").alias("t"), *[m[i].alias(f"m{k}") for k, m in enumerate(more)])) for i, r in enumerate(RULES)]))
+
+
+def _mean_of(values: Column) -> Column:
+    """Mean of an array, 0 for none."""
+    return boxes.let(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).otherwise(F.lit(0.0)))
 
 
 def reward_violation_grounding() -> Column:
     """Mean mask IoU of the rules on both sides; 0 if there is none."""
-    iou = lambda r: F.coalesce(boxes.mask_iou(boxes.clean(boxes.from_thousand(F.col(f"parsed.{r}.bounding_box"))), boxes.clean(F.col(f"sample.{r}.bounding_box")))["iou"], F.lit(0.0))
-    return mean_over([(_common(i), iou(r)) for i, r in enumerate(RULES)])
+    iou = lambda s: boxes.mask_iou(boxes.clean(boxes.from_thousand(s["p"]["bounding_box"])), boxes.clean(s["t"]["bounding_box"]))["iou"]
+    return _mean_of(F.transform(_common_rules(), lambda s: F.coalesce(iou(s), F.lit(0.0))))
 
 
-def reward_reasoning(similarity=None) -> Column:
-    """Mean over the rules on both sides whose reasons are both not empty; `similarity(rule)` gives embeddings' cosines."""
-    parts = []
-    for i, r in enumerate(RULES):
-        p, t = F.col(f"parsed.{r}.reason"), F.col(f"sample.{r}.reason")
+def reward_reasoning(similarity: Column | None = None) -> Column:
+    """Mean over the rules on both sides whose reasons are both not empty; `similarity` holds one cosine a rule."""
+    rules = _common_rules(*([similarity] if similarity is not None else []))
+    some = F.filter(rules, lambda s: F.coalesce((F.length(F.trim(s["p"]["reason"])) > 0) & (F.length(F.trim(s["t"]["reason"])) > 0), F.lit(False)))
+
+    def score(s: Column) -> Column:
+        p, t = s["p"]["reason"], s["t"]["reason"]
         grams = text.ngram_f1(p, t)
-        closeness = grams if similarity is None else 0.6 * F.greatest(F.lit(0.0), similarity(r)) + 0.4 * grams
-        both = F.coalesce(_common(i) & (F.length(F.trim(p)) > 0) & (F.length(F.trim(t)) > 0), F.lit(False))
-        parts.append((both, closeness * text.length_factor(p, t, REASON_FLOOR)))
-    return mean_over(parts)
+        closeness = grams if similarity is None else 0.6 * F.greatest(F.lit(0.0), s["m0"]) + 0.4 * grams
+        return closeness * text.length_factor(p, t, REASON_FLOOR)
+
+    return _mean_of(F.transform(some, score))
 
 
 def repeats_boxes() -> Column:
@@ -122,7 +129,7 @@ def legacy(rows: DataFrame) -> DataFrame:
     p, t = F.col("p_rules"), F.col("t_rules")
     tp, fp, fn = F.size(F.array_intersect(p, t)), F.size(F.array_except(p, t)), F.size(F.array_except(t, p))
     rule_f1 = F.when((F.size(p) == 0) & (F.size(t) == 0), F.lit(1.0)).when(tp > 0, 2.0 * tp / (2.0 * tp + fp + fn)).otherwise(F.lit(0.0))
-    greedy = sum((boxes.greedy_iou(*_class_boxes(c))["iou"] for c in CLASSES), F.lit(0.0)) / len(CLASSES)
+    greedy = _mean(F.transform(_class_boxes(), lambda s: boxes.greedy_iou(s["p"], s["t"])["iou"]), len(CLASSES))
     zero = F.lit(0.0)
     good = F.col("parsed.schema_valid")
     return rows.select(
