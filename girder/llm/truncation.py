@@ -163,7 +163,7 @@ def judged(features: DataFrame, id: str) -> DataFrame:
     length_odds = F.greatest(posterior / (1 - posterior), F.lit(TRANSFER_ODDS))
     mark_odds = 1.0 / F.greatest(F.coalesce("unmarked", F.lit(0.0)), F.lit(0.001))
     end_odds = F.lit(CUT_ENDING) / F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(LEAST_ENDING))
-    cut = rows.where(length_odds * mark_odds * end_odds > 1.0).select(F.col(id).alias("__id")).withColumn("__cut", F.lit(True))
+    cut = rows.where(length_odds * mark_odds * end_odds > 1.0).select(F.col(id).alias("__id")).distinct().withColumn("__cut", F.lit(True))
     decided = features.join(cut, F.col(id) == F.col("__id"), "left")
     inside = ~F.coalesce("whole", F.lit(True)) & (F.size("defects") == 0)
     return decided.select(id, "source", "defects", (inside | F.coalesce("__cut", F.lit(False))).alias("truncated"))
