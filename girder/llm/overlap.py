@@ -1,18 +1,18 @@
 """p3: records of evaluation splits that are also in the training split, exactly or nearly.
 
 Captions are canonicalised (case, punctuation, spacing, character forms) and hashed; equal hashes are
-one class, and everything below works on one row per class. For near matches a class gets hashes of
-what survives edits: pairs of words that stand near each other within a sentence, without the pairs
-that more than 1 % of the classes have (there are at most 100 times as many of those as a caption has
-pairs, so the list has a proven size). Minimum hashes of the remaining pairs, three to a band, are the
-join keys between evaluation and training; each joined pair of classes is then compared word by word.
-A class with hardly any rare pair (a group of near copies that makes its own pairs frequent) is hashed
-with all its pairs.
+one class, and everything below works on one row per class. Near matches are found without a miss: the
+words of a class (the second use of a word counts as another word) are counted in a few hundred
+columns, the most common words in one of their own, the others hashed. The product of two such rows is
+never less than the number of shared words, so a matrix product of all evaluation and training classes
+of comparable length rules out all pairs but a few, and these are compared word by word. The time grows
+with the product of the two sides.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -29,11 +29,14 @@ from ..session import cut_lineage
 
 #: Shared words over the larger number of words, from which two captions are of the same wording.
 SAME_WORDING = 0.75
-BANDS, ROWS, WINDOW = 60, 3, 6
-#: A pair of words is frequent if more than one class in FREQUENT_ONE_IN has it, and more than FREQUENT_LEAST.
-FREQUENT_ONE_IN, FREQUENT_LEAST = 100, 5
-#: A class is hashed with all its pairs if fewer than this many, or than this share of them, are rare.
-FEW_PAIRS, RARE_SHARE = 8, 0.10
+#: Columns for each word of a mean caption (in steps of 128, within the bounds), and the share of them for single words.
+COLUMNS_A_WORD, LEAST_COLUMNS, MOST_COLUMNS, SINGLE = 4, 256, 4096, 0.75
+#: Classes from which the most common words are taken; which words these are changes the time only.
+SAMPLED = 20_000
+#: Most classes of a side in one cell, the classes from which a side is split at all, and the parts it then has at least.
+CELL, SMALL_CELL, LEAST_PARTS = 32_768, 4_096, 4
+#: Rows of evaluation and training in one matrix product.
+EVAL_ROWS, TRAIN_ROWS = 2_048, 1_024
 
 # Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans(
@@ -56,19 +59,6 @@ def canonical(text: str) -> list[list[str]]:
     return [words for s in _SENTENCE.split(text) if (words := _WORD.findall(s))]
 
 
-def near_pairs(sentences: list[list[str]]) -> np.ndarray:
-    """Hashes of the word pairs within WINDOW words of each other in a sentence, in order, each once."""
-    words = [w for s in sentences for w in s]
-    h = np.array([_hash64(w) for w in words], np.uint64)
-    of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    first = h * np.uint64(0x9E3779B97F4A7C15)
-    out = [np.zeros(0, np.uint64)]
-    for d in range(1, min(WINDOW, len(h) - 1) + 1):
-        out.append((first[:-d] + h[d:])[of[:-d] == of[d:]])
-    pairs = np.unique(_mix(np.concatenate(out)))
-    return pairs if len(pairs) else np.unique(_mix(h))  # one word a sentence
-
-
 @lru_cache(maxsize=200_000)
 def _hash64(word: str) -> int:
     import xxhash
@@ -76,23 +66,6 @@ def _hash64(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-_SEEDS = np.random.default_rng(20_31).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-
-
-def bands(pairs: np.ndarray) -> list[int]:
-    """BANDS join keys (signed 64 bits) of a set of pair hashes; the band's number is part of the key."""
-    least = _mix(pairs[None, :] * _SEEDS[:, None]).min(axis=1).reshape(BANDS, ROWS)
-    key = least[:, 0]
-    for r in range(1, ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
-    return _mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
-
-
 def _mapped(df: DataFrame, schema: str, make):
     """mapInArrow over single-use rows: `make` turns the columns of a batch into the columns of the result."""
 
@@ -114,41 +87,82 @@ def canonical_captions(records: DataFrame, id: str, text: str) -> DataFrame:
     return _mapped(kept, f"{id} {kept.schema[id].dataType.simpleString()}, canon STRING", make).where("canon <> ''")
 
 
-def _pairs_of(canon: str) -> np.ndarray:
-    return near_pairs([line.split(" ") for line in canon.split("\n")])
+def numbered(canon: str) -> list[tuple[str, int]]:
+    """Each word with the number of times it came before, so that shared words are shared members."""
+    seen: dict[str, int] = {}
+    out = []
+    for w in canon.split():
+        n = seen.get(w, 0)
+        seen[w] = n + 1
+        out.append((w, n))
+    return out
 
 
-def frequent_pairs(classes: DataFrame, count: int) -> list[int]:
-    """Hashes of the word pairs of more than one in FREQUENT_ONE_IN classes."""
+def common_words(classes: DataFrame, count: int, most: int) -> list[tuple[str, int]]:
+    """The `most` most common numbered words of about SAMPLED classes."""
 
     def make_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [_pairs_of(c) for c in batch.column(0).to_pylist()]
-            pair, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
+            n = Counter(x for c in batch.column(0).to_pylist() for x in numbered(c))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["word", "use", "n"])
 
-    counts = classes.select("canon").mapInArrow(make_counts, "pair BIGINT, n BIGINT").groupBy("pair").agg(F.sum("n").alias("n"))
-    return [r["pair"] for r in counts.where(F.col("n") > max(FREQUENT_LEAST, count // FREQUENT_ONE_IN)).select("pair").collect()]
+    sampled = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, count // SAMPLED))) == 0)
+    counts = sampled.select("canon").mapInArrow(make_counts, "word STRING, use BIGINT, n BIGINT").groupBy("word", "use").agg(F.sum("n").alias("n"))
+    return [(r["word"], r["use"]) for r in counts.orderBy(F.desc("n"), "word", "use").limit(most).collect()]
 
 
-def banded(classes: DataFrame, frequent: list[int]) -> DataFrame:
-    """(class_id, in_train, in_eval, keys): the join keys of each class."""
-    shared = classes.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
+def in_columns(classes: DataFrame, common: list[tuple[str, int]], columns: int) -> DataFrame:
+    """(class_id, in_train, in_eval, words, columns): number of words, and the column of each as 16 bits."""
+    shared = classes.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(common)})
+    left = columns - len(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        own = shared.value
         for batch in batches:
-            keys = []
+            rows = []
             for canon in batch.column(1).to_pylist():
-                pairs = _pairs_of(canon)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, pairs), len(common) - 1)
-                    rare = pairs[common[at] != pairs]
-                    pairs = rare if len(rare) >= max(FEW_PAIRS, RARE_SHARE * len(pairs)) else pairs
-                keys.append(bands(pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(keys, pa.list_(pa.int64()))], ["class_id", "in_train", "in_eval", "keys"])
-
-    return classes.select("class_id", "canon", "in_train", "in_eval").mapInArrow(run, "class_id BIGINT, in_train BOOLEAN, in_eval BOOLEAN, keys ARRAY<BIGINT>")
+                of = [i if (i := own.get(x)) is not None else len(own) + (_hash64(x[0]) + x[1]) % left for x in numbered(canon)]
+                rows.append(np.array(of, np.uint16))
+            words, packed = pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], words, packed], ["class_id", "in_train", "in_eval", "words", "columns"])
+
+    return classes.select("class_id", "canon", "in_train", "in_eval").mapInArrow(run, "class_id BIGINT, in_train BOOLEAN, in_eval BOOLEAN, words INT, columns BINARY")
+
+
+def _matrix(packed: list[bytes], words: np.ndarray, columns: int) -> np.ndarray:
+    """One row of counts per class."""
+    at = np.frombuffer(b"".join(packed), np.uint16) + np.repeat(np.arange(len(packed)) * columns, words)
+    return np.bincount(at, minlength=len(packed) * columns).reshape(len(packed), columns).astype(np.float32)
+
+
+def possible_pairs(left: pa.Table, right: pa.Table, columns: int) -> pa.Table:
+    """(eval_class, train_class): all pairs of two cells that may be of the same wording, by length and shared columns."""
+    sides = []
+    for side in (left, right):
+        side = side.sort_by("words")
+        sides.append((side["class_id"].to_numpy(), side["words"].to_numpy().astype(np.int64), side["columns"].to_pylist()))
+    (eval_ids, eval_words, eval_packed), (train_ids, train_words, train_packed) = sides
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for e in range(0, len(eval_ids), EVAL_ROWS):
+        n = eval_words[e : e + EVAL_ROWS]
+        a = _matrix(eval_packed[e : e + EVAL_ROWS], n, columns)
+        first = np.searchsorted(train_words, SAME_WORDING * n[0])
+        last = np.searchsorted(train_words, n[-1] / SAME_WORDING, "right")
+        for t in range(first, last, TRAIN_ROWS):
+            end = min(t + TRAIN_ROWS, last)
+            m = train_words[t:end]
+            # a row of the block can only match if its length is in reach of the training rows' lengths
+            low, high = np.searchsorted(n, SAME_WORDING * m[0]), np.searchsorted(n, m[-1] / SAME_WORDING, "right")
+            product = a[low:high] @ _matrix(train_packed[t:end], m, columns).T
+            i, j = np.nonzero(product >= (SAME_WORDING * n[low:high, None]).astype(np.float32))
+            keep = product[i, j] >= SAME_WORDING * m[j]
+            found.append((eval_ids[e + low + i[keep]], train_ids[t + j[keep]]))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"eval_class": x[x != y], "train_class": y[x != y]})
+
+
+def _parts(count: int) -> int:
+    return max(-(-count // CELL), min(LEAST_PARTS, -(-count // SMALL_CELL)), 1)
 
 
 def same_wording(a: str, b: str) -> bool:
@@ -165,15 +179,21 @@ def same_wording(a: str, b: str) -> bool:
     return shared >= SAME_WORDING * longer
 
 
-def near_classes(classes: DataFrame, count: int) -> DataFrame:
+def near_classes(classes: DataFrame) -> DataFrame:
     """(eval_class, train_class): different classes of the same wording, one used in evaluation, one in training.
 
-    `classes`: class_id, canon, in_train, in_eval. A class on both sides is joined as either.
+    `classes`: class_id, canon, in_train, in_eval. A class on both sides is compared as either. Each pair
+    meets in one cell, that of its evaluation part and its training part.
     """
-    keyed = cut_lineage(banded(classes, frequent_pairs(classes, count)))
-    left = keyed.where("in_eval").select(F.col("class_id").alias("eval_class"), F.explode("keys").alias("key"))
-    right = keyed.where("in_train").select(F.col("class_id").alias("train_class"), F.explode("keys").alias("key"))
-    candidates = left.join(right, "key").where("eval_class <> train_class").select("eval_class", "train_class").distinct()
+    sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_eval").alias("evals"), F.count_if("in_train").alias("trains"), F.avg(F.size(F.split("canon", "[ \n]"))).alias("words")).first()
+    columns = min(max(128 * math.ceil(COLUMNS_A_WORD * (sizes["words"] or 0) / 128), LEAST_COLUMNS), MOST_COLUMNS)
+    rows = cut_lineage(in_columns(classes, common_words(classes, sizes["n"], int(SINGLE * columns)), columns))
+    eval_parts, train_parts = _parts(sizes["evals"]), _parts(sizes["trains"])
+    part = lambda parts: F.pmod(F.xxhash64("class_id"), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    left = rows.where("in_eval").select(part(eval_parts).cast("bigint").alias("e"), every(train_parts).alias("t"), "class_id", "words", "columns")
+    right = rows.where("in_train").select(every(eval_parts).alias("e"), part(train_parts).cast("bigint").alias("t"), "class_id", "words", "columns")
+    candidates = left.groupBy("e", "t").cogroup(right.groupBy("e", "t")).applyInArrow(lambda a, b: possible_pairs(a, b, columns), "eval_class BIGINT, train_class BIGINT")
     text = classes.select("class_id", "canon")
     with_text = (
         candidates.join(text.withColumnsRenamed({"class_id": "eval_class", "canon": "eval_canon"}), "eval_class")
@@ -211,7 +231,7 @@ def split_overlaps(records: DataFrame, id: str, split: str, image: str, caption:
     classes = cut_lineage(
         members.groupBy("class_id").agg(F.min("canon").alias("canon"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     )
-    near = near_classes(classes, classes.count())
+    near = near_classes(classes)
     same = classes.where("in_train and in_eval").select(F.col("class_id").alias("eval_class"), F.col("class_id").alias("train_class"))
     e = members.where("not is_train").select(F.col("id").alias("eval_id"), F.col("class_id").alias("eval_class"))
     t = members.where("is_train").select(F.col("id").alias("train_id"), F.col("class_id").alias("train_class"))

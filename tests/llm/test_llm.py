@@ -120,6 +120,26 @@ def test_a_hot_group_of_near_copies_is_found(spark):
     assert overlap.split_overlaps(df, "id", "split", "image", "caption").count() == 60 * 60
 
 
+def edited(r, words, share, name):
+    """`words` with `share` of them changed to words nobody else has, at scattered places."""
+    out = list(words)
+    for at in r.sample(range(len(out)), int(share * len(out))):
+        out[at] = f"{name}x{at}"
+    return out
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_a_large_group_of_edited_copies_is_found(spark, share):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(124)]
+    captions = [edited(r, base, share * r.choice([0, 0.5, 1]), f"copy{i}") for i in range(80)] + [[f"o{i}n{k}" for k in range(124)] for i in range(300)]
+    rows = [(i, "train" if i % 2 else "test", None, " ".join(c), 1) for i, c in enumerate(captions)]
+    df = spark.createDataFrame(rows, "id BIGINT, split STRING, image STRING, caption STRING, canon INT")
+    got = {tuple(x) for x in overlap.split_overlaps(df, "id", "split", "image", "caption").collect()}
+    want = {(e[0], t[0]) for e in rows[:80] for t in rows[:80] if e[1] == "test" and t[1] == "train" and overlap.same_wording(e[3], t[3])}
+    assert got == want and len(want) > 500
+
+
 @pytest.mark.parametrize("other", ["THE  WALL, is: wet!", "Ｔｈｅ ｗａｌｌ ｉｓ ｗｅｔ", "The wаll is wеt", "The wall​ is wet", "The wáll is wet"])
 def test_canonical_forms(other):
     words = [w for s in overlap.canonical(other) for w in s]
