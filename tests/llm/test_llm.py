@@ -140,6 +140,19 @@ def test_a_large_group_of_edited_copies_is_found(spark, share):
     assert got == want and len(want) > 500
 
 
+def test_scattered_edits_of_ordinary_captions_are_found(spark):
+    r = random.Random(9)
+    phrases = [[f"p{i}w{k}" for k in range(12)] for i in range(40)]  # all captions draw on these, so most of their word pairs are common
+    captions = [[w for p in r.sample(phrases, 9) for w in p] + [f"own{i}n{k}" for k in range(16)] for i in range(200)]
+    rows = [(i, "train", None, " ".join(c), 1) for i, c in enumerate(captions)]
+    shares = (0.05, 0.1, 0.15, 0.2, 0.24)
+    rows += [(1000 * (k + 1) + i, "val", None, " ".join(edited(r, captions[i], s, f"e{k}n{i}")), 1) for k, s in enumerate(shares) for i in range(40)]
+    df = spark.createDataFrame(rows, "id BIGINT, split STRING, image STRING, caption STRING, canon INT")
+    got = {tuple(x) for x in overlap.split_overlaps(df, "id", "split", "image", "caption").collect()}
+    assert {(1000 * (k + 1) + i, i) for k in range(len(shares)) for i in range(40)} <= got
+    assert got == {(e[0], t[0]) for e in rows[200:] for t in rows[:200] if overlap.same_wording(e[3], t[3])}
+
+
 @pytest.mark.parametrize("other", ["THE  WALL, is: wet!", "Ｔｈｅ ｗａｌｌ ｉｓ ｗｅｔ", "The wаll is wеt", "The wall​ is wet", "The wáll is wet"])
 def test_canonical_forms(other):
     words = [w for s in overlap.canonical(other) for w in s]
