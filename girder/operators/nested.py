@@ -38,11 +38,14 @@ _NODE_ARROW = pa.struct(
 
 
 def held(value: Any) -> Any:
-    """What a value holds: a string that is itself serialised JSON counts as its content."""
+    """What a value holds: a string that is itself serialised JSON counts as its content.
+
+    One nested deeper than the JSON reader goes (some 10 000 levels) stays a string.
+    """
     while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
             value = json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             break
     return value
 
@@ -84,14 +87,18 @@ def boxes(value: Any) -> Iterator[list[float]]:
 
 def reason_text(value: Any) -> str | None:
     """The text of a reason: plain, a list of texts, or a mapping with `text`; null if nothing but white space."""
-    value = held(value)
-    if isinstance(value, list):
-        value = " ".join(t for t in map(reason_text, value) if t)
-    elif isinstance(value, dict):
-        value = reason_text(value.get("text", " ".join(t for t in map(reason_text, value.values()) if t)))
-    elif isinstance(value, int | float) and not isinstance(value, bool):
-        value = str(value)
-    return value if isinstance(value, str) and value.strip() else None
+    texts, stack = [], [value]
+    while stack:
+        v = held(stack.pop())
+        if isinstance(v, list):
+            stack += reversed(v)
+        elif isinstance(v, dict):
+            stack += [v["text"]] if "text" in v else reversed(v.values())
+        elif isinstance(v, int | float) and not isinstance(v, bool):
+            texts.append(str(v))
+        elif isinstance(v, str) and v.strip():
+            texts.append(v)
+    return " ".join(texts) or None
 
 
 def is_sample(value: Any) -> bool:
@@ -107,13 +114,13 @@ def entries_of(sample: dict) -> Iterator[tuple[int, int, Any]]:
         places[rule] = place + 1
         return rule, place, entry
 
-    for key, value in sample.items():
-        if (m := RULE_KEY.match(key)) and (value := held(value)) is not None:
-            for entry in value if isinstance(value, list) else [value]:
-                yield placed(int(m[1]), held(entry))
-    listed = held(sample.get("violations"))
-    if isinstance(listed, dict):
-        yield from (placed(r, e) for r, _, e in entries_of(listed))
+    listed: Any = sample
+    while isinstance(listed, dict):  # `violations` may be a mapping by rule, which may have `violations` again
+        for key, value in listed.items():
+            if (m := RULE_KEY.match(key)) and (value := held(value)) is not None:
+                for entry in value if isinstance(value, list) else [value]:
+                    yield placed(int(m[1]), held(entry))
+        listed = held(listed.get("violations"))
     for entry in listed if isinstance(listed, list) else []:
         entry = held(entry)
         if isinstance(entry, dict) and (m := RULE_VALUE.match(str(entry.get("rule")))):
@@ -124,7 +131,8 @@ def labelled_nodes(payload: str | None) -> list[dict]:
     """The typed nodes of one document with their interval labels, in `pre` order.
 
     Kinds: sample, violation, box (of the violation around it), object (a box of the class `name`).
-    A payload that is null or not one whole JSON text has no nodes.
+    A payload that is null or not one whole JSON text has no nodes. Samples are found at any depth that
+    the JSON reader takes (some 10 000 levels); a payload nested deeper has no nodes either.
     """
     try:
         root = json.loads(payload) if payload is not None else None
@@ -159,18 +167,16 @@ def labelled_nodes(payload: str | None) -> list[dict]:
                 leave(enter("object", i, name=name, corners=corners))
         leave(node)
 
-    def walk(value: Any, place: int, depth: int) -> None:
+    waiting = [(root, 0)]  # a stack, so that samples are found at any depth
+    while waiting:
+        value, place = waiting.pop()
         value = held(value)
         if is_sample(value):
             walk_sample(value, place)
-        elif depth and isinstance(value, dict):
-            for x in value.values():
-                walk(x, 0, depth - 1)
-        elif depth and isinstance(value, list):
-            for i, x in enumerate(value):
-                walk(x, i, depth - 1)
-
-    walk(root, 0, 64)
+        elif isinstance(value, dict):
+            waiting.extend((x, 0) for x in reversed(value.values()))
+        elif isinstance(value, list):
+            waiting.extend((x, i) for i, x in reversed(list(enumerate(value))))
     return nodes
 
 

@@ -82,6 +82,19 @@ def test_nested_bad_payloads_and_tables(spark):
     assert {r["sample_pre"] for r in tables["box"].collect()} == keys and tables["sample"].first()["view"] == "5"
 
 
+@pytest.mark.parametrize("depth", [65, 5000, 20_000])
+def test_nested_depth(depth):
+    deep = lambda text: "[" * depth + text + "]" * depth
+    found = depth < 10_000  # deeper than the JSON reader goes there are no nodes
+    kinds = lambda text: [n["kind"] for n in nested.labelled_nodes(text)]
+    assert kinds(deep(json.dumps(SAMPLE))) == ["sample", "violation", "box", "box", "box"] * found
+    assert kinds(json.dumps({"a": deep(json.dumps(SAMPLE)), "b": SAMPLE})).count("sample") == 1 + found
+    reasons = [n["text"] for n in nested.labelled_nodes('{"rule_1": {"reason": ' + deep('"r"') + "}}") if n["kind"] == "violation"]
+    assert reasons == ["r"] * found
+    chain = '{"violations": ' * depth + '{"rule_2": "r"}' + "}" * depth
+    assert kinds(chain) == ["sample", "violation"] * found
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.recursive(st.none() | st.integers() | st.text(max_size=4), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.sampled_from(["rule_1", "violations", "rule", "bounding_box", "reason", "sample"]), c, max_size=4), max_leaves=20))
 def test_interval_labels_nest(value):
