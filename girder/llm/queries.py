@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +64,14 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.proportional_sample(*_cells(spark, folder))
 
 
+def _needed(rows: int) -> Column:
+    return F.greatest("min_rows", F.floor(F.lit(rows) * F.col("share") / 1000)).cast("bigint")
+
+
 def _report(spark: SparkSession, folder: str) -> DataFrame:
     rows, targets, plan = _cells(spark, folder)
-    n = rows.count()
+    needed = _needed(rows.count())
     report = sampling.sample_report(rows, targets, plan)
-    needed = F.greatest("min_rows", F.floor(F.lit(n) * F.col("share") / 1000)).cast("bigint")
     return report.withColumn("needed", needed).withColumn("short", F.greatest(needed - F.col("available"), F.lit(0)))
 
 
@@ -75,8 +80,16 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Short cells: all their rows are taken and still fewer than needed."""
-    return _report(spark, folder).where((F.col("available") < F.col("needed")) & (F.col("taken") <= F.col("available"))).select("illumination", "rule_4")
+    """Short cells: a draw that serves every cell's needed rows first takes fewer of theirs.
+
+    The draw is as large as all needs together, so a cell that gets less has no more. The count of its
+    rows is the check behind it; it alone decides a cell without a share, from which nothing is drawn.
+    """
+    rows, targets, plan = _cells(spark, folder)
+    floors = targets.withColumn("min_rows", _needed(rows.count()))
+    size = floors.agg(F.sum("min_rows")).first()[0] or 0
+    report = sampling.sample_report(rows, floors, replace(plan, size=size))
+    return report.where((F.col("taken") < F.col("min_rows")) & (F.col("available") < F.col("min_rows"))).select("illumination", "rule_4")
 
 
 # p5: items that appear together

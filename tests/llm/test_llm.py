@@ -177,6 +177,21 @@ def test_sample_is_the_apportionment(spark):
     assert sampling.proportional_sample(df.limit(0), t, plan).count() == 0 and sampling.proportional_sample(df, t.limit(0), plan).count() == 0
 
 
+def test_short_cells_come_from_the_draw(spark, monkeypatch):
+    from girder.llm import queries
+
+    cells = [("a", 0)] * 200 + [("a", 1)] * 97 + [("b", 0)] * 3
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "sample_id BIGINT, illumination STRING, rule_4 BIGINT")
+    targets = spark.createDataFrame([("a", 0, 500, 5), ("a", 1, 300, 50), ("b", 0, 100, 1), ("b", 1, 10, 2)], "illumination STRING, rule_4 BIGINT, share BIGINT, min_rows BIGINT")
+    needed = {("a", 0): 150, ("a", 1): 90, ("b", 0): 30, ("b", 1): 3}
+    monkeypatch.setattr(queries, "_cells", lambda *_: (rows, targets, sampling.SamplePlan("sample_id", ("illumination", "rule_4"), 30)))
+    drawn, draw = [], sampling.proportional_sample
+    monkeypatch.setattr(sampling, "proportional_sample", lambda *a: drawn.append(draw(*a)) or drawn[-1])
+    got = {tuple(x) for x in queries.p4_found(spark, "").collect()}
+    taken = Counter((x["illumination"], x["rule_4"]) for x in drawn[-1].collect())
+    assert got == {("b", 0), ("b", 1)} == {c for c in needed if taken[c] < needed[c]} and taken["b", 0] == 3
+
+
 # p5
 @pytest.mark.parametrize("heavy", [0, 3, 1000])
 def test_pairs_equal_brute_force(spark, heavy):
