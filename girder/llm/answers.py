@@ -245,8 +245,9 @@ def is_template(value: Any, reading: Reading) -> bool:
 
 
 def defects(reading: Reading, prompt: str | None, lang: str | None) -> list[str]:
-    """All rules that apply, in order: empty, copied_prompt, refusal, other_language.
+    """The rules that apply, in order: empty, copied_prompt, refusal, other_language.
 
+    The first wins for 'empty' and before 'other_language', which is only tested if nothing else was found.
     'truncated' is decided with the statistics of the corpus, see truncation.
     """
     if reading.state == "empty":
