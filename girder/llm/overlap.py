@@ -1,12 +1,14 @@
 """p3: records of evaluation splits that are also in the training split, exactly or nearly.
 
 Captions are canonicalised (case, punctuation, spacing, character forms) and hashed; equal hashes are
-one class, and everything below works on one row per class. Near matches are found without a miss: the
-words of a class (the second use of a word counts as another word) are counted in a few hundred
-columns, the most common words in one of their own, the others hashed. The product of two such rows is
-never less than the number of shared words, so a matrix product of all evaluation and training classes
-of comparable length rules out all pairs but a few, and these are compared word by word. The time grows
-with the product of the two sides.
+one class, and everything below works on one row per class. Near matches are found without a miss by a
+prefix filter: a caption of n words shares at least three quarters of them with any partner, so of its
+n/4 + k rarest words at least k are the partner's too. The evaluation classes are the query set; they
+are compared with all training classes in cells. In a cell every word has a bit row over the training
+classes, and the bit rows of a caption's rarest words are added up bit by bit, so that one pass of a few
+hundred operations on long integers rules out thousands of training classes. The few pairs left are
+compared word by word. On texts whose vocabulary grows, most words' bit rows are nearly empty; with a
+closed vocabulary the time grows with the product of the two sides.
 """
 
 from __future__ import annotations
@@ -17,26 +19,26 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_blank
 from ..session import cut_lineage
 
 #: Shared words over the larger number of words, from which two captions are of the same wording.
 SAME_WORDING = 0.75
-#: Columns for each word of a mean caption (in steps of 128, within the bounds), and the share of them for single words.
-COLUMNS_A_WORD, LEAST_COLUMNS, MOST_COLUMNS, SINGLE = 4, 256, 4096, 0.75
-#: Classes from which the most common words are taken; which words these are changes the time only.
-SAMPLED = 20_000
+#: Codes that words are hashed to; words that share one can only add pairs to check.
+CODES = 1 << 16
+#: A caption's rarest words are counted beyond the necessary ones by this share of all its words.
+SURPLUS = 1 / 4
+#: Training classes in one bit row, and evaluation classes whose rows are added up together.
+ROW_BITS, TOGETHER = 8_192, 32
 #: Most classes of a side in one cell, the classes from which a side is split at all, and the parts it then has at least.
 CELL, SMALL_CELL, LEAST_PARTS = 32_768, 4_096, 4
-#: Rows of evaluation and training in one matrix product.
-EVAL_ROWS, TRAIN_ROWS = 2_048, 1_024
 
 # Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans(
@@ -59,13 +61,6 @@ def canonical(text: str) -> list[list[str]]:
     return [words for s in _SENTENCE.split(text) if (words := _WORD.findall(s))]
 
 
-@lru_cache(maxsize=200_000)
-def _hash64(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word)
-
-
 def _mapped(df: DataFrame, schema: str, make):
     """mapInArrow over single-use rows: `make` turns the columns of a batch into the columns of the result."""
 
@@ -76,91 +71,146 @@ def _mapped(df: DataFrame, schema: str, make):
     return df.mapInArrow(run, schema)
 
 
-def canonical_captions(records: DataFrame, id: str, text: str) -> DataFrame:
-    """id and `canon`: the canonical words, one line a sentence. Null and blank captions are left out."""
+def canonical_captions(records: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """keep… and `canon`: the canonical words, one line a sentence; empty for null texts and texts without words."""
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lines = ["\n".join(map(" ".join, canonical(t))) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], [id, "canon"])
+        lines = ["\n".join(map(" ".join, canonical(t or ""))) for t in batch.column(len(keep)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lines, pa.string())], [*keep, "canon"])
 
-    kept = records.where(~is_blank(F.col(text))).select(id, F.col(text).alias("__text"))
-    return _mapped(kept, f"{id} {kept.schema[id].dataType.simpleString()}, canon STRING", make).where("canon <> ''")
+    kept = records.select(*keep, F.col(text).alias("__text"))
+    return _mapped(kept, ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keep) + ", canon STRING", make)
 
 
-def numbered(canon: str) -> list[tuple[str, int]]:
-    """Each word with the number of times it came before, so that shared words are shared members."""
+def code_row(canon: str, known: dict[tuple[str, int], int]) -> np.ndarray:
+    """A code of each word; the second use of a word is another word, so that shared words are shared codes."""
     seen: dict[str, int] = {}
-    out = []
+    codes = []
     for w in canon.split():
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        out.append((w, n))
-    return out
-
-
-def common_words(classes: DataFrame, count: int, most: int) -> list[tuple[str, int]]:
-    """The `most` most common numbered words of about SAMPLED classes."""
-
-    def make_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = Counter(x for c in batch.column(0).to_pylist() for x in numbered(c))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["word", "use", "n"])
-
-    sampled = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, count // SAMPLED))) == 0)
-    counts = sampled.select("canon").mapInArrow(make_counts, "word STRING, use BIGINT, n BIGINT").groupBy("word", "use").agg(F.sum("n").alias("n"))
-    return [(r["word"], r["use"]) for r in counts.orderBy(F.desc("n"), "word", "use").limit(most).collect()]
+        n = seen[w] = seen.get(w, -1) + 1
+        code = known.get((w, n))
+        if code is None:
+            if len(known) > 200_000:
+                known.clear()
+            code = known[w, n] = xxhash.xxh64_intdigest(w, n) % CODES
+        codes.append(code)
+    return np.array(codes, np.uint16)
 
 
-def in_columns(classes: DataFrame, common: list[tuple[str, int]], columns: int) -> DataFrame:
-    """(class_id, in_train, in_eval, words, columns): number of words, and the column of each as 16 bits."""
-    shared = classes.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(common)})
-    left = columns - len(common)
+def coded(classes: DataFrame) -> DataFrame:
+    """(class_id, in_train, in_eval, words, codes): number of words, and the code of each as 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        known: dict[tuple[str, int], int] = {}
         for batch in batches:
-            rows = []
-            for canon in batch.column(1).to_pylist():
-                of = [i if (i := own.get(x)) is not None else len(own) + (_hash64(x[0]) + x[1]) % left for x in numbered(canon)]
-                rows.append(np.array(of, np.uint16))
+            rows = [code_row(c, known) for c in batch.column(1).to_pylist()]
             words, packed = pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], words, packed], ["class_id", "in_train", "in_eval", "words", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], words, packed], ["class_id", "in_train", "in_eval", "words", "codes"])
 
-    return classes.select("class_id", "canon", "in_train", "in_eval").mapInArrow(run, "class_id BIGINT, in_train BOOLEAN, in_eval BOOLEAN, words INT, columns BINARY")
+    return classes.select("class_id", "canon", "in_train", "in_eval").mapInArrow(run, "class_id BIGINT, in_train BOOLEAN, in_eval BOOLEAN, words INT, codes BINARY")
 
 
-def _matrix(packed: list[bytes], words: np.ndarray, columns: int) -> np.ndarray:
-    """One row of counts per class."""
-    at = np.frombuffer(b"".join(packed), np.uint16) + np.repeat(np.arange(len(packed)) * columns, words)
-    return np.bincount(at, minlength=len(packed) * columns).reshape(len(packed), columns).astype(np.float32)
+def _bit_rows(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One row of bits per code of a block, set for the classes that have it, and the row of each code.
 
-
-def possible_pairs(left: pa.Table, right: pa.Table, columns: int) -> pa.Table:
-    """(eval_class, train_class): all pairs of two cells that may be of the same wording, by length and shared columns."""
-    sides = []
-    for side in (left, right):
-        side = side.sort_by("words")
-        sides.append((side["class_id"].to_numpy(), side["words"].to_numpy().astype(np.int64), side["columns"].to_pylist()))
-    (eval_ids, eval_words, eval_packed), (train_ids, train_words, train_packed) = sides
+    The last row is empty; it is that of the codes nobody has.
+    """
+    code = np.concatenate(block)
+    member = np.repeat(np.arange(len(block)), [len(r) for r in block])
+    own, at = np.unique(code, return_inverse=True)
+    flags = np.zeros((len(own) + 1, -(-len(block) // 64) * 64), bool)
+    flags[at, member] = True
+    row_of = np.full(CODES, len(own), np.int64)
+    row_of[own] = np.arange(len(own))
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64), row_of
+
+
+def at_least(rows: list[np.ndarray], least: int) -> np.ndarray:
+    """The bits that are set in at least `least` of the rows: the rows are added up by carry-save adders."""
+    planes: list[list[np.ndarray]] = [list(rows)]  # the bits of planes[k] count 2^k each
+    k = 0
+    while k < len(planes):
+        waiting = planes[k]
+        while len(waiting) > 1:
+            a, b = waiting.pop(), waiting.pop()
+            odd, carry = a ^ b, a & b
+            if waiting:
+                c = waiting.pop()
+                carry |= odd & c
+                odd ^= c
+            if k + 1 == len(planes):
+                planes.append([])
+            planes[k + 1].append(carry)
+            waiting.append(odd)
+        k += 1
+    # compare the sums with `least` from the highest bit down
+    above = np.zeros_like(rows[0])
+    equal = ~above
+    for k in reversed(range(max(len(planes), least.bit_length()))):
+        plane = planes[k][0] if k < len(planes) else np.zeros_like(above)
+        if least >> k & 1:
+            equal &= plane
+        else:
+            above |= equal & plane
+            equal &= ~plane
+    return above | equal
+
+
+@dataclass
+class _Side:
+    """The classes of one side of a cell in order of their length."""
+
+    ids: np.ndarray
+    words: np.ndarray
+    codes: list[np.ndarray]
+
+    @staticmethod
+    def of(table: pa.Table) -> _Side:
+        table = table.sort_by("words")
+        return _Side(table["class_id"].to_numpy(), table["words"].to_numpy().astype(np.int64), [np.frombuffer(c, np.uint16) for c in table["codes"].to_pylist()])
+
+
+def possible_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(eval_class, train_class): all pairs of two cells that may be of the same wording, by length and shared codes."""
+    evals, trains = _Side.of(left), _Side.of(right)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for e in range(0, len(eval_ids), EVAL_ROWS):
-        n = eval_words[e : e + EVAL_ROWS]
-        a = _matrix(eval_packed[e : e + EVAL_ROWS], n, columns)
-        first = np.searchsorted(train_words, SAME_WORDING * n[0])
-        last = np.searchsorted(train_words, n[-1] / SAME_WORDING, "right")
-        for t in range(first, last, TRAIN_ROWS):
-            end = min(t + TRAIN_ROWS, last)
-            m = train_words[t:end]
-            # a row of the block can only match if its length is in reach of the training rows' lengths
-            low, high = np.searchsorted(n, SAME_WORDING * m[0]), np.searchsorted(n, m[-1] / SAME_WORDING, "right")
-            product = a[low:high] @ _matrix(train_packed[t:end], m, columns).T
-            i, j = np.nonzero(product >= (SAME_WORDING * n[low:high, None]).astype(np.float32))
-            keep = product[i, j] >= SAME_WORDING * m[j]
-            found.append((eval_ids[e + low + i[keep]], train_ids[t + j[keep]]))
+    if len(evals.ids) and len(trains.ids):
+        frequency = np.bincount(np.concatenate(trains.codes), minlength=CODES)
+        rare_first = [c[np.argsort(frequency[c], kind="stable")] for c in evals.codes]
+        for start in range(0, len(trains.ids), ROW_BITS):
+            end = min(start + ROW_BITS, len(trains.ids))
+            bits, row_of = _bit_rows(trains.codes[start:end])
+            # evaluation classes whose length is in reach of the block's lengths
+            low = np.searchsorted(evals.words, SAME_WORDING * trains.words[start])
+            high = np.searchsorted(evals.words, trains.words[end - 1] / SAME_WORDING, "right")
+            for e in range(low, high, TOGETHER):
+                group = range(e, min(e + TOGETHER, high))
+                found += [(np.full(len(t), evals.ids[i]), trains.ids[t]) for i, t in _partners(group, rare_first, bits, row_of, trains, start)]
     x, y = (np.concatenate(c) for c in zip(*found, strict=True))
     return pa.table({"eval_class": x[x != y], "train_class": y[x != y]})
 
 
+def _partners(group: range, rare_first: list[np.ndarray], bits: np.ndarray, row_of: np.ndarray, trains: _Side, start: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(evaluation class, places of its possible partners in the block that begins at `start`) of a group of like length."""
+    needed = [math.ceil(SAME_WORDING * len(rare_first[i])) for i in group]
+    surplus = min(needed[0], max(1, int(SURPLUS * len(rare_first[group[0]]))))  # the first is the shortest
+    counted = [len(rare_first[i]) - n + surplus for i, n in zip(group, needed, strict=True)]
+    place = np.full((max(counted), len(group)), len(bits) - 1)
+    for k, i in enumerate(group):
+        place[: counted[k], k] = row_of[rare_first[i][: counted[k]]]
+    hits = at_least([bits[p] for p in place], surplus)
+    flags = np.zeros(CODES, bool)
+    for k in np.flatnonzero(hits.any(axis=1)):
+        own = rare_first[group[k]]
+        at = start + np.flatnonzero(np.unpackbits(hits[k].view(np.uint8), bitorder="little"))
+        flags[own] = True
+        shared = np.add.reduceat(flags[np.concatenate([trains.codes[t] for t in at])], np.r_[0, np.cumsum(trains.words[at])[:-1]], dtype=np.int64)
+        flags[own] = False
+        kept = at[shared >= SAME_WORDING * np.maximum(len(own), trains.words[at])]
+        if len(kept):
+            yield group[k], kept
+
+
 def _parts(count: int) -> int:
     return max(-(-count // CELL), min(LEAST_PARTS, -(-count // SMALL_CELL)), 1)
 
@@ -185,15 +235,14 @@ def near_classes(classes: DataFrame) -> DataFrame:
     `classes`: class_id, canon, in_train, in_eval. A class on both sides is compared as either. Each pair
     meets in one cell, that of its evaluation part and its training part.
     """
-    sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_eval").alias("evals"), F.count_if("in_train").alias("trains"), F.avg(F.size(F.split("canon", "[ \n]"))).alias("words")).first()
-    columns = min(max(128 * math.ceil(COLUMNS_A_WORD * (sizes["words"] or 0) / 128), LEAST_COLUMNS), MOST_COLUMNS)
-    rows = cut_lineage(in_columns(classes, common_words(classes, sizes["n"], int(SINGLE * columns)), columns))
+    sizes = classes.agg(F.count_if("in_eval").alias("evals"), F.count_if("in_train").alias("trains")).first()
+    rows = cut_lineage(coded(classes))
     eval_parts, train_parts = _parts(sizes["evals"]), _parts(sizes["trains"])
-    part = lambda parts: F.pmod(F.xxhash64("class_id"), F.lit(parts))
+    part = lambda parts: F.pmod(F.xxhash64("class_id"), F.lit(parts)).cast("bigint")
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-    left = rows.where("in_eval").select(part(eval_parts).cast("bigint").alias("e"), every(train_parts).alias("t"), "class_id", "words", "columns")
-    right = rows.where("in_train").select(every(eval_parts).alias("e"), part(train_parts).cast("bigint").alias("t"), "class_id", "words", "columns")
-    candidates = left.groupBy("e", "t").cogroup(right.groupBy("e", "t")).applyInArrow(lambda a, b: possible_pairs(a, b, columns), "eval_class BIGINT, train_class BIGINT")
+    left = rows.where("in_eval").select(part(eval_parts).alias("e"), every(train_parts).alias("t"), "class_id", "words", "codes")
+    right = rows.where("in_train").select(every(eval_parts).alias("e"), part(train_parts).alias("t"), "class_id", "words", "codes")
+    candidates = left.groupBy("e", "t").cogroup(right.groupBy("e", "t")).applyInArrow(possible_pairs, "eval_class BIGINT, train_class BIGINT")
     text = classes.select("class_id", "canon")
     with_text = (
         candidates.join(text.withColumnsRenamed({"class_id": "eval_class", "canon": "eval_canon"}), "eval_class")
@@ -215,25 +264,62 @@ def image_number(image_id):
     return F.when(digits != "", digits.cast("bigint"))
 
 
-def split_overlaps(records: DataFrame, id: str, split: str, image: str, caption: str, train: str = "train") -> DataFrame:
-    """(eval_id, train_id): all pairs of a training and an evaluation record with one image number or wording.
+@dataclass(frozen=True)
+class Sides:
+    """members: id, is_train, number, class_id of every record; links: (eval_class, train_class), equal classes included."""
 
-    Rows whose split is null take part in neither side. Null or unreadable image ids and null or blank
-    captions match nothing. Repeated ids give repeated rows only once. Empty inputs give no rows.
+    members: DataFrame
+    links: DataFrame
+
+
+def linked_classes(records: DataFrame, id: str, split: str, image: str, caption: str, train: str) -> Sides:
+    """The classes of equal canonical captions and their links; a record without words has a null class.
+
+    A class is the captions of one hash and one length in characters, so that a chance collision of the
+    64-bit hash alone doesn't join two wordings.
     """
     rows = records.where(F.col(split).isNotNull()).select(
         F.col(id).alias("id"), (F.col(split) == train).alias("is_train"), image_number(F.col(image)).alias("number"), F.col(caption).alias("caption")
     )
-    numbered = rows.where("number is not null")
-    by_image = numbered.where("not is_train").select(F.col("id").alias("eval_id"), "number").join(numbered.where("is_train").select(F.col("id").alias("train_id"), "number"), "number").drop("number")
-    canon = canonical_captions(rows.select("id", "caption"), "id", "caption").select("id", "canon", F.xxhash64("canon", F.lit(1)).alias("class_id"))
-    members = cut_lineage(canon.join(rows.select("id", "is_train"), "id"))
+    canon = canonical_captions(rows, ["id", "is_train", "number"], "caption")
+    members = cut_lineage(canon.withColumn("class_id", F.when(F.col("canon") != "", F.xxhash64("canon", F.length("canon")))))
     classes = cut_lineage(
-        members.groupBy("class_id").agg(F.min("canon").alias("canon"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+        members.where("class_id is not null").groupBy("class_id").agg(F.min("canon").alias("canon"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     )
-    near = near_classes(classes)
     same = classes.where("in_train and in_eval").select(F.col("class_id").alias("eval_class"), F.col("class_id").alias("train_class"))
-    e = members.where("not is_train").select(F.col("id").alias("eval_id"), F.col("class_id").alias("eval_class"))
-    t = members.where("is_train").select(F.col("id").alias("train_id"), F.col("class_id").alias("train_class"))
-    by_caption = near.unionByName(same).join(e, "eval_class").join(t, "train_class").select("eval_id", "train_id")
+    return Sides(members.drop("canon"), near_classes(classes).unionByName(same))
+
+
+def split_overlaps(records: DataFrame, id: str, split: str, image: str, caption: str, train: str = "train") -> DataFrame:
+    """(eval_id, train_id): all pairs of a training and an evaluation record with one image number or wording.
+
+    Rows whose split is null take part in neither side. Null or unreadable image ids and null or blank
+    captions match nothing. Repeated ids give repeated rows only once. Empty inputs give no rows.
+    """
+    sides = linked_classes(records, id, split, image, caption, train)
+    of = lambda train, name, *more: sides.members.where(F.col("is_train") == train).select(F.col("id").alias(f"{name}_id"), *more)
+    by_image = of(False, "eval", "number").join(of(True, "train", "number"), "number").drop("number")
+    e, t = of(False, "eval", F.col("class_id").alias("eval_class")), of(True, "train", F.col("class_id").alias("train_class"))
+    by_caption = sides.links.join(e, "eval_class").join(t, "train_class").select("eval_id", "train_id")
     return by_image.unionByName(by_caption).distinct()
+
+
+def overlap_counts(records: DataFrame, id: str, split: str, image: str, caption: str, train: str = "train") -> DataFrame:
+    """(eval_id, pairs): evaluation records with at least one training record, and the number of these.
+
+    The pairs are not built: partners by image number and by caption are counted from the sizes of the
+    numbers and classes, and those that are both are taken off once. Records with one id count as one.
+    """
+    sides = linked_classes(records, id, split, image, caption, train)
+    members = sides.members.distinct()
+    links = cut_lineage(sides.links)
+    e = members.where("not is_train").select(F.col("id").alias("eval_id"), "number", F.col("class_id").alias("eval_class"))
+    t = members.where("is_train").select("id", "number", F.col("class_id").alias("train_class"))
+    size = F.count(F.lit(1))
+    by_number = t.where("number is not null").groupBy("number").agg(size.alias("n_image"))
+    by_class = links.join(t.groupBy("train_class").agg(size.alias("n")), "train_class").groupBy("eval_class").agg(F.sum("n").alias("n_caption"))
+    kinds = e.where("number is not null and eval_class is not null").select("number", "eval_class").distinct()
+    by_both = kinds.join(links, "eval_class").join(t.groupBy("number", "train_class").agg(size.alias("n")), ["number", "train_class"]).groupBy("number", "eval_class").agg(F.sum("n").alias("n_both"))
+    found = e.join(by_number, "number", "left").join(by_class, "eval_class", "left").join(by_both, ["number", "eval_class"], "left").na.fill(0, ["n_image", "n_caption", "n_both"])
+    pairs = F.col("n_image") + F.col("n_caption") - F.col("n_both")
+    return found.groupBy("eval_id").agg(F.max(pairs).alias("pairs")).where("pairs > 0")

@@ -35,17 +35,16 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # p3: overlaps across splits
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.split_overlaps(table(spark, folder, "raw_sample"), "sample_id", "split", "image_id", "image_caption")
+SAMPLE_COLUMNS = ("sample_id", "split", "image_id", "image_caption")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlaps(spark, folder).select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
+    return overlap.split_overlaps(table(spark, folder, "raw_sample"), *SAMPLE_COLUMNS).select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Per split and source of the evaluation record: its records, those also in training, and the pairs."""
-    pairs = _overlaps(spark, folder).groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = overlap.overlap_counts(table(spark, folder, "raw_sample"), *SAMPLE_COLUMNS)
     rows = table(spark, folder, "raw_sample").where("split in ('val', 'test')").select("sample_id", "split", "source")
     return rows.join(pairs, rows["sample_id"] == pairs["eval_id"], "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("records"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")

@@ -109,10 +109,36 @@ def test_overlaps_equal_brute_force(spark):
         (e[0], t[0]) for e in rows if e[1] in ("val", "test") for t in rows
         if t[1] == "train" and ((number(e[2]) is not None and number(e[2]) == number(t[2])) or (canon[e[0]] and canon[t[0]] and overlap.same_wording(canon[e[0]], canon[t[0]])))
     }
-    assert got <= want and len(want) > 20 and len(got) >= 0.97 * len(want)
+    assert got == want and len(want) > 20
+    counts = {x["eval_id"]: x["pairs"] for x in overlap.overlap_counts(df, "id", "split", "image", "caption").collect()}
+    assert counts == Counter(e for e, _ in want)
     assert overlap.split_overlaps(df.limit(0), "id", "split", "image", "caption").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.booleans(), min_size=64, max_size=64), min_size=1, max_size=40), st.integers(1, 45))
+def test_added_bit_rows(rows, least):
+    packed = [np.packbits(np.array(r), bitorder="little").view(np.uint64) for r in rows]
+    got = np.unpackbits(overlap.at_least(packed, least).view(np.uint8), bitorder="little").astype(bool)
+    assert (got == (np.array(rows).sum(axis=0) >= least)).all()
+
+
+@pytest.mark.parametrize("codes", [1 << 16, 50])
+def test_the_prefix_filter_misses_nothing(monkeypatch, codes):
+    """All lengths from one word, a small vocabulary, blocks that end anywhere, and codes that many words share."""
+    for name, value in (("CODES", codes), ("ROW_BITS", 100), ("TOGETHER", 7)):
+        monkeypatch.setattr(overlap, name, value)
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([1, 2, 3, 5, 8, 13, 30]))) for _ in range(500)]
+    rows = [overlap.code_row(t, {}) for t in texts]
+    side = lambda ids: overlap.pa.table({"class_id": ids, "words": [len(rows[i]) for i in ids], "codes": [rows[i].tobytes() for i in ids]})
+    out = overlap.possible_pairs(side(list(range(200))), side(list(range(200, 500)))).to_pydict()
+    want = {(e, t) for e in range(200) for t in range(200, 500) if overlap.same_wording(texts[e], texts[t])}
+    got = set(zip(out["eval_class"], out["train_class"], strict=True))
+    assert want <= got and len(want) > 50 and (codes == 50 or got == want)
+    assert overlap.possible_pairs(side([0]), side([1]).slice(1)).num_rows == 0
+
+
 def test_a_hot_group_of_near_copies_is_found(spark):
     base = "The lime barrier runs by two skips near the far column while five painters rest against the wall today"
     rows = [(i, "train" if i % 2 else "test", str(i), f"{base} extra{i}.", 1) for i in range(120)] + [(500 + i, "test", str(500 + i), f"other{i} words{i} stand{i} here{i} alone{i}.", 1) for i in range(120)]
@@ -140,6 +166,22 @@ def test_a_large_group_of_edited_copies_is_found(spark, share):
     assert got == want and len(want) > 500
 
 
+@pytest.mark.parametrize(("copies", "changed"), [(200, 2), (200, 4), (200, 8), (30, 4), (30, 8)])
+def test_groups_of_short_captions_from_a_small_vocabulary(spark, copies, changed):
+    r = random.Random(11)
+    draw = lambda n: [f"v{r.randrange(800)}" for _ in range(n)]
+    base, captions = draw(40), []
+    for _ in range(copies):
+        own = list(base)
+        for at in r.sample(range(40), changed):
+            own[at] = draw(1)[0]
+        captions.append(own)
+    captions += [draw(40) for _ in range(1000)]
+    rows = [(i, "train" if i % 2 else "test", None, " ".join(c), 1) for i, c in enumerate(captions)]
+    got = {tuple(x) for x in overlap.split_overlaps(spark.createDataFrame(rows, "id BIGINT, split STRING, image STRING, caption STRING, canon INT"), "id", "split", "image", "caption").collect()}
+    assert got == {(e[0], t[0]) for e in rows for t in rows if e[1] == "test" and t[1] == "train" and overlap.same_wording(e[3], t[3])}
+
+
 def test_scattered_edits_of_ordinary_captions_are_found(spark):
     r = random.Random(9)
     phrases = [[f"p{i}w{k}" for k in range(12)] for i in range(40)]  # all captions draw on these, so most of their word pairs are common
