@@ -1,14 +1,15 @@
-"""Scoring of model answers against the annotation they carry.
+"""Scoring of model answers against the annotation of their image.
 
 Input of everything here is `scored`: one row per answer with the strictly parsed answer and the true
 sample. From it come two narrow fact tables, one row per answer and class and one per answer and rule;
 every metric is a conditional aggregate over one of them, on at most a handful of keys, so the only
-shuffle moves partial sums.
+shuffle moves partial sums. Pooled and averaged values are computed from the few sums of each group in
+one more step, so no fact is read twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
@@ -35,6 +36,19 @@ def assert_not_empty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def with_truth(answers: DataFrame, samples: DataFrame, key: str, order: str) -> DataFrame:
+    """`answers` (key, sample, …) with the missing samples filled in from `samples` (key, order, the fields of a sample).
+
+    An embedded sample is kept. Of several samples with one key the last by `order` counts; answers whose
+    key is null or in no sample keep a null. The samples are made unique before the join, so a key that
+    many answers share meets one row.
+    """
+    fields = [f.name for f in answers.schema["sample"].dataType.fields]
+    last = samples.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*fields), order).alias("__truth"))
+    joined = answers.join(last, F.when(F.col("sample").isNull(), F.col(key)) == F.col("__key"), "left")
+    return joined.withColumn("sample", F.coalesce("sample", "__truth")).drop("__key", "__truth")
+
+
 def scored(answers: DataFrame) -> DataFrame:
     """Answers with `parsed`. `answers`: id, task, raw_output, sample and any further columns.
 
@@ -77,17 +91,54 @@ def presence(facts: DataFrame, *by: str) -> DataFrame:
     return with_averages(counts, "class", ["tp", "fp", "fn", "tn", "exist"], by)
 
 
-def with_averages(counts: DataFrame, key: str, columns: list[str], by: tuple[str, ...]) -> DataFrame:
-    """Precision, recall and F1 of each row, of the pooled counts ('micro') and their means ('macro')."""
+def per_group(counts: DataFrame, by: tuple[str, ...], rows) -> DataFrame:
+    """by… and the fields of the structs that `rows` makes of each group's list of rows (an array column to an array column)."""
+    fields = [c for c in counts.columns if c not in by]
+    lists = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__rows")).where("size(__rows) > 0")
+    return lists.select(*by, F.inline(rows(F.col("__rows"))))
+
+
+def pooled(rows: Column, key: str, name: str, columns: list[str]) -> Column:
+    """One struct like those of `rows`, its key `name` and its columns summed."""
+
+    def total(c: str) -> Column:
+        zero = F.lit(0).cast("bigint" if c in COUNTS else "double")
+        return F.aggregate(rows, zero, lambda t, r: t + r[c]).alias(c)
+
+    return F.struct(F.lit(name).alias(key), *[total(c) for c in columns])
+
+
+def mean_of(rows: Column, column: str, n: int | None = None) -> Column:
+    """The mean of a column of the structs, over `n` if that is given."""
+    return F.aggregate(rows, F.lit(0.0), lambda t, r: t + r[column]) / (F.size(rows) if n is None else F.lit(n))
+
+
+def precision_recall(row: Column) -> list[Column]:
+    precision, recall = ratio(row["tp"], row["tp"] + row["fp"]), ratio(row["tp"], row["tp"] + row["fn"])
+    return [precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f1")]
+
+
+#: Columns that are counts; all others are sums of numbers.
+COUNTS = frozenset({"tp", "fp", "fn", "tn", "exist", "rows", "there", "common", "tn_count", "pairs"})
+
+
+def with_averages(counts: DataFrame, key: str, columns: list[str], by: tuple[str, ...], apart: str = "") -> DataFrame:
+    """Precision, recall and F1 of each row, of the pooled counts ('micro') and their means ('macro').
+
+    A row whose key is `apart` has its own values but no part in the pooled and averaged ones.
+    """
 
-    def prf(df: DataFrame) -> DataFrame:
-        precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-        return df.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    def rows(own: Column) -> Column:
+        averaged = F.filter(own, lambda r: r[key] != apart)
+        with_scores = lambda a: F.transform(a, lambda r: F.struct(r[key].alias(key), *[r[c].alias(c) for c in columns], *precision_recall(r)))
+        means = [mean_of(with_scores(averaged), c).alias(c) for c in ("precision", "recall", "f1")]
+        macro = F.struct(F.lit("macro").alias(key), *[F.lit(None).cast("bigint").alias(c) for c in columns], *means)
+        return F.concat(with_scores(F.concat(own, F.array(pooled(averaged, key, "micro", columns)))), F.array(macro))
 
-    single = prf(counts)
-    pooled = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns]).withColumn(key, F.lit("micro"))
-    means = single.groupBy(*by).agg(*[F.lit(None).cast("bigint").alias(c) for c in columns], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")]).withColumn(key, F.lit("macro"))
-    return single.unionByName(prf(pooled)).unionByName(means)
+    return per_group(counts.select(*by, key, *columns), by, rows)
+
+
+MEASURES = ("mask", "greedy")
 
 
 def grounding(facts: DataFrame, *by: str) -> DataFrame:
@@ -101,30 +152,34 @@ def grounding(facts: DataFrame, *by: str) -> DataFrame:
     there = F.size("truth") > 0
     counts = [F.count(F.lit(1)).alias("rows"), F.count_if(empty).alias("tn"), F.count_if(there).alias("there")]
     per_class = facts.groupBy(*by, "class").agg(*counts, *_overlap_sums(empty, there))
-
-    def values(df: DataFrame) -> DataFrame:
-        select = []
-        for m in ("mask", "greedy"):
-            c = lambda x, m=m: F.col(f"{m}_{x}")
-            select += [
-                ratio(c("s"), F.col("rows")).alias(f"{m}_tn0"), ratio(c("s") + F.col("tn"), F.col("rows")).alias(f"{m}_tn1"),
-                ratio(c("i"), c("u")).alias(f"{m}_micro"), ratio(c("eiou"), F.col("there")).alias(f"{m}_exist"),
+    summed = [c for c in per_class.columns if c not in (*by, "class")]
+    averaged = [f"{m}_{x}" for m in MEASURES for x in ("tn0", "tn1", "exist")]
+
+    def values(r: Column) -> list[Column]:
+        out = []
+        for m in MEASURES:
+            c = lambda x, m=m: r[f"{m}_{x}"]
+            out += [
+                ratio(c("s"), r["rows"]).alias(f"{m}_tn0"), ratio(c("s") + r["tn"], r["rows"]).alias(f"{m}_tn1"),
+                ratio(c("i"), c("u")).alias(f"{m}_micro"), ratio(c("eiou"), r["there"]).alias(f"{m}_exist"),
                 ratio(c("einter"), c("euni")).alias(f"{m}_exist_micro"),
             ]
-        return df.select(*by, "class", *select)
+        return out
 
-    single = values(per_class)
-    summed = [c for c in per_class.columns if c not in (*by, "class")]
-    pooled = values(per_class.groupBy(*by).agg(*[F.sum(c).alias(c) for c in summed]).withColumn("class", F.lit("all")))
-    macro = single.groupBy(*by).agg(*[F.avg(f"{m}_{x}").alias(f"{m}_macro_{x}") for m in ("mask", "greedy") for x in ("tn0", "tn1", "exist")])
-    blank = [F.lit(None).cast("double").alias(f"{m}_macro_{x}") for m in ("mask", "greedy") for x in ("tn0", "tn1", "exist")]
-    joined = pooled.join(macro, list(by)) if by else pooled.crossJoin(macro)  # one row each
-    return single.select("*", *blank).unionByName(joined)
+    def macro_names(values_of) -> list[Column]:
+        return [values_of(c).alias(f"{c.split('_')[0]}_macro_{c.split('_')[1]}") for c in averaged]
+
+    def rows(own: Column) -> Column:
+        single = F.transform(own, lambda r: F.struct(r["class"].alias("class"), *values(r), *macro_names(lambda _: F.lit(None).cast("double"))))
+        whole = F.transform(F.array(pooled(own, "class", "all", summed)), lambda r: F.struct(r["class"].alias("class"), *values(r), *macro_names(lambda c: mean_of(single, c))))
+        return F.concat(single, whole)
+
+    return per_group(per_class, by, rows)
 
 
 def _overlap_sums(empty: Column, there: Column) -> list[Column]:
     out = []
-    for m in ("mask", "greedy"):
+    for m in MEASURES:
         value = F.coalesce(F.col(f"{m}.iou"), F.lit(0.0))
         out += [F.sum(F.when(empty, 0.0).otherwise(value)).alias(f"{m}_s"), F.sum(f"{m}.inter").alias(f"{m}_i"), F.sum(f"{m}.uni").alias(f"{m}_u")]
         out += [F.coalesce(F.sum(F.when(there, F.col(f"{m}.{x}"))), F.lit(0.0)).alias(f"{m}_e{x}") for x in ("iou", "inter", "uni")]
@@ -141,25 +196,23 @@ def rule_facts(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def violation_counts(facts: DataFrame, *by: str) -> DataFrame:
-    p, t = F.col("p"), F.col("t")
-    return facts.groupBy(*by, "rule").agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
-
+def violation_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """by…, rule, tp, fp, fn for the rules '0' to '4'.
 
-def safe_counts(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts of rule 0 ('nothing is wrong'): a false alarm on a safe image is a miss of rule 0, and vice versa."""
-    some = lambda side: F.greatest(*[F.col(f"{side}.{r}").isNotNull() for r in RULES])
-    p, t = some("parsed"), some("sample")
-    return rows.groupBy(*by).agg(F.count_if(~p & ~t).alias("tp"), F.count_if(~p & t).alias("fp"), F.count_if(p & ~t).alias("fn")).withColumn("rule", F.lit(0))
+    Rule 0 says that nothing is wrong: it is reported by an answer without a violation and true of a
+    sample without one, so a false alarm on a safe image is a miss of rule 0, and vice versa.
+    """
+    says = lambda side: [F.col(f"{side}.{r}").isNotNull() for r in RULES]
+    flag = lambda i, p, t: F.struct(F.lit(str(i)).alias("rule"), p.alias("p"), t.alias("t"))
+    p, t = says("parsed"), says("sample")
+    each = F.array(flag(0, ~F.greatest(*p), ~F.greatest(*t)), *[flag(i, a, b) for i, (a, b) in enumerate(zip(p, t, strict=True), 1)])
+    x, y = F.col("p"), F.col("t")
+    return rows.select(*by, F.inline(each)).groupBy(*by, "rule").agg(F.count_if(x & y).alias("tp"), F.count_if(x & ~y).alias("fp"), F.count_if(~x & y).alias("fn"))
 
 
 def violation_scores(rows: DataFrame, *by: str) -> DataFrame:
     """Per rule 0 to 4 tp, fp, fn, precision, recall, f1; micro pools and macro averages rules 1 to 4."""
-    counts = violation_counts(rule_facts(rows, *by), *by).withColumn("rule", F.col("rule").cast("string"))
-    zero = safe_counts(rows, *by).withColumn("rule", F.col("rule").cast("string"))
-    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    zero = zero.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", f1(F.col("precision"), F.col("recall")))
-    return with_averages(counts, "rule", ["tp", "fp", "fn"], by).unionByName(zero)
+    return with_averages(violation_counts(rows, *by), "rule", ["tp", "fp", "fn"], by, apart="0")
 
 
 def gated_scores(rows: DataFrame, *by: str, gate: float = IOU_GATE) -> DataFrame:
@@ -178,12 +231,18 @@ def violation_grounding(rows: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("common"), F.count_if(F.col("m.iou").isNull()).alias("tn_count"), F.sum(F.coalesce("m.iou", F.lit(0.0))).alias("s"),
         F.sum("m.inter").alias("i"), F.sum("m.uni").alias("u"),
     )
-    pooled = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("common", "tn_count", "s", "i", "u")]).withColumn("rule", F.lit("all"))
-    values = lambda df: df.select(*by, "rule", "common", "tn_count", ratio(F.col("s"), F.col("common")).alias("tn0"), ratio(F.col("s") + F.col("tn_count"), F.col("common")).alias("tn1"), ratio(F.col("i"), F.col("u")).alias("micro"))
-    single = values(sums)
-    macro = single.groupBy(*by).agg(*[(F.sum(c) / len(RULES)).alias(f"macro_{c}") for c in ("tn0", "tn1")])
-    whole = values(pooled).join(macro, list(by)) if by else values(pooled).crossJoin(macro)  # one row each
-    return single.select("*", *[F.lit(None).cast("double").alias(f"macro_{c}") for c in ("tn0", "tn1")]).unionByName(whole)
+
+    def values(r: Column, tn0: Column, tn1: Column) -> Column:
+        means = [ratio(r["s"], r["common"]).alias("tn0"), ratio(r["s"] + r["tn_count"], r["common"]).alias("tn1"), ratio(r["i"], r["u"]).alias("micro")]
+        return F.struct(r["rule"].alias("rule"), r["common"].alias("common"), r["tn_count"].alias("tn_count"), *means, tn0.alias("macro_tn0"), tn1.alias("macro_tn1"))
+
+    def all_rows(own: Column) -> Column:
+        none = F.lit(None).cast("double")
+        single = F.transform(own, lambda r: values(r, none, none))
+        whole = F.transform(F.array(pooled(own, "rule", "all", ["common", "tn_count", "s", "i", "u"])), lambda r: values(r, *[mean_of(single, c, len(RULES)) for c in ("tn0", "tn1")]))
+        return F.concat(single, whole)
+
+    return per_group(sums, by, all_rows)
 
 
 def reasoning(rows: DataFrame, *by: str, scorer=text.ngram_f1) -> DataFrame:
@@ -191,11 +250,16 @@ def reasoning(rows: DataFrame, *by: str, scorer=text.ngram_f1) -> DataFrame:
 
     `scorer` takes the two reason columns and gives a score; a model-backed one fits in the same place.
     """
-    facts = rule_facts(rows, *by).where("p and t").withColumn("score", scorer(F.col("pred_reason"), F.col("true_reason")))
-    single = facts.groupBy(*by, F.col("rule").cast("string").alias("rule")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("score"))
-    pooled = facts.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("score")).withColumn("rule", F.lit("all"))
-    macro = single.groupBy(*by).agg(F.sum("pairs").alias("pairs"), (F.sum("score") / len(RULES)).alias("score")).withColumn("rule", F.lit("macro"))
-    return single.unionByName(pooled).unionByName(macro)
+    facts = rule_facts(rows, *by).where("p and t").withColumn("__s", scorer(F.col("pred_reason"), F.col("true_reason")))
+    sums = facts.groupBy(*by, F.col("rule").cast("string").alias("rule")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("__s").alias("s"))
+
+    def all_rows(own: Column) -> Column:
+        scores = lambda a: F.transform(a, lambda r: F.struct(r["rule"].alias("rule"), r["pairs"].alias("pairs"), ratio(r["s"], r["pairs"]).alias("score")))
+        single, whole = scores(own), pooled(own, "rule", "all", ["pairs", "s"])
+        macro = F.struct(F.lit("macro").alias("rule"), whole["pairs"].alias("pairs"), mean_of(single, "score", len(RULES)).alias("score"))
+        return F.concat(single, scores(F.array(whole)), F.array(macro))
+
+    return per_group(sums, by, all_rows)
 
 
 def captions(rows: DataFrame, *by: str) -> DataFrame:
@@ -231,7 +295,3 @@ def long(df: DataFrame, keys: list[str], value_columns: list[str]) -> DataFrame:
     """keys…, metric, value: one row per number that isn't null."""
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in value_columns])
     return cast.unpivot(keys, value_columns, "metric", "value").where("value is not null")
-
-
-def ranked(df: DataFrame, order: list[Column], out: str = "place", by: list[str] | None = None) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))

@@ -11,14 +11,33 @@ from ..operators import rewards
 from ..tables import CLASSES, METADATA, RULES, table
 
 
+#: The number in an image id however it is padded, null if there is none.
+NUMBER = "try_cast(regexp_extract(image_id, '([0-9]+)', 1) as bigint)"
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """prediction_id, run_id, task, raw_output, sample, error, source, latency_seconds of all predictions."""
     tasks = table(spark, folder, "prompt_text").select("prompt_id", "task")
     return table(spark, folder, "predictions").join(F.broadcast(tasks), "prompt_id").select("prediction_id", "run_id", "image_id", "task", "raw_output", "sample", "source", "latency_seconds", "error", "logged_at")
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.scored(answers(spark, folder).select("prediction_id", "run_id", "task", "raw_output", "sample"))
+def parsed_answers(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """All predictions with `parsed`: prediction_id, run_id, task, raw_output and more."""
+    return jsonio.strictly_parsed(answers(spark, folder).select("prediction_id", "run_id", "task", "raw_output", *more), "raw_output", "task")
+
+
+def scored_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """All predictions whose image is annotated, with `parsed` and `sample`.
+
+    Most predictions carry no sample; theirs is the last one of raw_sample with the same image number. It
+    is joined after the parsing, so it doesn't pass through Python.
+    """
+    samples = table(spark, folder, "raw_sample").withColumn("image", F.expr(NUMBER))
+    rows = parsed_answers(spark, folder, "image_id", "sample").withColumn("image", F.expr(NUMBER))
+    return ev.with_truth(rows, samples, "image", "sample_id").where("sample is not null").drop("image")
+
+
+_scored = scored_answers
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -65,19 +84,19 @@ def _task_rewards(rows: DataFrame) -> DataFrame:
 
 
 def _funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.gates(jsonio.strictly_parsed(answers(spark, folder).select("run_id", "task", "raw_output"), "raw_output", "task"), "run_id")
+    return ev.gates(parsed_answers(spark, folder), "run_id")
 
 
 def _reasons(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most frequent reasons of failing, ties in the order of their names."""
-    parsed = jsonio.strictly_parsed(answers(spark, folder).select("task", "raw_output"), "raw_output", "task")
+    parsed = parsed_answers(spark, folder)
     reasons = parsed.where("parsed.error is not null").groupBy(jsonio.short_reason(F.col("parsed.error")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     return reasons.orderBy(F.desc("n"), "reason").limit(10)
 
 
 def _categories(spark: SparkSession, folder: str) -> DataFrame:
     """Answers by fate: valid, truncated, other, or the first error of their shape."""
-    parsed = jsonio.strictly_parsed(answers(spark, folder).select("task", "raw_output"), "raw_output", "task")
+    parsed = parsed_answers(spark, folder)
     bad = jsonio.failure_category(F.coalesce(jsonio.strip_open_fences(F.col("raw_output")), F.lit("")))
     category = F.when(F.col("parsed.schema_valid"), "valid").when(~F.col("parsed.json_valid"), bad).otherwise(F.get(F.split("parsed.error", ":"), F.lit(1)))
     return parsed.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
@@ -114,7 +133,7 @@ def _consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 PRESENCE = ("class", "tp", "fp", "fn", "tn", "exist", "precision", "recall", "f1")
 QUERIES = {
-    "a1_structural": _over(lambda r: ev.structural(r, "task")),
+    "a1_structural": lambda s, f: _rounded(ev.structural(parsed_answers(s, f), "task")),
     "a2_presence_confusion": _classes(lambda f: ev.presence(f).where("class not in ('micro', 'macro')"), "class", "tp", "fp", "fn", "tn", "exist"),
     "a3_a4_presence_prf": _classes(ev.presence, *PRESENCE),
     "a5_a8_grounding_iou": _classes(ev.grounding),
@@ -130,7 +149,7 @@ QUERIES = {
     "a17_stratified_presence": _over(lambda r: ev.stratified(r, lambda x, *by: ev.presence(ev.class_facts(x, *by), *by)).where("class in ('micro', 'macro')").select("field", "value", "class", "f1")),
     "a17_stratified_violations": _over(lambda r: ev.stratified(r, ev.violation_scores).where("rule in ('micro', 'macro')").select("field", "value", "rule", "f1")),
     "c8_dual_pass": _over(_dual),
-    "c7_failures": lambda s, f: ev.failures(_scored(s, f), "prediction_id").drop("raw_output"),
+    "c7_failures": lambda s, f: ev.failures(parsed_answers(s, f), "prediction_id"),
     "a31_gates": _funnel,
     "a32_log_triage": _triage,
     "a33_failure_reasons": _reasons,
@@ -164,10 +183,13 @@ _CLASSES_OK = " AND ".join(f"(json_type(v->'$.{c}') IS NULL OR {_box_list(f'$.{c
 _CLEAN = "[b FOR b IN {0} IF len(b) = 4 AND list_bool_and([c >= -1e-6 AND c <= 1 + 1e-6 FOR c IN b]) AND b[3] - b[1] > 1e-4 AND b[4] - b[2] > 1e-4]"
 _clean = lambda x: _CLEAN.replace("{0}", x)
 _scaled = lambda path: f"[[least(1.0, greatest(0.0, c / 1000.0)) FOR c IN b] FOR b IN coalesce(from_json(v->'{path}', '[[\"DOUBLE\"]]'), [])]"
+NUMBER_SQL = "TRY_CAST(NULLIF(regexp_extract(image_id, '([0-9]+)', 1), '') AS BIGINT)"
+_STRUCT = "struct_pack(" + ", ".join(f"{c} := {c}" for c in ("image_id", "image_caption", *METADATA, *RULES, *CLASSES, "resolution")) + ")"
 _PARSED = f"""
-e AS (SELECT p.prediction_id, p.run_id, t.task, p.sample, p.source, p.error, p.raw_output,
+r AS (SELECT {NUMBER_SQL} AS image, arg_max({_STRUCT}, sample_id) AS truth FROM raw_sample WHERE {NUMBER_SQL} IS NOT NULL GROUP BY 1),
+e AS (SELECT p.prediction_id, p.run_id, p.image_id, t.task, coalesce(p.sample, r.truth) AS sample, p.source, p.error, p.raw_output,
              CASE WHEN regexp_matches(coalesce(raw_output, ''), '{_FENCE}') THEN regexp_extract(raw_output, '{_FENCE}', 1) ELSE coalesce(raw_output, '') END AS body
-      FROM predictions p JOIN prompt_text t USING (prompt_id)),
+      FROM (SELECT *, {NUMBER_SQL} AS image FROM predictions) p JOIN prompt_text t USING (prompt_id) LEFT JOIN r ON r.image = p.image),
 j0 AS (SELECT *, CASE WHEN json_valid(body) AND NOT regexp_matches(body, ',\\s*[}}\\]]') AND NOT regexp_full_match(body, '\\s*null\\s*') THEN CAST(body AS JSON) END AS v FROM e),
 j AS (SELECT *, v IS NOT NULL AS json_valid,
              coalesce(json_type(v) = 'OBJECT' AND {_RULES_OK} AND (task <> 'unified' OR (json_type(v->'$.caption') = 'VARCHAR' AND {_CLASSES_OK})), false) AS schema_valid FROM j0),
@@ -197,7 +219,7 @@ _p, _t = _PSAYS, (lambda r: _SAYS(f"sample.{r}"))
 _not = lambda g: (lambda r: f"NOT {g(r)}")
 
 ORACLE = {
-    "a1_structural": f"WITH {_PARSED} SELECT task, count(*) AS answers, count(*) FILTER (json_valid) AS json_valid, count(*) FILTER (schema_valid) AS schema_valid, round(count(*) FILTER (json_valid) / count(*), 6) AS json_rate, round(count(*) FILTER (schema_valid) / count(*), 6) AS schema_rate FROM s GROUP BY task",
+    "a1_structural": f"WITH {_PARSED} SELECT task, count(*) AS answers, count(*) FILTER (json_valid) AS json_valid, count(*) FILTER (schema_valid) AS schema_valid, round(count(*) FILTER (json_valid) / count(*), 6) AS json_rate, round(count(*) FILTER (schema_valid) / count(*), 6) AS schema_rate FROM j GROUP BY task",
     "a2_presence_confusion": f"WITH {_PARSED}, {_CLASS_FACTS} SELECT class, {_CONFUSION} FROM f GROUP BY class",
     "a3_a4_presence_prf": f"""WITH {_PARSED}, {_CLASS_FACTS}, c AS (SELECT class, {_CONFUSION} FROM f GROUP BY class),
 k AS (SELECT *, {_PRF} FROM c UNION ALL SELECT *, {_PRF} FROM (SELECT 'micro' AS class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(exist) AS BIGINT) AS exist FROM c))

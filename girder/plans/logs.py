@@ -9,8 +9,9 @@ from ..functions import repair, text
 from ..functions.predicates import is_blank
 from ..operators import arrange, audit, compare, rewards
 from ..operators import evaluation as ev
+from ..session import cut_lineage
 from ..tables import table
-from .evaluation import answers
+from .evaluation import answers, parsed_answers, scored_answers
 
 
 def _repaired(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _latency(spark: SparkSession, folder: str) -> DataFrame:
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     """(run, metric, value) of each model: structural rates and rule F1 over its answers with a sample."""
     models = table(spark, folder, "model_run").select("run_id", F.col("model_name").alias("run"))
-    rows = ev.scored(answers(spark, folder).select("prediction_id", "run_id", "task", "raw_output", "sample")).join(F.broadcast(models), "run_id")
+    rows = cut_lineage(scored_answers(spark, folder).join(F.broadcast(models), "run_id").select("run", "parsed", "sample"))
     shape = ev.long(ev.structural(rows, "run"), ["run"], ["json_rate", "schema_rate"])
     rules = ev.violation_scores(rows, "run").where("rule in ('micro', 'macro')").select("run", F.concat(F.lit("violation_f1_"), "rule").alias("metric"), F.col("f1").alias("value"))
     return shape.unionByName(rules)
@@ -89,14 +90,14 @@ def _wide(spark: SparkSession, folder: str) -> DataFrame:
 def _outstanding(spark: SparkSession, folder: str) -> DataFrame:
     """Images on which the tuned models gain most over the others, and those on which they fail."""
     models = table(spark, folder, "model_run").select("run_id", F.when(F.col("model_name").contains("reward"), "final").otherwise("base").alias("run"))
-    rows = ev.scored(answers(spark, folder).select("prediction_id", "run_id", "image_id", "task", "raw_output", "sample")).join(F.broadcast(models), "run_id")
+    rows = scored_answers(spark, folder).join(F.broadcast(models), "run_id")
     scores = rewards.components(rows, ("violation_id",)).select("image_id", "run", F.col("r_violation_id").alias("score"))
     return compare.outstanding(compare.merged_answers(scores, "image_id", "run", ["base", "final"]), "image_id", "base", "final")
 
 
 def _word_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Word counts of true and answered captions, as summaries per source of the text."""
-    rows = ev.scored(answers(spark, folder).select("prediction_id", "task", "raw_output", "sample"))
+    rows = scored_answers(spark, folder)
     both = F.array(F.struct(F.lit("truth").alias("origin"), F.col("sample.image_caption").alias("t")), F.struct(F.lit("answer").alias("origin"), F.col("parsed.caption").alias("t")))
     flat = rows.select(F.explode(both).alias("x")).select("x.origin", "x.t").where("t is not null").withColumn("words", text.word_count(F.col("t")))
     out = audit.summary(flat, "words", "origin")
