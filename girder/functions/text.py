@@ -60,16 +60,19 @@ def consensus_score(pairs: DataFrame, id: str, pred: str, ref: str, most: int =
 
     TF-IDF weighted n-grams (1 to `most`), document frequencies over the references, predicted counts
     clipped to the reference's, a Gaussian penalty on the length difference, ten times the mean over n.
-    Rows without words on either side score 0. The n-grams of both sides are counted, joined by (row,
-    n-gram) and by n-gram, so nothing grows with the square of the corpus.
+    Rows without words on either side score 0. n-grams are told apart by 64-bit hashes and counted for
+    both sides at once; each is joined with its document frequency, so nothing grows with the square of
+    the corpus. `pairs` is read twice and should be materialised; `id` must be unique.
     """
-    n_rows = pairs.count()
-    texts = pairs.select(F.col(id).alias("row"), tokens(F.col(pred)).alias("p"), tokens(F.col(ref)).alias("r"))
-    grams = lambda side: F.flatten(F.array(*[F.transform(ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, most + 1)]))
-    count = lambda side: texts.select("row", F.explode(grams(side)).alias("x")).groupBy("row", "x.n", "x.g").agg(F.count(F.lit(1)).alias(side))
-    df = count("r").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(max(n_rows, 1)))) - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
-    both = count("p").join(count("r"), ["row", "n", "g"], "full").join(df, ["n", "g"], "left").na.fill(0, ["p", "r"]).withColumn("w", idf)
+    kept = pairs.select(F.col(id).alias("row"), F.col(pred).alias("__p"), F.col(ref).alias("__r"))
+    n_rows = kept.count()
+    # rows of one task stay in it until their n-grams are counted, so the occurrences are not shuffled
+    texts = kept.repartition("row").select("row", tokens(F.col("__p")).alias("p"), tokens(F.col("__r")).alias("r"))
+    occurrences = F.concat(*[_hashed_ngrams(side, n) for side in ("p", "r") for n in range(1, most + 1)])
+    counts = texts.select("row", F.inline(occurrences)).groupBy("row", "n", "g").agg(F.sum("in_p").alias("p"), F.sum("in_r").alias("r"))
+    df = counts.where("r > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(float(max(n_rows, 1)))) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
+    both = counts.join(df, ["n", "g"], "left").withColumn("w", idf)
     sums = both.groupBy("row", "n").agg(
         F.sum(F.least("p", "r") * F.col("w") * F.col("r") * F.col("w")).alias("dot"),
         F.sqrt(F.sum(F.pow(F.col("p") * F.col("w"), 2))).alias("np"), F.sqrt(F.sum(F.pow(F.col("r") * F.col("w"), 2))).alias("nr"),
@@ -80,3 +83,9 @@ def consensus_score(pairs: DataFrame, id: str, pred: str, ref: str, most: int =
     return texts.join(scores, "row", "left").select(
         F.col("row").alias(id), (10.0 / most * F.coalesce("s", F.lit(0.0)) * F.exp(-F.pow(gap, 2) / (2 * sigma * sigma))).alias("score")
     )
+
+
+def _hashed_ngrams(side: str, n: int) -> Column:
+    """Structs (n, g, in_p, in_r) of the n-grams of one side, g being their 64-bit hash."""
+    of_side = lambda name: F.lit(int(side == name)).alias(f"in_{name}")
+    return F.transform(ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"), of_side("p"), of_side("r")))

@@ -129,11 +129,16 @@ def with_averages(counts: DataFrame, key: str, columns: list[str], by: tuple[str
     """
 
     def rows(own: Column) -> Column:
-        averaged = F.filter(own, lambda r: r[key] != apart)
-        with_scores = lambda a: F.transform(a, lambda r: F.struct(r[key].alias(key), *[r[c].alias(c) for c in columns], *precision_recall(r)))
-        means = [mean_of(with_scores(averaged), c).alias(c) for c in ("precision", "recall", "f1")]
-        macro = F.struct(F.lit("macro").alias(key), *[F.lit(None).cast("bigint").alias(c) for c in columns], *means)
-        return F.concat(with_scores(F.concat(own, F.array(pooled(averaged, key, "micro", columns)))), F.array(macro))
+        whole = pooled(F.filter(own, lambda r: r[key] != apart), key, "micro", columns)
+        scored = F.transform(F.concat(own, F.array(whole)), lambda r: F.struct(r[key].alias(key), *[r[c].alias(c) for c in columns], *precision_recall(r)))
+
+        def with_macro(every: Column) -> Column:
+            averaged = F.filter(every, lambda r: ~r[key].isin(apart, "micro"))
+            means = boxes.let(averaged, lambda a: F.struct(*[mean_of(a, c).alias(c) for c in ("precision", "recall", "f1")]))
+            macro = boxes.let(means, lambda m: F.struct(F.lit("macro").alias(key), *[F.lit(None).cast("bigint").alias(c) for c in columns], *[m[c].alias(c) for c in ("precision", "recall", "f1")]))
+            return F.concat(every, F.array(macro))
+
+        return boxes.let(scored, with_macro)
 
     return per_group(counts.select(*by, key, *columns), by, rows)
 
@@ -171,8 +176,9 @@ def grounding(facts: DataFrame, *by: str) -> DataFrame:
 
     def rows(own: Column) -> Column:
         single = F.transform(own, lambda r: F.struct(r["class"].alias("class"), *values(r), *macro_names(lambda _: F.lit(None).cast("double"))))
-        whole = F.transform(F.array(pooled(own, "class", "all", summed)), lambda r: F.struct(r["class"].alias("class"), *values(r), *macro_names(lambda c: mean_of(single, c))))
-        return F.concat(single, whole)
+        total = F.array(pooled(own, "class", "all", summed))
+        with_all = lambda s: F.concat(s, F.transform(total, lambda r: F.struct(r["class"].alias("class"), *values(r), *macro_names(lambda c: mean_of(s, c)))))
+        return boxes.let(single, with_all)
 
     return per_group(per_class, by, rows)
 
@@ -239,8 +245,9 @@ def violation_grounding(rows: DataFrame, *by: str) -> DataFrame:
     def all_rows(own: Column) -> Column:
         none = F.lit(None).cast("double")
         single = F.transform(own, lambda r: values(r, none, none))
-        whole = F.transform(F.array(pooled(own, "rule", "all", ["common", "tn_count", "s", "i", "u"])), lambda r: values(r, *[mean_of(single, c, len(RULES)) for c in ("tn0", "tn1")]))
-        return F.concat(single, whole)
+        total = F.array(pooled(own, "rule", "all", ["common", "tn_count", "s", "i", "u"]))
+        with_all = lambda x: F.concat(x, F.transform(total, lambda r: values(r, *[mean_of(x, c, len(RULES)) for c in ("tn0", "tn1")])))
+        return boxes.let(single, with_all)
 
     return per_group(sums, by, all_rows)
 
@@ -291,6 +298,39 @@ def stratified(rows: DataFrame, metric, fields: tuple[str, ...] = METADATA) -> D
     return metric(rows.select("*", F.explode(pairs).alias("__s")).select("*", "__s.field", "__s.value").drop("__s").where("value is not null"), "field", "value")
 
 
+def _named(df: DataFrame, by: tuple[str, ...], key: str, values: dict[str, tuple[str, ...]], prefix: str) -> DataFrame:
+    """by…, metric, value: the columns of the rows whose key is named, as prefix + column + _ + key."""
+    chosen = [F.struct(F.concat(F.lit(f"{prefix}{c}_"), F.col(key)).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(k).alias("k")) for k, columns in values.items() for c in columns]
+    return df.select(*by, key, F.inline(F.array(*chosen))).where((F.col(key) == F.col("k")) & F.col("value").isNotNull()).select(*by, "metric", "value")
+
+
+def full_evaluation(rows: DataFrame, *by: str, scorer=text.ngram_f1) -> DataFrame:
+    """by…, metric, value: all families of metrics that apply to a row's task.
+
+    Captions and boxes of classes are scored for the unified task only; shape, rules, their boxes and
+    their reasons for all. `rows` is used by every family and should be materialised.
+    """
+    unified = rows.where("task = 'unified'")
+    facts = class_facts(unified, *by)
+    shape = structural(rows, *by)
+    averages = {"micro": ("f1",), "macro": ("f1",)}
+    overlap = [f"{m}_{x}" for m in MEASURES for x in ("tn0", "tn1", "micro", "exist", "exist_micro", "macro_tn0", "macro_tn1", "macro_exist")]
+    parts = [
+        long(shape, list(by), ["answers", "json_rate", "schema_rate"]),
+        _named(presence(facts, *by), by, "class", averages, "presence_"),
+        long(grounding(facts, *by).where("class = 'all'"), list(by), overlap),
+        _named(violation_scores(rows, *by), by, "rule", averages, "violation_"),
+        _named(gated_scores(rows, *by), by, "rule", averages, "gated_"),
+        _named(violation_grounding(rows, *by), by, "rule", {"all": ("tn0", "tn1", "micro", "macro_tn0", "macro_tn1")}, "violation_iou_"),
+        _named(reasoning(rows, *by, scorer=scorer), by, "rule", {"all": ("score",), "macro": ("score",)}, "reason_"),
+        long(captions(unified, *by), list(by), ["words_avg", "words_min", "words_max", "ngram_f1"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def long(df: DataFrame, keys: list[str], value_columns: list[str]) -> DataFrame:
     """keys…, metric, value: one row per number that isn't null."""
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in value_columns])

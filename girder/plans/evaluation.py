@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import jsonio
 from ..operators import evaluation as ev
 from ..operators import rewards
-from ..tables import CLASSES, METADATA, RULES, table
+from ..session import cut_lineage
+from ..tables import RULES, table
+from .evaluation_sql import ORACLE  # noqa: F401
 
 
 #: The number in an image id however it is padded, null if there is none.
@@ -50,26 +52,24 @@ def _over(metric):
 
 def _classes(metric, *columns: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        out = metric(ev.class_facts(_scored(spark, folder)))
+        out = metric(ev.class_facts(_scored(spark, folder).where("task = 'unified'")))
         return _rounded(out.select(*columns) if columns else out)
 
     return query
 
 
-def _dual(rows: DataFrame) -> DataFrame:
+def _materialised(spark: SparkSession, folder: str) -> DataFrame:
+    """The scored answers without their texts, written once for the families that read them."""
+    return cut_lineage(_scored(spark, folder).select("prediction_id", "run_id", "task", "parsed", "sample"))
+
+
+def _full(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(ev.full_evaluation(_materialised(spark, folder), "task"))
+
+
+def _dual(spark: SparkSession, folder: str) -> DataFrame:
     """Both passes side by side: strict counts failures as empty answers, valid leaves them out."""
-    passes = ev.by_pass(rows)
-    facts = ev.class_facts(passes, "pass")
-    parts = [
-        ev.long(ev.structural(passes, "pass"), ["pass"], ["answers", "json_rate", "schema_rate"]),
-        ev.long(ev.presence(facts, "pass").where("class in ('micro', 'macro')").withColumn("k", F.concat(F.lit("presence_f1_"), "class")).groupBy("pass").pivot("k", ["presence_f1_macro", "presence_f1_micro"]).agg(F.first("f1")), ["pass"], ["presence_f1_macro", "presence_f1_micro"]),
-        ev.long(ev.violation_scores(passes, "pass").where("rule = 'micro'").select("pass", F.col("f1").alias("violation_f1_micro")), ["pass"], ["violation_f1_micro"]),
-        ev.long(ev.captions(passes, "pass"), ["pass"], ["words_avg"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _rounded(ev.full_evaluation(ev.by_pass(_materialised(spark, folder)), "task", "pass"))
 
 
 def _reward_means(rows: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _rule_sets(spark: SparkSession, folder: str) -> DataFrame:
 def _consensus(spark: SparkSession, folder: str) -> DataFrame:
     from ..functions.text import consensus_score
 
-    rows = _scored(spark, folder).where("parsed.caption is not null").select("prediction_id", F.col("parsed.caption").alias("p"), F.col("sample.image_caption").alias("r"))
+    rows = cut_lineage(_scored(spark, folder).where("parsed.caption is not null").select("prediction_id", F.col("parsed.caption").alias("p"), F.col("sample.image_caption").alias("r")))
     return _rounded(consensus_score(rows, "prediction_id", "p", "r"))
 
 
@@ -146,9 +146,10 @@ QUERIES = {
     "a16_caption_words": _over(lambda r: ev.captions(r.where("task = 'unified'")).drop("ngram_f1")),
     "x1_caption_ngram_f1": _over(lambda r: ev.captions(r.where("task = 'unified'")).select("ngram_f1")),
     "x7_caption_consensus": _consensus,
-    "a17_stratified_presence": _over(lambda r: ev.stratified(r, lambda x, *by: ev.presence(ev.class_facts(x, *by), *by)).where("class in ('micro', 'macro')").select("field", "value", "class", "f1")),
+    "a17_stratified_presence": _over(lambda r: ev.stratified(r.where("task = 'unified'"), lambda x, *by: ev.presence(ev.class_facts(x, *by), *by)).where("class in ('micro', 'macro')").select("field", "value", "class", "f1")),
     "a17_stratified_violations": _over(lambda r: ev.stratified(r, ev.violation_scores).where("rule in ('micro', 'macro')").select("field", "value", "rule", "f1")),
-    "c8_dual_pass": _over(_dual),
+    "c7_full_evaluation": _full,
+    "c8_dual_pass": _dual,
     "c7_failures": lambda s, f: ev.failures(parsed_answers(s, f), "prediction_id"),
     "a31_gates": _funnel,
     "a32_log_triage": _triage,
@@ -161,101 +162,3 @@ QUERIES = {
     "r11_task_rewards": _over(_task_rewards),
     "r12_legacy_rewards": _over(lambda r: rewards.legacy(r).select("prediction_id", "r_json", "r_caption", "r_rules", "r_boxes")),
 }
-
-# SQL: the strict reading of answers in DuckDB. Boxes are read leniently there; only answers of the right shape are used.
-_FENCE = r"(?is)```(?:json)?(.*?)```"
-
-
-def _box_list(path: str) -> str:
-    """SQL: the value at the path is a list of lists of four numbers."""
-    inner = f"from_json(v->'{path}', '[\"JSON\"]')"
-    return f"(json_type(v->'{path}') = 'ARRAY' AND coalesce(list_bool_and([json_type(b) = 'ARRAY' AND json_array_length(b) = 4 AND coalesce(list_bool_and([json_type(c) IN ('UBIGINT', 'BIGINT', 'DOUBLE') FOR c IN from_json(b, '[\"JSON\"]')]), false) FOR b IN {inner}]), true))"
-
-
-def _rule_ok(r: str) -> str:
-    at = f"json_type(v->'$.{r}')"
-    box, reason = f"json_type(v->'$.{r}.bounding_box')", f"json_type(v->'$.{r}.reason')"
-    return f"({at} IS NULL OR {at} = 'NULL' OR ({at} = 'OBJECT' AND ({box} IS NULL OR {box} = 'NULL' OR {_box_list(f'$.{r}.bounding_box')}) AND ({reason} IS NULL OR {reason} IN ('NULL', 'VARCHAR'))))"
-
-
-_RULES_OK = " AND ".join(map(_rule_ok, RULES))
-_CLASSES_OK = " AND ".join(f"(json_type(v->'$.{c}') IS NULL OR {_box_list(f'$.{c}')})" for c in CLASSES)
-_CLEAN = "[b FOR b IN {0} IF len(b) = 4 AND list_bool_and([c >= -1e-6 AND c <= 1 + 1e-6 FOR c IN b]) AND b[3] - b[1] > 1e-4 AND b[4] - b[2] > 1e-4]"
-_clean = lambda x: _CLEAN.replace("{0}", x)
-_scaled = lambda path: f"[[least(1.0, greatest(0.0, c / 1000.0)) FOR c IN b] FOR b IN coalesce(from_json(v->'{path}', '[[\"DOUBLE\"]]'), [])]"
-NUMBER_SQL = "TRY_CAST(NULLIF(regexp_extract(image_id, '([0-9]+)', 1), '') AS BIGINT)"
-_STRUCT = "struct_pack(" + ", ".join(f"{c} := {c}" for c in ("image_id", "image_caption", *METADATA, *RULES, *CLASSES, "resolution")) + ")"
-_PARSED = f"""
-r AS (SELECT {NUMBER_SQL} AS image, arg_max({_STRUCT}, sample_id) AS truth FROM raw_sample WHERE {NUMBER_SQL} IS NOT NULL GROUP BY 1),
-e AS (SELECT p.prediction_id, p.run_id, p.image_id, t.task, coalesce(p.sample, r.truth) AS sample, p.source, p.error, p.raw_output,
-             CASE WHEN regexp_matches(coalesce(raw_output, ''), '{_FENCE}') THEN regexp_extract(raw_output, '{_FENCE}', 1) ELSE coalesce(raw_output, '') END AS body
-      FROM (SELECT *, {NUMBER_SQL} AS image FROM predictions) p JOIN prompt_text t USING (prompt_id) LEFT JOIN r ON r.image = p.image),
-j0 AS (SELECT *, CASE WHEN json_valid(body) AND NOT regexp_matches(body, ',\\s*[}}\\]]') AND NOT regexp_full_match(body, '\\s*null\\s*') THEN CAST(body AS JSON) END AS v FROM e),
-j AS (SELECT *, v IS NOT NULL AS json_valid,
-             coalesce(json_type(v) = 'OBJECT' AND {_RULES_OK} AND (task <> 'unified' OR (json_type(v->'$.caption') = 'VARCHAR' AND {_CLASSES_OK})), false) AS schema_valid FROM j0),
-s AS (SELECT *, {", ".join(f"schema_valid AND coalesce(json_type(v->'$.{r}') = 'OBJECT' AND CAST(v->'$.{r}' AS VARCHAR) <> '{{}}', false) AS p{i + 1}, sample.{r} IS NOT NULL AS t{i + 1}" for i, r in enumerate(RULES))}
-      FROM j WHERE sample IS NOT NULL)"""
-_CLASS_FACTS = f"""
-f AS ({" UNION ALL ".join(f"SELECT prediction_id, sample, '{c}' AS class, CASE WHEN schema_valid AND task = 'unified' THEN {_clean(_scaled(f'$.{c}'))} ELSE [] END AS pred, {_clean(f'coalesce(sample.{c}, [])')} AS truth FROM s" for c in CLASSES)})"""
-_PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1"
-_CONFUSION = "count(*) FILTER (len(pred) > 0 AND len(truth) > 0) AS tp, count(*) FILTER (len(pred) > 0 AND len(truth) = 0) AS fp, count(*) FILTER (len(pred) = 0 AND len(truth) > 0) AS fn, count(*) FILTER (len(pred) = 0 AND len(truth) = 0) AS tn, count(*) FILTER (len(truth) > 0) AS exist"
-# the covered area of a list of boxes, by cells between all edges
-_MASK = """
-x AS (SELECT prediction_id, class, pred, truth, list_sort(list_distinct(flatten([[b[1], b[3]] FOR b IN list_concat(pred, truth)]))) AS xs,
-             list_sort(list_distinct(flatten([[b[2], b[4]] FOR b IN list_concat(pred, truth)]))) AS ys FROM f),
-cells AS (SELECT prediction_id, class, pred, truth, xs[i] AS x0, xs[i + 1] AS x1, ys[k] AS y0, ys[k + 1] AS y1
-          FROM (SELECT *, unnest(range(1, len(ys))) AS k FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM x))),
-hit AS (SELECT *, (x1 - x0) * (y1 - y0) AS a, coalesce(list_bool_or([b[1] <= x0 AND b[3] >= x1 AND b[2] <= y0 AND b[4] >= y1 FOR b IN pred]), false) AS inp,
-               coalesce(list_bool_or([b[1] <= x0 AND b[3] >= x1 AND b[2] <= y0 AND b[4] >= y1 FOR b IN truth]), false) AS int_ FROM cells),
-m AS (SELECT f.prediction_id, f.class, coalesce(sum(a) FILTER (inp AND int_), 0) AS inter, coalesce(sum(a) FILTER (inp OR int_), 0) AS uni, any_value(f.pred) AS pred, any_value(f.truth) AS truth
-      FROM f LEFT JOIN hit h ON h.prediction_id = f.prediction_id AND h.class = f.class GROUP BY f.prediction_id, f.class)"""
-_RULE_COUNTS = " UNION ALL ".join(f"SELECT '{i}' AS rule, count(*) FILTER (p{i} AND t{i}) AS tp, count(*) FILTER (p{i} AND NOT t{i}) AS fp, count(*) FILTER (NOT p{i} AND t{i}) AS fn FROM s" for i in range(1, 5))
-_ANY_P, _ANY_T = "(p1 OR p2 OR p3 OR p4)", "(t1 OR t2 OR t3 OR t4)"
-_R6 = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
-_SAYS = lambda v: f"({v} IS NOT NULL AND (coalesce(len({v}.bounding_box), 0) > 0 OR lower(trim(coalesce({v}.reason, ''))) NOT IN ('', 'false', 'none', 'null', 'n/a')))"
-_PSAYS = lambda r: f"(schema_valid AND coalesce(json_type(v->'$.{r}') = 'OBJECT', false) AND (coalesce(json_array_length(v->'$.{r}.bounding_box'), 0) > 0 OR lower(trim(coalesce(v->>'$.{r}.reason', ''))) NOT IN ('', 'false', 'none', 'null', 'n/a')))"
-_TPFN = lambda a, b: " + ".join(f"CAST({a(r)} AND {b(r)} AS INT)" for r in RULES)
-_p, _t = _PSAYS, (lambda r: _SAYS(f"sample.{r}"))
-_not = lambda g: (lambda r: f"NOT {g(r)}")
-
-ORACLE = {
-    "a1_structural": f"WITH {_PARSED} SELECT task, count(*) AS answers, count(*) FILTER (json_valid) AS json_valid, count(*) FILTER (schema_valid) AS schema_valid, round(count(*) FILTER (json_valid) / count(*), 6) AS json_rate, round(count(*) FILTER (schema_valid) / count(*), 6) AS schema_rate FROM j GROUP BY task",
-    "a2_presence_confusion": f"WITH {_PARSED}, {_CLASS_FACTS} SELECT class, {_CONFUSION} FROM f GROUP BY class",
-    "a3_a4_presence_prf": f"""WITH {_PARSED}, {_CLASS_FACTS}, c AS (SELECT class, {_CONFUSION} FROM f GROUP BY class),
-k AS (SELECT *, {_PRF} FROM c UNION ALL SELECT *, {_PRF} FROM (SELECT 'micro' AS class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(exist) AS BIGINT) AS exist FROM c))
-SELECT class, tp, fp, fn, tn, exist, {_R6} FROM k
-UNION ALL SELECT 'macro', NULL, NULL, NULL, NULL, NULL, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM k WHERE class <> 'micro'""",
-    "b8_mask_iou": f"WITH {_PARSED}, {_CLASS_FACTS}, {_MASK} SELECT prediction_id, class, round(CASE WHEN len(pred) = 0 AND len(truth) = 0 THEN NULL WHEN uni > 0 THEN inter / uni ELSE 0 END, 6) AS iou, round(inter, 6) AS inter, round(uni, 6) AS uni FROM m",
-    "a9_a12_violation_prf": f"""WITH {_PARSED}, c AS ({_RULE_COUNTS}),
-z AS (SELECT '0' AS rule, count(*) FILTER (NOT {_ANY_P} AND NOT {_ANY_T}) AS tp, count(*) FILTER (NOT {_ANY_P} AND {_ANY_T}) AS fp, count(*) FILTER ({_ANY_P} AND NOT {_ANY_T}) AS fn FROM s),
-k AS (SELECT *, {_PRF} FROM (SELECT * FROM c UNION ALL SELECT * FROM z UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM c))
-SELECT rule, tp, fp, fn, {_R6} FROM k UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM k WHERE rule IN ('1', '2', '3', '4')""",
-    "a16_caption_words": f"""WITH {_PARSED}, w AS (SELECT len([x FOR x IN regexp_split_to_array(CASE WHEN schema_valid AND trim(v->>'$.caption') <> '' THEN v->>'$.caption' ELSE 'empty' END, '\\s+') IF x <> '']) AS n FROM s WHERE task = 'unified')
-SELECT round(avg(n), 6) AS words_avg, CAST(min(n) AS INT) AS words_min, CAST(max(n) AS INT) AS words_max FROM w""",
-    "a31_gates": f"""WITH {_PARSED}, g AS (SELECT run_id, count(*) AS answers, count(*) FILTER (json_valid) AS json_valid, count(*) FILTER (schema_valid) AS schema_valid FROM j GROUP BY run_id)
-SELECT *, json_valid - schema_valid AS gate2_only, round(100.0 * schema_valid / answers, 2) AS schema_pct, CASE WHEN round(100.0 * schema_valid / answers, 2) >= 95 THEN 'ready' WHEN round(100.0 * schema_valid / answers, 2) >= 80 THEN 'usable' ELSE 'poor' END AS verdict FROM g""",
-    "a32_log_triage": f"""WITH e AS (SELECT source, error, coalesce(raw_output, '') AS x FROM predictions)
-SELECT source, count(*) AS rows, count(*) FILTER (trim(x) = '') AS empty, count(*) FILTER (trim(x) <> '' AND NOT regexp_matches(x, '{_FENCE}')) AS missing_fence, count(*) FILTER (regexp_matches(x, '{_FENCE}')) AS clean,
-       count(error) AS errors, round(100.0 * count(*) FILTER (trim(x) <> '') / count(*), 6) AS success_pct FROM e GROUP BY source""",
-    "o12_rule_sets": f"""WITH {_PARSED} SELECT prediction_id, concat_ws(',', {", ".join(f"CASE WHEN p{i} AND t{i} THEN '{i}' END" for i in range(1, 5))}) AS common,
-concat_ws(',', {", ".join(f"CASE WHEN p{i} AND NOT t{i} THEN '{i}' END" for i in range(1, 5))}) AS extra, concat_ws(',', {", ".join(f"CASE WHEN t{i} AND NOT p{i} THEN '{i}' END" for i in range(1, 5))}) AS missed FROM s""",
-    "r5_rule_f2": f"""WITH {_PARSED}, k AS (SELECT prediction_id, schema_valid, {_TPFN(_p, _t)} AS tp, {_TPFN(_p, _not(_t))} AS fp, {_TPFN(_not(_p), _t)} AS fn FROM s)
-SELECT prediction_id, round(CASE WHEN NOT schema_valid THEN 0.0 WHEN tp + fp + fn = 0 THEN 0.1 WHEN tp > 0 THEN 5.0 * tp / (5.0 * tp + 4.0 * fn + fp) ELSE 0.0 END, 6) AS r_violation_id FROM k""",
-    "a17_stratified_violations": f"""WITH {_PARSED}, l AS ({" UNION ALL ".join(f"SELECT '{m}' AS field, sample.{m} AS value, s.* FROM s WHERE sample.{m} IS NOT NULL" for m in METADATA)}),
-c AS ({" UNION ALL ".join(f"SELECT field, value, '{i}' AS rule, count(*) FILTER (p{i} AND t{i}) AS tp, count(*) FILTER (p{i} AND NOT t{i}) AS fp, count(*) FILTER (NOT p{i} AND t{i}) AS fn FROM l GROUP BY field, value" for i in range(1, 5))}),
-k AS (SELECT *, {_PRF} FROM c)
-SELECT field, value, 'macro' AS rule, round(avg(f1), 6) AS f1 FROM k GROUP BY field, value
-UNION ALL SELECT field, value, 'micro', round(f1, 6) FROM (SELECT field, value, {_PRF} FROM (SELECT field, value, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY field, value))""",
-    "a17_stratified_presence": f"""WITH {_PARSED}, {_CLASS_FACTS}, l AS ({" UNION ALL ".join(f"SELECT '{m}' AS field, sample.{m} AS value, f.* FROM f WHERE sample.{m} IS NOT NULL" for m in METADATA)}),
-c AS (SELECT field, value, class, {_CONFUSION} FROM l GROUP BY ALL), k AS (SELECT *, {_PRF} FROM c)
-SELECT field, value, 'macro' AS class, round(avg(f1), 6) AS f1 FROM k GROUP BY field, value
-UNION ALL SELECT field, value, 'micro', round(f1, 6) FROM (SELECT field, value, {_PRF} FROM (SELECT field, value, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY field, value))""",
-}
-_G = lambda m, i: f"round(CASE WHEN {i} > 0 THEN {m} / {i} ELSE 0 END, 6)"
-ORACLE["a14_violation_grounding"] = f"""WITH {_PARSED},
-f AS ({" UNION ALL ".join(f"SELECT prediction_id, '{i + 1}' AS class, {_clean(_scaled(f'$.{r}.bounding_box'))} AS pred, {_clean(f'coalesce(sample.{r}.bounding_box, [])')} AS truth FROM s WHERE p{i + 1} AND t{i + 1}" for i, r in enumerate(RULES))}), {_MASK},
-q AS (SELECT class AS rule, count(*) AS common, count(*) FILTER (len(pred) = 0 AND len(truth) = 0) AS tn_count, sum(CASE WHEN uni > 0 THEN inter / uni ELSE 0 END) AS s, sum(inter) AS i, sum(uni) AS u FROM m GROUP BY class),
-w AS (SELECT rule, common, tn_count, s / common AS tn0, (s + tn_count) / common AS tn1, CASE WHEN u > 0 THEN i / u ELSE 0 END AS micro FROM q)
-SELECT rule, common, tn_count, round(tn0, 6) AS tn0, round(tn1, 6) AS tn1, round(micro, 6) AS micro, NULL AS macro_tn0, NULL AS macro_tn1 FROM w
-UNION ALL SELECT 'all', CAST(sum(common) AS BIGINT), CAST(sum(tn_count) AS BIGINT), round(sum(s) / sum(common), 6), round((sum(s) + sum(tn_count)) / sum(common), 6), round(sum(i) / sum(u), 6),
-       (SELECT round(sum(tn0) / 4, 6) FROM w), (SELECT round(sum(tn1) / 4, 6) FROM w) FROM q"""

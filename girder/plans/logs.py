@@ -10,8 +10,9 @@ from ..functions.predicates import is_blank
 from ..operators import arrange, audit, compare, rewards
 from ..operators import evaluation as ev
 from ..session import cut_lineage
-from ..tables import table
-from .evaluation import answers, parsed_answers, scored_answers
+from ..tables import RULES, table
+from .evaluation import answers, scored_answers
+from .evaluation_sql import MODEL_VALUES, RULE_SCORES, TEXT_WORDS
 
 
 def _repaired(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,22 +69,23 @@ def _latency(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+MODEL_METRICS = ("json_rate", "schema_rate", "violation_f1_micro", "violation_f1_macro", "presence_f1_micro", "mask_exist", "gated_f1_micro", "reason_score_all", "ngram_f1")
+
+
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """(run, metric, value) of each model: structural rates and rule F1 over its answers with a sample."""
+    """(run, metric, value) of each model over all its answers."""
     models = table(spark, folder, "model_run").select("run_id", F.col("model_name").alias("run"))
-    rows = cut_lineage(scored_answers(spark, folder).join(F.broadcast(models), "run_id").select("run", "parsed", "sample"))
-    shape = ev.long(ev.structural(rows, "run"), ["run"], ["json_rate", "schema_rate"])
-    rules = ev.violation_scores(rows, "run").where("rule in ('micro', 'macro')").select("run", F.concat(F.lit("violation_f1_"), "rule").alias("metric"), F.col("f1").alias("value"))
-    return shape.unionByName(rules)
+    rows = cut_lineage(scored_answers(spark, folder).join(F.broadcast(models), "run_id").select("run", "task", "parsed", "sample"))
+    return ev.full_evaluation(rows, "run").where(F.col("metric").isin(*MODEL_METRICS))
 
 
 def _against(spark: SparkSession, folder: str) -> DataFrame:
-    out = compare.against(_metrics(spark, folder), "run", "vlm_base")
+    out = compare.against(_metrics(spark, folder), "run", "vlm_base_a")
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 def _wide(spark: SparkSession, folder: str) -> DataFrame:
-    out = compare.wide(_metrics(spark, folder), "run", ["json_rate", "schema_rate", "violation_f1_micro", "violation_f1_macro"], True)
+    out = compare.wide(_metrics(spark, folder), "run", list(MODEL_METRICS), True)
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -96,11 +98,13 @@ def _outstanding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _word_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Word counts of true and answered captions, as summaries per source of the text."""
-    rows = scored_answers(spark, folder)
-    both = F.array(F.struct(F.lit("truth").alias("origin"), F.col("sample.image_caption").alias("t")), F.struct(F.lit("answer").alias("origin"), F.col("parsed.caption").alias("t")))
-    flat = rows.select(F.explode(both).alias("x")).select("x.origin", "x.t").where("t is not null").withColumn("words", text.word_count(F.col("t")))
-    out = audit.summary(flat, "words", "origin")
+    """Word counts of true and answered captions and reasons, as summaries per source of the text."""
+    side = lambda origin, kind, t: F.struct(F.lit(origin).alias("origin"), F.lit(kind).alias("kind"), t.alias("t"))
+    texts = [side("truth", "caption", F.col("sample.image_caption")), side("answer", "caption", F.col("parsed.caption"))]
+    for r in RULES:
+        texts += [side(o, "reason", F.when(F.col(f"{c}.{r}").isNotNull(), F.coalesce(f"{c}.{r}.reason", F.lit("")))) for o, c in (("truth", "sample"), ("answer", "parsed"))]
+    flat = scored_answers(spark, folder).select(F.inline(F.array(*texts))).where("t is not null").withColumn("words", text.word_count(F.col("t")))
+    out = audit.summary(flat, "words", "origin", "kind")
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -170,3 +174,14 @@ ORACLE = {
     "j2_with_image": f"WITH i AS (SELECT {_NUMBER} AS image, max(resolution) AS resolution FROM raw_sample GROUP BY 1) SELECT p.prediction_id, i.resolution FROM (SELECT prediction_id, {_NUMBER} AS image FROM predictions) p LEFT JOIN i ON i.image = p.image",
     "x2_cosine": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }
+ORACLE["c2_model_metrics"] = f"{MODEL_VALUES} SELECT k_run AS run, {', '.join(f"coalesce(round(max(CASE WHEN metric = '{m}' THEN 100 * value END), 6), 0) AS {m}" for m in MODEL_METRICS)} FROM every GROUP BY k_run"
+ORACLE["c4_against_base"] = f"""{MODEL_VALUES}, mm AS (SELECT * FROM every WHERE metric IN ({", ".join(f"'{m}'" for m in MODEL_METRICS)})),
+base AS (SELECT metric, value FROM mm WHERE k_run = 'vlm_base_a'), grid AS (SELECT DISTINCT a.k_run, b.metric FROM mm a, mm b WHERE a.k_run <> 'vlm_base_a'),
+jj AS (SELECT k_run AS run, metric, coalesce(base.value, 0) AS b, coalesce(mm.value, 0) AS x FROM grid LEFT JOIN mm USING (k_run, metric) LEFT JOIN base USING (metric))
+SELECT run, metric, round(b, 6) AS base_value, round(x, 6) AS value, round(x - b, 6) AS delta, round(CASE WHEN b <> 0 THEN (x - b) / abs(b) * 100 WHEN x > 0 THEN 100 ELSE 0 END, 6) AS delta_pct FROM jj"""
+ORACLE["o3_outstanding"] = f"""{RULE_SCORES}, q AS (SELECT image_id, coalesce(max(CASE WHEN model_name NOT LIKE '%reward%' THEN r_violation_id END), 0) AS base, coalesce(max(CASE WHEN model_name LIKE '%reward%' THEN r_violation_id END), 0) AS final
+  FROM o JOIN model_run USING (run_id) GROUP BY image_id)
+(SELECT image_id, base, final, 'triumph' AS kind FROM q WHERE final > 0.6 AND base < 0.3 ORDER BY final - base DESC, image_id LIMIT 5)
+UNION ALL (SELECT image_id, base, final, 'failure' FROM q WHERE final < 0.1 ORDER BY final, image_id LIMIT 5)"""
+ORACLE["x11_word_counts"] = f"""{TEXT_WORDS} SELECT origin, kind, count(n) AS count, CAST(min(n) AS INT) AS min, CAST(max(n) AS INT) AS max, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std,
+{", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS p{p:02d}" for p in audit.PERCENTILES)} FROM u GROUP BY origin, kind"""
