@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -143,10 +142,6 @@ def strictly_parsed(answers: DataFrame, text: str, task: str) -> DataFrame:
     return answers.mapInArrow(run, schema)
 
 
-def is_finite_number(x: Any) -> bool:
-    return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
-
-
 def failure_category(text: Column, long: int = 3500) -> Column:
     """Of an answer that isn't JSON: 'truncated' (unclosed brackets, or longer than `long`) or 'other'."""
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))

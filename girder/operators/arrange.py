@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has_boxes
-from .ranking import buckets_for, group_rank, seeded_key
+from ..session import cut_lineage
+from .ranking import ROWS_PER_BUCKET, buckets_for, group_rank, running, seeded_key, uniform
 
 # The strata, rarest first, and copies of rare samples.
 STRATA = ("rule_4", "rule_2", "rule_3", "rule_1", "white_hard_hat", "rebar", "excavator", "other")
@@ -84,7 +81,7 @@ def bucket_order(samples: DataFrame, id: str, size: int, seed: int, epoch: int,
     sorted together. A remainder forms a bucket of its own unless `drop_last`.
     """
     counts = samples.groupBy("resolution").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("resolution").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy(F.asc_nulls_first("resolution")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__before", before)  # one row per resolution, not per image
     total = samples.count()
     keyed = samples.select(id, "resolution").withColumn("__key", seeded_key(0, F.col(id)))
@@ -96,38 +93,33 @@ def bucket_order(samples: DataFrame, id: str, size: int, seed: int, epoch: int,
     return placed.withColumn("bucket_key", seeded_key(seed + epoch, F.col("bucket")))
 
 
-def spread_rare(n: int, rare: np.ndarray, seed: int) -> np.ndarray:
-    """Positions of n rows so that the rare ones lie evenly spread: jittered slots, the next free one on collision."""
-    slots = np.full(n, -1, np.int64)
-    generator = np.random.default_rng(seed)
-    if len(rare):
-        step = n / len(rare)
-        for k, row in enumerate(generator.permutation(rare)):
-            at = int(k * step + generator.uniform(0, step)) % n
-            while slots[at] >= 0:
-                at = (at + 1) % n
-            slots[at] = row
-    common = np.setdiff1d(np.arange(n), rare)
-    slots[slots < 0] = generator.permutation(common)
-    return slots
-
+def rare_class_order(samples: DataFrame, id: str, seed: int = 42) -> DataFrame:
+    """id, rare, place: an order in which the rare rows are evenly spread, places from 0.
 
-def rare_class_order(samples: DataFrame, id: str, shard_rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """id, rare, shard, place: an order with the rare rows evenly spread in each shard of about `shard_rows` rows.
-
-    The slot search is sequential, so it runs per shard; shards are drawn by hash and don't grow with the table.
+    The rare rows, in seeded order, get jittered slots at even steps; a slot that is taken moves the row on
+    to the next free one, past the end to the first free one; the common rows fill the rest in seeded
+    order. As the slots of the k-th rows don't fall, the k-th row lies at k plus the running maximum of
+    slot - k, and the c-th free slot at c plus the number of rare rows with at most c free slots before
+    them. Both are running values over buckets, so the order is that of the whole table at any size.
     """
-    shards = max(1, -(-samples.count() // shard_rows))
-    rows = samples.select(id, is_rare().alias("rare")).withColumn("shard", seeded_key(seed, F.col(id)) % shards)
-    kind = rows.schema[id].dataType.simpleString()
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id, kind="stable").reset_index(drop=True)
-        order = spread_rare(len(pdf), np.flatnonzero(pdf["rare"].to_numpy()), seed + int(pdf["shard"].iloc[0]))
-        out = pdf.iloc[order].reset_index(drop=True)
-        return out.assign(place=np.arange(len(out), dtype=np.int64))[[id, "rare", "shard", "place"]]
-
-    return rows.groupBy("shard").applyInPandas(place, f"{id} {kind}, rare BOOLEAN, shard BIGINT, place BIGINT")
+    rows = samples.select(id, is_rare().alias("rare")).withColumn("__key", seeded_key(seed, F.col(id)))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("rare").alias("m")).first()
+    n, m = sizes["n"], sizes["m"]
+    ranked = group_rank(rows, ["rare"], "__key", [id], "__k", buckets_for(n)).withColumn("__k", F.col("__k") - 1)
+    ranked = cut_lineage(ranked.withColumn("__row", F.monotonically_increasing_id()))
+    step = n / max(m, 1)
+    slot = F.least(F.floor(F.col("__k") * F.lit(step) + uniform(seeded_key(seed + 1, F.col(id))) * F.lit(step)), F.lit(n - 1))
+    by_rank = F.floor(F.col("__k") / ROWS_PER_BUCKET)
+    spread = running(ranked.where("rare").withColumn("__gap", slot - F.col("__k")), [], by_rank, [F.col("__k")], "__gap", "__free", "max")
+    spread = cut_lineage(spread.withColumn("__at", F.col("__k") + F.col("__free")))  # __free: free slots before it
+    fixed = spread.where(F.col("__at") < n)
+    wrapped = m - fixed.count()
+    filling = spread.where(F.col("__at") >= n).select("__row", (F.col("__k") - (m - wrapped)).alias("c")).unionByName(ranked.where("not rare").select("__row", (F.col("__k") + wrapped).alias("c")))
+    rare_before = fixed.groupBy(F.col("__free").alias("c")).agg(F.count(F.lit(1)).alias("w")).select(F.lit(None).cast("bigint").alias("__row"), "c", "w")
+    merged = filling.withColumn("w", F.lit(0).cast("bigint")).unionByName(rare_before)
+    filled = running(merged, [], F.floor(F.col("c") / ROWS_PER_BUCKET), [F.col("c"), F.col("__row").isNotNull()], "w", "__rare").where("__row is not null")
+    places = fixed.select("__row", F.col("__at").alias("place")).unionByName(filled.select("__row", (F.col("c") + F.col("__rare")).alias("place")))
+    return ranked.join(places, "__row").select(id, "rare", F.col("place").cast("bigint").alias("place"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -148,17 +140,6 @@ def pending(inputs: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return inputs.join(done, key, "left_anti")
 
 
-def chunks(rows: Iterator, size: int) -> Iterator[list]:
-    batch: list = []
-    for r in rows:
-        batch.append(r)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
 def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows in an explicit order (a cap that the caller asks for)."""
     return df.orderBy(*order).limit(n)

@@ -62,6 +62,13 @@ def conversations(samples: DataFrame, id: str, prompts: DataFrame) -> DataFrame:
     )
 
 
+def task_shards(samples: DataFrame, id: str) -> DataFrame:
+    """task, split, id, image_id and target_json of each sample and task, as an export writes them."""
+    rows = samples.withColumn("task", F.explode(F.array(*map(F.lit, TASKS)))).where("task <> 'unified' or image_caption is not null")
+    target = F.when(F.col("task") == "unified", target_json("unified")).otherwise(target_json("violations_only"))
+    return rows.select("task", "split", id, "image_id", target.alias("target_json"))
+
+
 def reward_prompts(samples: DataFrame, id: str, prompt: Column, task: str) -> DataFrame:
     """id, prompt (the user turn alone), ground_truth as JSON text, image_id."""
     return samples.select(id, F.array(user_turn(prompt, F.col("image_id"))).alias("prompt"), F.to_json(ground_truth(task), {"ignoreNullFields": "false"}).alias("ground_truth"), "image_id")
@@ -82,9 +89,18 @@ def without_box(boxes_column: Column, box: list[float]) -> Column:
     return F.filter(boxes_column, lambda b: b != F.array(*map(F.lit, box)))
 
 
-def rejoined(cache: DataFrame, images: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Cached rows with their image columns by key as text; of images with one key the greatest is kept."""
+def rejoined(cache: DataFrame, images: DataFrame, key: str, order: str, how: str = "inner") -> DataFrame:
+    """Cached rows with the columns of their image by key as text; of images with one key the last by `order` counts.
+
+    With 'inner' rows of unknown images are left out (missing_images counts them), with 'left' they get nulls.
+    """
     rest = [c for c in images.columns if c != key]
-    latest = images.groupBy(F.col(key).cast("string").alias("__k")).agg(F.max(F.struct(*rest)).alias("__i"))
+    latest = images.groupBy(F.col(key).cast("string").alias("__k")).agg(F.max_by(F.struct(*rest), order).alias("__i"))
     joined = cache.join(latest, F.col(key).cast("string") == F.col("__k"), how)
     return joined.select(*cache.columns, *[F.col(f"__i.{c}").alias(f"image_{c}" if c in cache.columns else c) for c in rest])
+
+
+def missing_images(cache: DataFrame, images: DataFrame, key: str) -> int:
+    """How many cached rows have an image that isn't there, null keys included."""
+    known = images.select(F.col(key).cast("string").alias("__k")).distinct()
+    return cache.join(known, F.col(key).cast("string") == F.col("__k"), "left_anti").count()

@@ -29,6 +29,10 @@ def _boxes_text(box):
     return F.array_join(F.transform(box, lambda c: F.format_string("%.3f", c)), ",")
 
 
+def _boxes_text_list(boxes_column):
+    return F.array_join(F.transform(boxes_column, _boxes_text), ";")
+
+
 def _audit(samples: DataFrame) -> DataFrame:
     return audit.audit_boxes(samples, "sample_id", "split").select("sample_id", "split", "class", F.coalesce("box_no", F.lit(-1)).alias("box_no"), F.coalesce("area", F.lit(0.0)).alias("area"), "issues")
 
@@ -41,18 +45,11 @@ def _crosstab(samples: DataFrame) -> DataFrame:
 
 
 def _split(samples: DataFrame) -> DataFrame:
-    """Per stratum how many of the training rows become validation rows (the choice itself is by hash)."""
-    return arrange.stratified_split(samples.where("split = 'train'"), "sample_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == "val").alias("val"))
-
-
-def _bucket_sizes(samples: DataFrame) -> DataFrame:
-    order = arrange.bucket_order(samples.where("resolution is not null"), "sample_id", BUCKET, seed=42, epoch=0)
-    return order.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("resolution").alias("low"), F.max("resolution").alias("high"))
+    return arrange.stratified_split(samples.where("split = 'train'"), "sample_id")
 
 
-def _rare_gaps(samples: DataFrame) -> DataFrame:
-    placed = arrange.rare_class_order(samples, "sample_id")
-    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("rare").alias("rare"), F.countDistinct("place").alias("places"))
+def _buckets(samples: DataFrame) -> DataFrame:
+    return arrange.bucket_order(samples.where("resolution is not null"), "sample_id", BUCKET, seed=42, epoch=0)
 
 
 def _examples(samples: DataFrame) -> DataFrame:
@@ -65,8 +62,15 @@ def _targets(task: str):
     return lambda samples: samples.select("sample_id", conversations.target_json(task).alias("target_json"))
 
 
-def _truth(samples: DataFrame) -> DataFrame:
-    return samples.select("sample_id", conversations.ground_truth("unified").alias("g")).select("sample_id", "g.caption", F.size("g.excavator").alias("excavators"), F.size("g.rebar").alias("rebars"), *[F.coalesce(F.size(f"g.{r}.bounding_box"), F.lit(-1)).alias(f"boxes_{i + 1}") for i, r in enumerate(RULES)])
+def _truth(task: str):
+    """The fields of the true answer, one row each with its boxes as text (none: the class or rule has no boxes)."""
+
+    def query(samples: DataFrame) -> DataFrame:
+        names = [*RULES, *CLASSES] if task == "unified" else [*RULES]
+        of = lambda n: F.struct(F.lit(n).alias("field"), _boxes_text_list(F.col(f"g.{n}.bounding_box") if n in RULES else F.col(f"g.{n}")).alias("boxes"), (F.col(f"g.{n}.reason") if n in RULES else F.col("g.caption") if task == "unified" else F.lit(None).cast("string")).alias("text"))
+        return samples.select("sample_id", conversations.ground_truth(task).alias("g")).select("sample_id", F.concat_ws("|", *[F.coalesce(f"g.{m}", F.lit("-")) for m in METADATA]).alias("metadata"), F.inline(F.array(*map(of, names))))
+
+    return query
 
 
 def _expected(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,9 +93,10 @@ def _corrected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of each training sample and prompt, reduced to their shape."""
+    """The messages of each training sample and prompt, one row per part of a turn."""
     rows = conversations.conversations(_samples(spark, folder).where("split = 'train'"), "sample_id", table(spark, folder, "prompt_text"))
-    return rows.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("conversations"), F.max(F.size("messages")).alias("turns"))
+    turns = rows.select("sample_id", "prompt_id", F.posexplode("messages").alias("turn", "m"))
+    return turns.select("sample_id", "prompt_id", "turn", "m.role", F.posexplode("m.content").alias("part", "c")).select("sample_id", "prompt_id", "turn", "role", "part", "c.type", "c.text", "c.image_ref")
 
 
 def _reward_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,9 +105,7 @@ def _reward_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _shard_export(samples: DataFrame) -> DataFrame:
-    """Rows per task and split as an export writes them."""
-    tasks = F.explode(F.array(F.lit("unified"), F.lit("violations_only")))
-    return samples.select("split", "image_caption", tasks.alias("task")).where("task <> 'unified' or image_caption is not null").groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"))
+    return conversations.task_shards(samples, "sample_id")
 
 
 QUERIES = {
@@ -130,14 +133,15 @@ QUERIES = {
     "o6_oversampled": _on(lambda s: arrange.oversampled(s.where("split = 'train'")).select("sample_id", "copy_no")),
     "a29_oversampling_manifest": _on(lambda s: arrange.oversampling_manifest(s.where("split = 'train'"))),
     "o1_by_resolution": _on(lambda s: s.where("split = 'train'").select("sample_id", "resolution").orderBy(F.asc_nulls_last("resolution"), "sample_id")),
-    "o7_resolution_buckets": _on(_bucket_sizes),
-    "o8_rare_order": _on(_rare_gaps),
+    "o7_resolution_buckets": _on(_buckets),
+    "o8_rare_order": _on(lambda s: arrange.rare_class_order(s, "sample_id")),
     "pr16_rare_flag": _on(lambda s: s.select("sample_id", arrange.is_rare().alias("rare"))),
     "pr20_first_examples": _on(_examples),
     "o11_first_examples": _on(lambda s: arrange.first_n_per_key(s.where("source is not null").select("source", "sample_id"), "source", [F.col("sample_id")], 3)),
     "pr5_target_json": _on(_targets("unified")),
     "pr6_violations_target": _on(_targets("violations_only")),
-    "pr2_ground_truth": _on(_truth),
+    "pr2_ground_truth": _on(_truth("unified")),
+    "pr3_violations_truth": _on(_truth("violations_only")),
     "pr7_conversations": _conversations,
     "pr9_reward_prompts": _reward_prompts,
     "pr12_corrected_values": _corrected,
@@ -160,6 +164,7 @@ _matrix = lambda names: " UNION ALL ".join(f"SELECT '{a}' AS name, {', '.join(f'
 _STRATUM = "CASE WHEN rule_4_violation IS NOT NULL THEN 0 WHEN rule_2_violation IS NOT NULL THEN 1 WHEN rule_3_violation IS NOT NULL THEN 2 WHEN rule_1_violation IS NOT NULL THEN 3 WHEN len(worker_with_white_hard_hat) > 0 THEN 4 WHEN len(rebar) > 0 THEN 5 WHEN len(excavator) > 0 THEN 6 ELSE 7 END"
 _LABELS = "['" + "', '".join(arrange.STRATA) + "']"
 _COPIES = "CASE WHEN rule_2_violation IS NOT NULL OR rule_4_violation IS NOT NULL THEN 4 WHEN rule_3_violation IS NOT NULL THEN 2 ELSE 1 END"
+_key = lambda seed, c: f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {c})), 1, 15) AS BIGINT)"
 _CLEANED = lambda c: f"[b FOR b IN coalesce({c}, []) IF len(b) = 4 AND list_bool_and([x >= -1e-6 AND x <= 1 + 1e-6 FOR x IN b]) AND b[3] - b[1] > 1e-4 AND b[4] - b[2] > 1e-4]"
 
 ORACLE = {
@@ -184,16 +189,58 @@ UNION ALL {" UNION ALL ".join(f"SELECT 'null_{c}', count(*) FILTER ({c} IS NULL)
     "pr1_strata": f"SELECT sample_id, CAST({_STRATUM} AS INT) AS stratum FROM raw_sample",
     "a21_stratum_distribution": f"WITH s AS (SELECT split, {_STRATUM} AS k FROM raw_sample), g AS (SELECT DISTINCT split, unnest(range(0, 8)) AS k FROM s), c AS (SELECT g.split, g.k, count(s.k) AS n FROM g LEFT JOIN s ON s.split = g.split AND s.k = g.k GROUP BY 1, 2) SELECT split, CAST(k AS INT) AS stratum, {_LABELS}[k + 1] AS label, n, round(100.0 * n / sum(n) OVER (PARTITION BY split), 2) AS pct FROM c",
     "a22_stratum_pivot": f"SELECT {_LABELS}[{_STRATUM} + 1] AS label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM raw_sample GROUP BY 1",
-    "o5_stratified_split": f"SELECT CAST({_STRATUM} AS INT) AS stratum, count(*) AS n, CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS val FROM raw_sample WHERE split = 'train' GROUP BY 1",
+    "o5_stratified_split": f"WITH r AS (SELECT sample_id, {_STRATUM} AS k, row_number() OVER (PARTITION BY {_STRATUM} ORDER BY {_key(42, 'sample_id')}, sample_id) AS n, count(*) OVER (PARTITION BY {_STRATUM}) AS c FROM raw_sample WHERE split = 'train') SELECT sample_id, CAST(k AS INT) AS stratum, CASE WHEN n <= round_even(c * 0.1, 0) THEN 'val' ELSE 'train' END AS part FROM r",
     "o6_oversampled": f"SELECT sample_id, CAST(unnest(range(1, {_COPIES} + 1)) AS INT) AS copy_no FROM raw_sample WHERE split = 'train'",
     "a29_oversampling_manifest": f"WITH c AS (SELECT {_COPIES} AS c FROM raw_sample WHERE split = 'train') SELECT count(*) AS original, count(*) FILTER (c = 4) AS rare, count(*) FILTER (c = 2) AS scarce, count(*) FILTER (c = 1) AS common, 4 * count(*) FILTER (c = 4) AS rare_copies, 2 * count(*) FILTER (c = 2) AS scarce_copies, CAST(sum(c) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) - count(*) AS added FROM c",
     "o1_by_resolution": "SELECT sample_id, resolution FROM raw_sample WHERE split = 'train' ORDER BY resolution, sample_id",
-    "o7_resolution_buckets": f"WITH r AS (SELECT resolution, (row_number() OVER (ORDER BY resolution) - 1) // {BUCKET} AS bucket FROM raw_sample WHERE resolution IS NOT NULL) SELECT bucket, count(*) AS n, min(resolution) AS low, max(resolution) AS high FROM r GROUP BY bucket",
+    "o7_resolution_buckets": f"WITH r AS (SELECT sample_id, resolution, row_number() OVER (ORDER BY resolution, {_key(0, 'sample_id')}, sample_id) - 1 AS place FROM raw_sample WHERE resolution IS NOT NULL) SELECT *, place // {BUCKET} AS bucket, {_key(42, f'place // {BUCKET}')} AS bucket_key FROM r",
+    "o8_rare_order": f"""WITH a AS (SELECT sample_id, rule_2_violation IS NOT NULL OR rule_3_violation IS NOT NULL OR rule_4_violation IS NOT NULL AS rare FROM raw_sample),
+r AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY {_key(42, 'sample_id')}, sample_id) - 1 AS k, count(*) OVER () AS n, count(*) FILTER (rare) OVER () AS m FROM a),
+g AS (SELECT *, least(floor(k * (n / m) + {_key(43, 'sample_id')} / 1152921504606846976.0 * (n / m)), n - 1) - k AS gap FROM r WHERE rare),
+h AS (SELECT *, k + max(gap) OVER (ORDER BY k) AS pos FROM g),
+free AS (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS c FROM (SELECT unnest(range(0, (SELECT max(n) FROM r))) AS slot) WHERE slot NOT IN (SELECT pos FROM h WHERE pos < n)),
+fill AS (SELECT sample_id, rare, row_number() OVER (ORDER BY NOT rare, k) - 1 AS c FROM (SELECT sample_id, rare, k FROM h WHERE pos >= n UNION ALL SELECT sample_id, rare, k FROM r WHERE NOT rare))
+SELECT sample_id, rare, CAST(pos AS BIGINT) AS place FROM h WHERE pos < n UNION ALL SELECT sample_id, rare, CAST(slot AS BIGINT) FROM fill JOIN free USING (c)""",
     "pr16_rare_flag": "SELECT sample_id, rule_2_violation IS NOT NULL OR rule_3_violation IS NOT NULL OR rule_4_violation IS NOT NULL AS rare FROM raw_sample",
     "pr20_first_examples": " UNION ALL ".join(f"SELECT '{c}' AS category, {c} AS value, min(sample_id) AS sample_id FROM raw_sample WHERE {c} IS NOT NULL GROUP BY {c}" for c in METADATA),
     "o11_first_examples": "SELECT source, sample_id, CAST(place AS INT) AS place FROM (SELECT source, sample_id, row_number() OVER (PARTITION BY source ORDER BY sample_id) AS place FROM raw_sample WHERE source IS NOT NULL) WHERE place <= 3",
-    "pr2_ground_truth": f"SELECT sample_id, image_caption AS caption, CAST(len({_CLEANED('excavator')}) AS INT) AS excavators, CAST(len({_CLEANED('rebar')}) AS INT) AS rebars, " + ", ".join(f"CAST(CASE WHEN {r} IS NULL THEN -1 ELSE len({_CLEANED(r + '.bounding_box')}) END AS INT) AS boxes_{i + 1}" for i, r in enumerate(RULES)) + " FROM raw_sample",
-    "pr7_conversations": "SELECT prompt_id, count(*) AS conversations, CAST(2 AS INT) AS turns FROM raw_sample, prompt_text WHERE split = 'train' AND (task <> 'unified' OR image_caption IS NOT NULL) GROUP BY prompt_id",
-    "k12_export_rows": "SELECT task, split, count(*) AS n FROM raw_sample, (SELECT unnest(['unified', 'violations_only']) AS task) WHERE task <> 'unified' OR image_caption IS NOT NULL GROUP BY task, split",
     "pr12_corrected_values": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {c} AS value FROM raw_sample" for c in METADATA) + ") SELECT category, coalesce(d.allowed_value, value) AS value, count(*) AS n FROM v LEFT JOIN domain_value d ON d.column_name = category AND lower(regexp_replace(d.allowed_value, '[^A-Za-z]', '', 'g')) = lower(regexp_replace(value, '[^A-Za-z]', '', 'g')) GROUP BY 1, 2",
 }
+
+_box_text = lambda boxes: f"array_to_string([array_to_string([printf('%.3f', x) FOR x IN b], ',') FOR b IN {boxes}], ';')"
+_META = "concat_ws('|', " + ", ".join(f"coalesce({m}, '-')" for m in METADATA) + ") AS metadata"
+
+
+def _truth_sql(classes: bool) -> str:
+    rules = [f"SELECT sample_id, {_META}, '{r}' AS field, CASE WHEN {r} IS NOT NULL THEN {_box_text(_CLEANED(r + '.bounding_box'))} END AS boxes, CASE WHEN {r} IS NOT NULL THEN coalesce({r}.reason, '') END AS text FROM raw_sample" for r in RULES]
+    return " UNION ALL ".join(rules + ([f"SELECT sample_id, {_META}, '{c}', {_box_text(_CLEANED(c))}, image_caption FROM raw_sample" for c in CLASSES] if classes else []))
+
+
+ORACLE["pr2_ground_truth"] = _truth_sql(True)
+ORACLE["pr3_violations_truth"] = _truth_sql(False)
+
+
+def _target_sql(classes: bool) -> str:
+    """SQL: the fenced JSON to learn."""
+    grid = lambda boxes: f"'[' || array_to_string(['[' || array_to_string([CAST(CAST(round_even(x * 1000.0, 0) AS INT) AS VARCHAR) FOR x IN b], ',') || ']' FOR b IN {_CLEANED(boxes)}], ',') || ']'"
+    quoted = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    parts = [f"""'"{r}":' || CASE WHEN {r} IS NULL THEN 'null' ELSE '{{"bounding_box":' || {grid(r + ".bounding_box")} || ',"reason":' || {quoted(f"coalesce({r}.reason, '')")} || '}}' END""" for r in RULES]
+    if classes:
+        parts = [f"""'"caption":' || coalesce({quoted("image_caption")}, 'null')""", *parts, *[f"""'"{c}":' || {grid(c)}""" for c in CLASSES]]
+    return "'```json' || chr(10) || '{' || " + " || ',' || ".join(parts) + " || '}' || chr(10) || '```'"
+
+
+ORACLE["pr5_target_json"] = f"SELECT sample_id, {_target_sql(True)} AS target_json FROM raw_sample"
+ORACLE["pr6_violations_target"] = f"SELECT sample_id, {_target_sql(False)} AS target_json FROM raw_sample"
+_TASK_TARGET = f"CASE WHEN task = 'unified' THEN {_target_sql(True)} ELSE {_target_sql(False)} END"
+ORACLE["k12_export_rows"] = f"SELECT task, split, sample_id, image_id, {_TASK_TARGET} AS target_json FROM raw_sample, (SELECT unnest(['unified', 'violations_only']) AS task) WHERE task <> 'unified' OR image_caption IS NOT NULL"
+ORACLE["pr7_conversations"] = f"""WITH c AS (SELECT sample_id, prompt_id, prompt, image_id, {_TASK_TARGET} AS answer FROM raw_sample, prompt_text WHERE split = 'train' AND (task <> 'unified' OR image_caption IS NOT NULL))
+SELECT sample_id, prompt_id, CAST(0 AS INT) AS turn, 'user' AS role, CAST(0 AS INT) AS part, 'image' AS type, CAST(NULL AS VARCHAR) AS text, image_id AS image_ref FROM c
+UNION ALL SELECT sample_id, prompt_id, 0, 'user', 1, 'text', prompt, NULL FROM c UNION ALL SELECT sample_id, prompt_id, 1, 'assistant', 0, 'text', answer, NULL FROM c"""
+_quoted_sql = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+_numbers_sql = lambda boxes: f"'[' || array_to_string(['[' || array_to_string([CAST(x AS VARCHAR) FOR x IN b], ',') || ']' FOR b IN {_CLEANED(boxes)}], ',') || ']'"
+_TRUE_JSON = " || ',' || ".join(
+    [f"""'"{m}":' || coalesce({_quoted_sql(m)}, 'null')""" for m in METADATA]
+    + [f"""'"{r}":' || CASE WHEN {r} IS NULL THEN 'null' ELSE '{{"bounding_box":' || {_numbers_sql(r + ".bounding_box")} || ',"reason":' || {_quoted_sql(f"coalesce({r}.reason, '')")} || '}}' END""" for r in RULES]
+)
+ORACLE["pr9_reward_prompts"] = f"SELECT sample_id, image_id, '{{' || {_TRUE_JSON} || '}}' AS ground_truth FROM raw_sample WHERE split = 'train'"

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import repair, text
 from ..functions.predicates import is_blank
-from ..operators import arrange, audit, compare, rewards
+from ..operators import arrange, audit, compare, conversations, rewards
 from ..operators import evaluation as ev
 from ..session import cut_lineage
 from ..tables import RULES, table
-from .evaluation import answers, scored_answers
+from .evaluation import NUMBER, answers, scored_answers
 from .evaluation_sql import MODEL_VALUES, RULE_SCORES, TEXT_WORDS
 
 
@@ -126,7 +126,7 @@ def _cosines(spark: SparkSession, folder: str) -> DataFrame:
 def _seeded(spark: SparkSession, folder: str) -> DataFrame:
     """A seeded evaluation sample of 200 test images (the size is the operator's parameter)."""
     rows = table(spark, folder, "raw_sample").where("split = 'test'").select("sample_id", "split")
-    return arrange.seeded_first_n(rows, "sample_id", 200).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return arrange.seeded_first_n(rows, "sample_id", 200)
 
 
 def _missing_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,9 +135,17 @@ def _missing_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _id_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """Per run the number of failed and usable answers and the first and last failed id, as an export lists them."""
-    bad = is_blank(F.col("raw_output"))
-    return _log(spark, folder).groupBy("run_id").agg(F.count_if(bad).alias("failed"), F.count_if(~bad).alias("usable"), F.min(F.when(bad, F.col("prediction_id"))).alias("first_failed"), F.max(F.when(bad, F.col("prediction_id"))).alias("last_failed"))
+    """The answers of each run that failed and that are usable, by id."""
+    status = F.when(is_blank(F.col("raw_output")), "failed").otherwise("usable")
+    return _log(spark, folder).select("run_id", "prediction_id", status.alias("status"))
+
+
+def _rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers with the last sample of their image number, those of unknown images left out."""
+    number = F.expr(NUMBER)
+    images = table(spark, folder, "raw_sample").select(number.alias("image"), "sample_id", "split", "resolution")
+    log = table(spark, folder, "predictions").select("prediction_id", number.alias("image"))
+    return conversations.rejoined(log, images, "image", "sample_id").drop("image")
 
 
 QUERIES = {
@@ -157,6 +165,7 @@ QUERIES = {
     "c4_against_base": _against,
     "o3_outstanding": _outstanding,
     "x11_word_counts": _word_counts,
+    "j1_rejoined": _rejoined,
     "j2_with_image": _with_image,
     "x2_cosine": _cosines,
 }
@@ -164,9 +173,10 @@ QUERIES = {
 _NUMBER = "TRY_CAST(NULLIF(regexp_extract(image_id, '([0-9]+)', 1), '') AS BIGINT)"
 _EMPTY = "regexp_full_match(coalesce(raw_output, ''), '[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*')"
 ORACLE = {
-    "o4_seeded_sample": "SELECT split, least(count(*), 200) AS n FROM raw_sample WHERE split = 'test' GROUP BY split",
+    "o4_seeded_sample": "SELECT sample_id, split FROM raw_sample WHERE split = 'test' ORDER BY CAST('0x' || substr(md5(concat_ws(':', '42', sample_id)), 1, 15) AS BIGINT), sample_id LIMIT 200",
     "j6_missing_ids": "SELECT DISTINCT image_id FROM predictions WHERE image_id IS NOT NULL AND image_id NOT IN (SELECT image_id FROM raw_sample WHERE image_id IS NOT NULL)",
-    "o15_failure_ids": f"SELECT run_id, count(*) FILTER ({_EMPTY}) AS failed, count(*) FILTER (NOT {_EMPTY}) AS usable, min(prediction_id) FILTER ({_EMPTY}) AS first_failed, max(prediction_id) FILTER ({_EMPTY}) AS last_failed FROM predictions GROUP BY run_id",
+    "o15_failure_ids": f"SELECT run_id, prediction_id, CASE WHEN {_EMPTY} THEN 'failed' ELSE 'usable' END AS status FROM predictions",
+    "j1_rejoined": f"SELECT p.prediction_id, i.sample_id, i.split, i.resolution FROM (SELECT prediction_id, {_NUMBER} AS image FROM predictions) p JOIN (SELECT {_NUMBER} AS image, max(sample_id) AS sample_id FROM raw_sample GROUP BY 1) m USING (image) JOIN raw_sample i ON i.sample_id = m.sample_id",
     "j4_pending_images": f"SELECT DISTINCT {_NUMBER} AS image FROM raw_sample WHERE {_NUMBER} IS NOT NULL AND {_NUMBER} NOT IN (SELECT {_NUMBER} FROM predictions WHERE trim(coalesce(raw_output, '')) <> '' AND {_NUMBER} IS NOT NULL)",
     "o10_first_answers": "SELECT run_id, image_id, prediction_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image_id ORDER BY logged_at, prediction_id) AS k FROM predictions WHERE NOT regexp_full_match(coalesce(raw_output, ''), '[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*')) WHERE k = 1",
     "o9_failure_runs": "WITH p AS (SELECT run_id, prediction_id, error IS NOT NULL AS f, row_number() OVER (PARTITION BY run_id ORDER BY prediction_id) AS n FROM predictions), r AS (SELECT *, n - row_number() OVER (PARTITION BY run_id ORDER BY prediction_id) AS run FROM p WHERE f) SELECT run_id, min(prediction_id) AS first, max(prediction_id) AS last, count(*) AS length FROM r GROUP BY run_id, run",

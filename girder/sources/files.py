@@ -96,6 +96,11 @@ def write_target_cache(targets: DataFrame, path: str) -> None:
     write_jsonl(targets.select(F.coalesce("image_id", unknown).alias("image_id"), "target_json"), path)
 
 
+def write_task_shards(shards: DataFrame, path: str) -> None:
+    """JSON lines of conversations.task_shards, one folder per task and split, in one job."""
+    shards.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("task", "split").json(path)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a CSV folder with a header: in the column order that is already there, unknown columns dropped."""
     if glob.glob(os.path.join(path, "*.csv")):

@@ -147,6 +147,7 @@ def test_orders(spark, sample_schema, make_sample):
     assert [r["place"] for r in placed] == list(range(103))
     at = [r["place"] for r in placed if r["rare"]]
     assert max(b - a for a, b in zip(at, at[1:])) < 30
+    assert placed == sorted(arrange.rare_class_order(samples, "image_id").collect(), key=lambda r: r["place"])
     assert arrange.rare_class_order(samples.where("resolution < 0"), "image_id").count() == 0
     log = spark.createDataFrame([("a", 2, "x"), ("a", 1, ""), ("b", 1, None)], "image_id STRING, n INT, raw_output STRING")
     assert arrange.first_per_key(log, ["image_id"], [F.col("n")]).where("image_id = 'a'").first()["n"] == 1
@@ -197,8 +198,37 @@ def test_conversations(spark, sample_schema, make_sample):
     fixed = conversations.corrected(s, spark.createDataFrame([("1", "view", "far")], "image_id STRING, column_name STRING, value STRING"), "image_id").orderBy("image_id").collect()
     assert [r["view"] for r in fixed] == ["far", "ground view"]
     cache = spark.createDataFrame([("1", "t"), ("9", "t")], "image_id STRING, target_json STRING")
-    images = spark.createDataFrame([(1, "a"), (1, "b")], "image_id INT, path STRING")
-    assert conversations.rejoined(cache, images, "image_id").collect() == [("1", "t", "b")] and conversations.rejoined(cache, images, "image_id", "left").count() == 2
+    images = spark.createDataFrame([(1, "z", 1), (1, "b", 2)], "image_id INT, path STRING, n INT")
+    assert conversations.rejoined(cache, images, "image_id", "n").collect() == [("1", "t", "b", 2)] and conversations.rejoined(cache, images, "image_id", "n", "left").count() == 2
+    assert conversations.missing_images(cache, images, "image_id") == 1
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.6, 0.95, 1.0])
+def test_rare_order_is_that_of_sequential_probing(spark, sample_schema, make_sample, share, monkeypatch):
+    monkeypatch.setattr(arrange, "ROWS_PER_BUCKET", 16)
+    n, m = 150, int(150 * share)
+    samples = spark.createDataFrame([make_sample(f"{i:03}", rules={4: ([], "r")} if i < m else {}) for i in range(n)], sample_schema)
+    keys = {r["image_id"]: (r["k"], r["u"]) for r in samples.select("image_id", ranking.seeded_key(42, F.col("image_id")).alias("k"), ranking.uniform(ranking.seeded_key(43, F.col("image_id"))).alias("u")).collect()}
+    order = sorted(keys, key=lambda i: keys[i][0])
+    slots: list = [None] * n
+    for k, i in enumerate(x for x in order if int(x) < m):
+        at = min(math.floor(k * (n / m) + keys[i][1] * (n / m)), n - 1)
+        while slots[at] is not None:
+            at = (at + 1) % n
+        slots[at] = i
+    commons = iter(x for x in order if int(x) >= m)
+    want = [i if i is not None else next(commons) for i in slots]
+    got = sorted(arrange.rare_class_order(samples, "image_id").collect(), key=lambda r: r["place"])
+    assert [r["image_id"] for r in got] == want and [r["place"] for r in got] == list(range(n))
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e6])
+def test_smallest_narrows_any_spread(spark, spread):
+    values = [(i, float(i % 97) if i % 3 else i * spread) for i in range(3000)]
+    df = spark.createDataFrame(values, "id BIGINT, p DOUBLE")
+    for n in (0, 1, 700, 2999, 5000):
+        got = sorted(r["id"] for r in ranking.smallest(df, "p", ["id"], n, slice_rows=20).collect())
+        assert got == sorted(i for i, _ in sorted(values, key=lambda x: (x[1], x[0]))[:n])
 
 
 def test_compare(spark):
