@@ -146,6 +146,10 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).select("doc_id", "subject")
 
 
+def p10_accuracies(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.voter_accuracies(table(spark, folder, "documents"), table(spark, folder, "doc_label"), table(spark, folder, "subject_area"))
+
+
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Per subject: documents that deal with it, their share of all documents, and its sentences in them."""
     documents = table(spark, folder, "documents").count()
@@ -167,6 +171,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
+    "p10_accuracies": p10_accuracies,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
 }

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .answers import FUNCTION_WORDS
 
-#: Bounds of the lexicon's training sample and size. Documents beyond are left out in the order of a hash.
-MOST_LABELLED, MOST_FEATURES = 20_000, 100_000
+#: Bounds of the lexicon's training sample: documents, taken in the order of a hash, and characters of one of them.
+MOST_LABELLED, LONGEST_LABELLED = 20_000, 100_000
+#: Sentences whose scores are summed at once, and sentences whose votes a task remembers.
+AT_ONCE, REMEMBERED = 4_096, 200_000
 SHARE = 0.2
 #: Log odds between the two best subjects from which a lexicon vote is certain, sure, or a vote at all.
 CERTAIN, SURE, UNSURE = 8.0, 4.0, 1.0
@@ -46,8 +49,15 @@ _SECTION = re.compile(r"(?:\r?\n[ \t]*){2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
+def words_of(piece: str) -> list[str]:
+    return _WORD.findall(piece.casefold().replace("’", "'"))
+
+
 def sentences(text: str | None) -> list[list[str]]:
-    """The sentences and list lines of each section; headings, blocks of code and pieces without two words are none."""
+    """The sentences and list lines of each section; headings and blocks of code are none.
+
+    Pieces without two words are no sentences either; words_of decides that for the caller, who needs the words.
+    """
     if not text:
         return []
     out = []
@@ -58,59 +68,95 @@ def sentences(text: str | None) -> list[list[str]]:
                 pieces += _ITEM_END.split(piece, maxsplit=1)
             else:
                 pieces.append(piece)
-        kept = [p for p in pieces if len(_WORD.findall(p)) >= 2]
+        kept = [p for p in pieces if len(p) > 2]
         if kept:
             out.append(kept)
     return out
 
 
-def features(sentence: str) -> list[str]:
+def features(words: list[str]) -> list[str]:
     """Words and pairs of neighbouring words, without numbers."""
-    words = _WORD.findall(sentence.casefold().replace("’", "'"))
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+_SPOKEN_IN: dict[str, list[int]] = {}
+for _number, _own in enumerate(_LANGUAGES.values()):
+    for _w in _own:
+        _SPOKEN_IN.setdefault(_w, []).append(_number)
+_NAMES = list(_LANGUAGES)
+
+
 def language(words: list[str]) -> str:
-    """The language with most function words in the sentence, '' if it has none."""
-    scores = {lang: sum(w in known for w in words) for lang, known in _LANGUAGES.items()}
-    best = max(scores, key=scores.get)
-    return best if scores[best] else ""
+    """The language with most function words in the sentence, the first of equals, '' if it has none."""
+    scores = [0] * len(_NAMES)
+    for w in words:
+        for number in _SPOKEN_IN.get(w, ()):
+            scores[number] += 1
+    most = max(scores)
+    return _NAMES[scores.index(most)] if most else ""
 
 
-@dataclass
 class Lexicon:
-    """Per language: the index of features and their log probabilities under 'no subject' (column 0) and each subject."""
+    """Log probabilities of features under 'no subject' (column 0) and each subject, all languages in one table.
 
-    subjects: list[str]
-    parts: dict[str, tuple[dict[str, int], np.ndarray]]
-
-    def vote(self, sentence: str) -> tuple[int, float]:
-        """The likeliest column and its lead over the next; a sentence without known features abstains."""
-        own = features(sentence)
-        index, log_probability = self.parts.get(language(own), ({}, None))
-        known = [i for f in own if (i := index.get(f)) is not None]
-        if not known:
-            return ABSTAIN, 0.0
-        score = log_probability[known].sum(axis=0)
-        best, second = np.argpartition(-score, 1)[:2]
-        if score[second] > score[best]:
-            best, second = second, best
-        return int(best), float(score[best] - score[second])
+    A word has one number, a pair the numbers of its words; the rows of a language's features are found by
+    these numbers, so no text is put together for a vote.
+    """
+
+    def __init__(self, subjects: list[str], parts: dict[str, tuple[dict[str, int], np.ndarray]]) -> None:
+        self.subjects = subjects
+        self.table = np.vstack([np.zeros((0, len(subjects) + 1)), *[table for _, table in parts.values()]])
+        self.word_number: dict[str, int] = {}
+        self.rows: dict[str, dict[int, int]] = {}
+        first = 0
+        for lang, (index, table) in parts.items():
+            rows = self.rows[lang] = {}
+            for feature, row in index.items():
+                numbers = [self.word_number.setdefault(w, len(self.word_number) + 1) for w in feature.split(" ")]
+                rows[numbers[0] if len(numbers) == 1 else numbers[0] << 32 | numbers[1]] = first + row
+            first += len(table)
+
+    def rows_of(self, words: list[str]) -> list[int]:
+        rows = self.rows.get(language(words))
+        if not rows:
+            return []
+        number = self.word_number.get
+        own = [number(w, 0) for w in words]
+        keys = own + [a << 32 | b for a, b in zip(own, own[1:], strict=False) if a and b]
+        return [r for k in keys if (r := rows.get(k)) is not None]
+
+    def votes(self, spoken: list[list[str]]) -> list[tuple[int, float]]:
+        """Of each sentence (its words) the likeliest column and its lead over the next; one without known features abstains."""
+        out = [(ABSTAIN, 0.0)] * len(spoken)
+        for start in range(0, len(spoken), AT_ONCE):
+            rows = [self.rows_of(words) for words in spoken[start : start + AT_ONCE]]
+            known = [i for i, r in enumerate(rows) if r]
+            if not known:
+                continue
+            starts = np.cumsum([0, *[len(rows[i]) for i in known[:-1]]])
+            scores = np.add.reduceat(self.table[list(chain.from_iterable(rows))], starts, axis=0)
+            best = scores.argmax(axis=1)
+            first = scores[np.arange(len(known)), best]
+            scores[np.arange(len(known)), best] = -np.inf
+            for i, b, lead in zip(known, best.tolist(), (first - scores.max(axis=1)).tolist(), strict=True):
+                out[start + i] = (b, lead)
+        return out
 
 
 def learn_lexicon(texts: list[str | None], labels: list[set[str]], subjects: list[str]) -> Lexicon:
     """The lexicon of each language, from its sentences alone, so that no subject can stand for a language."""
     spoken: dict[str, dict[int, list[list[str]]]] = {}
     for d, text in enumerate(texts):
-        for own in (features(s) for section in sentences(text) for s in section):
-            spoken.setdefault(language(own), {}).setdefault(d, []).append(own)
+        for words in (words_of(s) for section in sentences(text) for s in section):
+            if len(words) > 1:
+                spoken.setdefault(language(words), {}).setdefault(d, []).append(features(words))
     return Lexicon(subjects, {lang: _learn_part(list(docs.values()), [labels[d] for d in docs], subjects) for lang, docs in sorted(spoken.items())})
 
 
 def _learn_part(docs: list[list[list[str]]], labels: list[set[str]], subjects: list[str], rounds: int = 25) -> tuple[dict[str, int], np.ndarray]:
     """EM of a naive-Bayes mixture over sentences; documents' mixing shares have priors from their labels."""
     seen = Counter(f for d in docs for s in d for f in set(s))
-    kept = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 2][:MOST_FEATURES]
+    kept = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 2]
     index = {f: i for i, f in enumerate(kept)}
     k = len(subjects) + 1
     column = {s: i + 1 for i, s in enumerate(subjects)}
@@ -195,18 +241,26 @@ def voted(votes: list[list[tuple[int, float]]]) -> list[tuple[int, int, int, int
 def sentence_votes(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, source, address and the distinct votes of its sentences with their counts.
 
-    Null, empty and blank texts have no sentences and give no row.
+    Null, empty and blank texts have no sentences and give no row. A sentence that a task has seen before
+    is not read again while it is remembered.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # bounded by MOST_FEATURES
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the training sample
     kind = pa.list_(pa.struct([("certain", pa.int32()), ("sure", pa.int32()), ("unsure", pa.int32()), ("section", pa.int32()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vote = shared.value.vote
+        lex = shared.value
+        known: dict[str, tuple[int, float] | None] = {}  # None: no sentence
         for batch in batches:
+            read = [sentences(text) for text in batch.column(3).to_pylist()]
+            if len(known) > REMEMBERED:
+                known = {}
+            new = list({s: None for sections in read for section in sections for s in section if s not in known})
+            spoken = [words_of(s) for s in new]
+            known.update(zip(new, (v if len(w) > 1 else None for v, w in zip(lex.votes(spoken), spoken, strict=True)), strict=True))
             rows = []
-            for text in batch.column(3).to_pylist():
-                tuples = Counter(voted([[vote(s) for s in section] for section in sentences(text)]))
-                rows.append([{"certain": a, "sure": b, "unsure": c, "section": d, "n": n} for (a, b, c, d), n in tuples.items()])
+            for sections in read:
+                votes = [[v for s in section if (v := known[s]) is not None] for section in sections]
+                rows.append([{"certain": a, "sure": b, "unsure": c, "section": d, "n": n} for (a, b, c, d), n in Counter(voted(votes)).items()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, kind)], ["doc_id", "source", "address", "votes"])
 
     kept = documents.select("doc_id", "source", F.col("site_id").cast("string").alias("address"), "text")
@@ -255,33 +309,52 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, classes: int, rou
     return posterior, np.array([share @ np.diag(c) for c in chances])
 
 
-def assigned(documents: DataFrame, labels: DataFrame, areas: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject, sentences, all_sentences) of the subjects with at least `share` of a document's sentences.
+@dataclass
+class Model:
+    """votes of all sentences, the distinct vote patterns with their posteriors, and the accuracy of each voter."""
 
-    Repeated doc_ids are taken as one document. Labels of unknown subjects are ignored; without any label
-    no sentence gets a sure vote and nothing is assigned.
-    """
-    spark = documents.sparkSession
+    votes: DataFrame
+    patterns: np.ndarray
+    posterior: np.ndarray
+    accuracies: dict[str, float]
+    subjects: list[str]
+
+
+def learned(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
+    """The lexicon from a bounded sample of labelled documents; everything else from all sentences of all documents."""
     subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect())  # the fixed list of areas
     known = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    sample = documents.where("text is not null").select("doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).collect()
+    usable = documents.where(F.length("text") <= LONGEST_LABELLED).select("doc_id", "text")
+    sample = usable.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).collect()
     lexicon = learn_lexicon([r["text"] for r in sample], [set(r["subjects"]) for r in sample], subjects)
     votes = cut_lineage(sentence_votes(documents, lexicon))
     with_all = votes.join(usual_subject(votes, "source", "source_vote"), "source", "left").join(usual_subject(votes, "address", "address_vote"), "address", "left")
     with_all = with_all.na.fill(ABSTAIN, ["source_vote", "address_vote"])
     # at most (subjects + 2) to the power of the voters, whatever the corpus
     table = with_all.groupBy(*VOTERS).agg(F.sum("n").alias("n")).collect()
-    if not table:
-        return spark.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, subject STRING, sentences BIGINT, all_sentences BIGINT")
-    patterns = np.array([[r[v] for v in VOTERS] for r in table])
-    posterior, _ = learn_accuracies(patterns, np.array([r["n"] for r in table], float), len(subjects) + 1)
-    best = posterior.argmax(axis=1)
-    names = [None, *subjects]
-    spoken = (patterns[:, :3] > NOTHING).any(axis=1) & (posterior.max(axis=1) >= 0.5)  # a section alone gives no subject
-    decided = spark.createDataFrame(
-        [(*map(int, p), names[b] if ok else None) for p, b, ok in zip(patterns, best, spoken, strict=True)], ", ".join(f"{v} INT" for v in VOTERS) + ", subject STRING"
-    )
-    by_subject = with_all.join(F.broadcast(decided), list(VOTERS)).groupBy("doc_id", "subject").agg(F.sum("n").alias("sentences"))
+    patterns = np.array([[r[v] for v in VOTERS] for r in table], int).reshape(-1, len(VOTERS))
+    posterior, accuracies = learn_accuracies(patterns, np.array([r["n"] for r in table], float), len(subjects) + 1)
+    return Model(with_all, patterns, posterior, dict(zip(VOTERS, map(float, accuracies), strict=True)), subjects)
+
+
+def voter_accuracies(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """(voter, accuracy): how often each labelling function is right where it votes, as the model learned it."""
+    return documents.sparkSession.createDataFrame(list(learned(documents, labels, areas).accuracies.items()), "voter STRING, accuracy DOUBLE")
+
+
+def assigned(documents: DataFrame, labels: DataFrame, areas: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, subject, sentences, all_sentences) of the subjects with at least `share` of a document's sentences.
+
+    Repeated doc_ids are taken as one document. Labels of unknown subjects are ignored; without any label
+    no sentence gets a sure vote and nothing is assigned.
+    """
+    spark = documents.sparkSession
+    model = learned(documents, labels, areas)
+    names = [None, *model.subjects]
+    spoken = (model.patterns[:, :3] > NOTHING).any(axis=1)  # a section alone gives no subject
+    decided = [(*map(int, p), names[q.argmax()] if ok and q.max() >= 0.5 else None) for p, q, ok in zip(model.patterns, model.posterior, spoken, strict=True)]
+    subject_of = spark.createDataFrame(decided, ", ".join(f"{v} INT" for v in VOTERS) + ", subject STRING")
+    by_subject = model.votes.join(F.broadcast(subject_of), list(VOTERS)).groupBy("doc_id", "subject").agg(F.sum("n").alias("sentences"))
     of_document = Window.partitionBy("doc_id")
     return (
         by_subject.withColumn("all_sentences", F.sum("sentences").over(of_document))

@@ -338,8 +338,16 @@ def test_subjects_on_held_out_documents(spark):
 
 def test_sentences():
     text = "# Note 5\n\nNo. 7 on the list, the sump, is dry. One more thing!\n- sump: cracked along the crest, as the record shows We agreed.\n```json\n{\"a\": 1}\n```\n\n[3] Second part here"
-    assert [len(s) for s in subjects.sentences(text)] == [4, 1]
-    assert subjects.sentences(None) == [] and subjects.sentences("12 34 56") == []
+    spoken = lambda text: [n for section in subjects.sentences(text) if (n := sum(len(subjects.words_of(s)) > 1 for s in section))]
+    assert spoken(text) == [4, 1]
+    assert spoken(None) == [] and spoken("12 34 56") == []
+
+
+def test_lexicon_votes_are_the_sums_of_its_table():
+    parts = {"en": ({"the": 0, "wall": 1, "the wall": 2, "wet": 3}, np.array([[0, 0, 1.0], [0, 3, 0], [0, 2.5, 0], [1, 0, 0]])), "de": ({"die": 0, "wand": 1}, np.array([[0, 0, 2.0], [0, 0, 4.0]]))}
+    lexicon = subjects.Lexicon(["a", "b"], parts)
+    assert lexicon.votes([["the", "wall", "is"], ["die", "wand"], ["wall"], [], ["the", "unseen"]]) == [(1, 4.5), (2, 6.0), (-1, 0.0), (-1, 0.0), (2, 1.0)]
+    assert subjects.language(["the", "die", "und"]) == "de" and subjects.language(["x"]) == ""
 
 
 def test_query_names():
