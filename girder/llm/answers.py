@@ -8,39 +8,17 @@ from __future__ import annotations
 import ast
 import json
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
+from .refusals import is_refusal
+
 # Keys of an assessment.
 RULE_KEYS = tuple(f"rule_{i}_violation" for i in range(1, 5))
 CLASS_KEYS = ("excavator", "rebar", "worker_with_white_hard_hat")
 
-# First-person refusals of an assessment, by language.
-REFUSALS = {
-    "en": (
-        r"\bI(?:'m| am) (?:\w+ )?(?:unable|not able)\b", r"\bI (?:can't|cannot|can not|could not|couldn't|won't|will not|must decline|have to (?:pass|decline))\b",
-        r"\bI(?:'d| would) rather not\b", r"\bI have no way\b", r"\bmust decline\b", r"\bmy (?:guidelines|policy|rules) (?:do|does|will)(?: not|n't)\b",
-        r"\bcannot be (?:completed|answered|fulfilled|done)\b", r"\b(?:beyond|outside) what I\b", r"\bnot (?:be )?appropriate for me\b",
-        r"\bsomething I (?:do not|don't|cannot|can't) do\b", r"\bneeds a person\b", r"\b(?:image|picture|photo) did not load\b",
-        r"\bno (?:picture|image|photo) seems to be attached\b", r"\bno assessment is possible\b", r"\bas an? (?:AI|language model)\b",
-    ),
-    "de": (
-        r"\bnicht (?:möglich|helfen|beurteilen|bewerten|ansehen)\b", r"\bkeine (?:Bilder|Aussage|Bewertung|Einschätzung|Beurteilung)\b", r"\bals (?:KI|Sprachmodell)\b",
-        r"\bmuss ich (?:leider )?ablehnen\b", r"\bmöchte ich (?:keine|nicht)\b", r"\bkann ich (?:leider )?(?:nicht|keine)\b", r"\bdarf ich nicht\b", r"\bentfällt die Prüfung\b", r"\bEs tut mir leid\b",
-    ),
-    "es": (
-        r"\bno (?:me es posible|puedo|podré|estoy (?:autorizado|en condiciones))\b", r"\bprefiero no\b", r"\bcomo modelo de lenguaje\b", r"\bdebo rechazar\b", r"\blo siento\b",
-        r"\bno (?:se cargó|llegó|hay) (?:la imagen|ninguna imagen|revisión)\b", r"\bno hay revisión\b", r"\bno me corresponde\b",
-    ),
-    "fr": (
-        r"\bje (?:ne peux|ne suis|refuse|préfère ne)\b", r"\bje suis désolé", r"\b(?:m'est|n'est pas) (?:impossible|possible)\b", r"\ben tant que modèle\b", r"\bmodèle de langage\b",
-    ),
-}
-_REFUSAL = re.compile("|".join(p for patterns in REFUSALS.values() for p in patterns), re.I)
-#: A refusal has no more text than this; an answer that begins with an apology and goes on is none.
-REFUSAL_CHARS = 400
-
 # Common function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of and is are in on with to from by at as no while has have its that this who behind near under over other others out into without nobody",
@@ -52,10 +30,22 @@ FUNCTION_WORDS = {
     "nl": "de het een van en is zijn in op met te voor bij als niet terwijl heeft zich zonder naast achter naar aan er",
     "pl": "w i na z do nie się jest są że za od po przy bez przez oraz który pod nad",
 }
-_LANGUAGES = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+# More words of English answers, some of which other languages have too.
+ENGLISH_ANSWERS = "i you it do not but or for be was were there they which can"
+_LANGUAGES = {lang: frozenset((words + " " + ENGLISH_ANSWERS if lang == "en" else words).split()) for lang, words in FUNCTION_WORDS.items()}
+# The scripts of languages not written in Latin letters, as the first word of their characters' names.
+SCRIPTS = {
+    "ru": ("CYRILLIC",), "uk": ("CYRILLIC",), "be": ("CYRILLIC",), "bg": ("CYRILLIC",), "mk": ("CYRILLIC",), "sr": ("CYRILLIC", "LATIN"), "kk": ("CYRILLIC",),
+    "el": ("GREEK",), "he": ("HEBREW",), "yi": ("HEBREW",), "ar": ("ARABIC",), "fa": ("ARABIC",), "ur": ("ARABIC",),
+    "zh": ("CJK",), "ja": ("HIRAGANA", "KATAKANA", "CJK"), "ko": ("HANGUL", "CJK"), "th": ("THAI",), "hi": ("DEVANAGARI",), "mr": ("DEVANAGARI",), "ne": ("DEVANAGARI",),
+    "bn": ("BENGALI",), "ta": ("TAMIL",), "te": ("TELUGU",), "ka": ("GEORGIAN",), "hy": ("ARMENIAN",), "am": ("ETHIOPIC",), "km": ("KHMER",), "my": ("MYANMAR",),
+}
 
 _WRAP = re.compile(r"```[a-zA-Z]*|</?[a-zA-Z][\w-]*\s*/?>")
-_SPACE = re.compile(r"[\s\u200b\u200c\u200d\u2060\ufeff\xad]+")
+# White space and invisible characters.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\u200c\u200d\u2060\ufeff\xad"
+#: A character that no empty or null JSON value has.
+_CONTENT = re.compile(rf"[^\[\]{{}}\",nul{re.escape(BLANKS)}]")
 _STRING_OR_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|[{}\[\]"\']', re.S)
 _TRAILING_COMMA = re.compile(r",(\s*[}\]])")
 _CAPTION = re.compile(r'["\']caption["\']\s*:\s*("(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')', re.S)
@@ -63,6 +53,8 @@ _OPEN_CAPTION = re.compile(r'["\']caption["\']\s*:\s*["\']((?:[^"\\]|\\.)*)$', r
 #: Marks that say "cut here" or only stand after a cut: ellipses and bracketed notes.
 _CUT_MARK = re.compile(r"(?:\s*(?:\.{2,}|…|\[[^\[\]{}\"]{0,20}\]|<[^<>{}\"]{0,20}>|\((?:cut|truncated|\.\.\.|…)\)))+$", re.I)
 _FENCE_END = re.compile(r"(?:\s*(?:```|</[a-zA-Z]+>))+\s*$")
+#: A literal that isn't a key, its end included or cut off.
+_SPOKEN = re.compile(r'"((?:[^"\\]|\\.)*)(?:$|"(?!\s*:))', re.S)
 _STOP = re.compile(r"[.!?。！？]['\"”’»)\]]*$")
 _WORD = re.compile(r"\w+")
 _QUOTED = re.compile(r"[“„«][^”“»]{0,80}[”“»]")
@@ -71,11 +63,28 @@ _DECODER = json.JSONDecoder()
 
 def squeezed(text: str) -> str:
     """Without white space and invisible characters at the ends."""
-    return _SPACE.sub(" ", text).strip() if len(text) < 200 else text.strip("\u200b\u200c\u200d\u2060\ufeff\xad \t\r\n\x0b\x0c\xa0\u3000")
+    return text.strip(BLANKS)
 
 
 def is_empty_value(value: Any) -> bool:
-    return value is None or value == "" or (isinstance(value, list | dict) and all(map(is_empty_value, value if isinstance(value, list) else ())) and (isinstance(value, list) or not value)) or (isinstance(value, str) and not squeezed(value))
+    """Null, a blank text, an object without keys, or a list of nothing but such values."""
+    if isinstance(value, list):
+        return all(map(is_empty_value, value))
+    if isinstance(value, str):
+        return not squeezed(value)
+    return value is None or value == {}
+
+
+def holds_nothing(bare: str) -> bool:
+    """Whether a text without fences and tags is empty or an empty or null JSON value."""
+    if not bare or bare in ("None", "''"):
+        return True
+    if _CONTENT.search(bare):
+        return False
+    try:
+        return is_empty_value(json.loads(bare))
+    except (ValueError, RecursionError):
+        return False
 
 
 @dataclass
@@ -132,15 +141,8 @@ def read(text: str | None) -> Reading:
     if text is None:
         return Reading("empty")
     plain = squeezed(text)
-    bare = squeezed(_WRAP.sub(" ", plain))
-    if not bare or bare in ("null", "None", '""', "''", "{}", "[]"):
+    if holds_nothing(squeezed(_WRAP.sub(" ", plain))):
         return Reading("empty", text=plain)
-    if bare[0] in '[{"' and len(bare) < 200:
-        try:
-            if is_empty_value(json.loads(bare)):
-                return Reading("empty", text=plain)
-        except ValueError:
-            pass
     start = plain.find("{")
     if start < 0:
         return Reading("prose", text=plain)
@@ -174,7 +176,7 @@ def said(reading: Reading) -> str:
         return reading.text
     value = reading.value
     if not isinstance(value, dict):
-        return " ".join(m[0] for m in re.finditer(r'"(?:[^"\\]|\\.){15,}', reading.body))
+        return " ".join(m[1] for m in _SPOKEN.finditer(reading.body))
     parts = []
     for key, x in value.items():
         if isinstance(x, dict):
@@ -190,22 +192,36 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+@lru_cache(maxsize=65_536)
+def script_of(letter: str) -> str:
+    """The script of a letter: the first word of its character's name."""
+    return unicodedata.name(letter, "").partition(" ")[0]
+
+
 def language_of(text: str, expected: str) -> str | None:
     """The language of the text if it clearly isn't the expected one, else None.
 
-    Another script than Latin in most letters is named after its first letter's block ('other').
+    Most letters must be in a script of the expected language, else the answer is the script's name. The
+    Latin languages with known function words are told apart by these; an expected language without any
+    is only judged by its script.
     """
     text = _QUOTED.sub(" ", text)
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) >= 8 and sum(ord(c) > 0x24F for c in letters) > 0.5 * len(letters):
-        return "other"
+    expected = re.split(r"[-_]", expected.strip().casefold())[0]
+    scripts = SCRIPTS.get(expected, ("LATIN",))
+    if not text.isascii() or scripts != ("LATIN",):
+        letters = [c for c in text if c.isalpha()]
+        foreign = [c for c in letters if not (c.isascii() and "LATIN" in scripts) and script_of(c) not in scripts]
+        if len(letters) >= 8 and len(foreign) > 0.5 * len(letters):
+            return script_of(foreign[0]).casefold()
+    own = _LANGUAGES.get(expected)
+    if not own:
+        return None
     tokens = words(text.replace("'", " ").replace("’", " "))
-    own = _LANGUAGES.get(expected, frozenset())
     if sum(t in own for t in tokens) * 4 >= len(tokens):
         return None  # a quarter of the words: no other language can have 1.6 times as many of its own
     scores = {lang: sum(t in known for t in tokens) for lang, known in _LANGUAGES.items()}
     best = max(scores, key=lambda k: (scores[k], k == expected))
-    if best == expected or scores[best] < 2 or scores.get(expected, 0) * 1.6 >= scores[best]:
+    if best == expected or scores[best] < 2 or scores[expected] * 1.6 >= scores[best]:
         return None
     return best
 
@@ -244,35 +260,39 @@ def is_template(value: Any, reading: Reading) -> bool:
     return "xmin" in body and "ymax" in body or (isinstance(value, dict) and reading.caption == "text")
 
 
+def is_copied(reading: Reading, prompt: str, sentences: str) -> bool:
+    """Whether an answer says nothing but the prompt's own wording or template."""
+    if reading.state != "closed":
+        return is_copy(reading.text, prompt)
+    if is_template(reading.value, reading) and (is_copy(reading.text, prompt) or is_copy(reading.body, prompt)):
+        return True
+    return not is_assessing(reading.value) and is_copy(sentences, prompt)
+
+
+def declines(reading: Reading, sentences: str) -> bool:
+    """Whether an answer refuses. An object of nulls without sentences is an assessment, whatever stands before it."""
+    if reading.state == "open":
+        return False
+    if reading.state == "closed" and (is_assessing(reading.value) or (has_rule_keys(reading.value) and not sentences)):
+        return False
+    return is_refusal(sentences if reading.state == "closed" and sentences else reading.text)
+
+
 def defects(reading: Reading, prompt: str | None, lang: str | None) -> list[str]:
-    """The rules that apply, in order: empty, copied_prompt, refusal, other_language.
+    """Every rule that applies, in order: empty, copied_prompt, refusal, other_language.
 
-    The first wins for 'empty' and before 'other_language', which is only tested if nothing else was found.
-    'truncated' is decided with the statistics of the corpus, see truncation.
+    An answer that is empty has nothing that another rule could read. 'truncated' is decided with the
+    statistics of the corpus, see truncation.
     """
     if reading.state == "empty":
         return ["empty"]
-    found = []
-    value = reading.value
     sentences = said(reading)
-    if prompt:
-        if reading.state == "prose":
-            copied = is_copy(reading.text, prompt)
-        elif reading.state == "closed":
-            whole_copy = is_template(value, reading) and (is_copy(reading.text, prompt) or is_copy(reading.body, prompt))
-            copied = whole_copy or (not is_assessing(value) and is_copy(sentences, prompt))
-        else:
-            copied = is_copy(reading.text, prompt)
-        if copied:
-            found.append("copied_prompt")
-    if reading.state in ("prose", "closed") and not (reading.state == "closed" and is_assessing(value)):
-        spoken = sentences if reading.state == "closed" and sentences else reading.text
-        quiet = has_rule_keys(value) and not sentences  # an object of nulls is an assessment, whatever stands before it
-        if not quiet and len(spoken) <= REFUSAL_CHARS and _REFUSAL.search(spoken.replace("’", "'")) and not re.search(r"\b(?:rule|regel|regla|règle)\s*\d", spoken, re.I):
-            found.append("refusal")
-    if lang and not found and reading.state != "empty" and language_of(sentences, lang):
-        found.append("other_language")
-    return found
+    rules = (
+        ("copied_prompt", bool(prompt) and is_copied(reading, prompt or "", sentences)),
+        ("refusal", declines(reading, sentences)),
+        ("other_language", bool(lang) and language_of(sentences, lang or "") is not None),
+    )
+    return [name for name, applies in rules if applies]
 
 
 @dataclass
@@ -290,7 +310,8 @@ class Ending:
 
 
 def last_words(text: str) -> str:
-    return " ".join(_WORD.findall(text[-80:].casefold())[-2:])
+    """The last two words; only the end of the text is looked at, however long its words are."""
+    return " ".join(_WORD.findall(" ".join(text.rsplit(None, 4)[-4:]).casefold())[-2:])
 
 
 def ending(reading: Reading) -> Ending:

@@ -14,11 +14,15 @@ from . import cooccurrence, mixing, overlap, sampling, subjects, tokenizing, tru
 
 
 # p2 and p6: defective and truncated answers
-def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """prediction_id, source, defects, truncated of every answer."""
+def _examined(spark: SparkSession, folder: str) -> DataFrame:
     prompts = table(spark, folder, "prompt_text").select("prompt_id", "prompt", "lang")
     outputs = table(spark, folder, "predictions").select("prediction_id", "prompt_id", "source", "raw_output").join(prompts, "prompt_id", "left")
-    return truncation.judged(cut_lineage(truncation.examined(outputs, "prediction_id")), "prediction_id")
+    return cut_lineage(truncation.examined(outputs, "prediction_id"))
+
+
+def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """prediction_id, source, defects, truncated, evidence of every answer."""
+    return truncation.judged(_examined(spark, folder), "prediction_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +34,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged_answers(spark, folder).where("truncated").select("prediction_id")
 
 
+def p6_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The fitted limits of each source and measure with what speaks for them."""
+    return truncation.limits(_examined(spark, folder))
+
+
 def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_by_source(judged_answers(spark, folder))
 
@@ -163,6 +172,7 @@ QUERIES = {
     "p3_counts": p3_counts,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p6_limits": p6_limits,
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,

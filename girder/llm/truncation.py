@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -84,43 +84,58 @@ def _survival(z: np.ndarray) -> np.ndarray:
 
 
 def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
-    """Candidate limits of one source and measure: length and posterior of being censored there.
-
-    `histogram`: length, n, unstopped (how many of n end without a mark or inside an object). First the
-    distribution is fitted to all lengths; lengths far more frequent among the unfinished texts than
-    it allows become candidates; then it is fitted again with these as censored, and the posterior of a
-    candidate is the share of its unfinished texts beyond the expected ones.
+    """Candidate limits of one source and measure: length, answers, unfinished, expected, and posterior of being censored there.
+
+    `histogram`: length, n, unstopped (how many of n end without a mark or inside an object) and, where
+    there are several, `kind` of answer. Each kind has a length distribution of its own, and a source
+    cuts all of them at the same limits, so what they let expect is added up. First the distributions are
+    fitted to all lengths; lengths far more frequent among the unfinished texts than they allow become
+    candidates; then they are fitted again with these as censored, and the posterior of a candidate is the
+    share of its unfinished texts beyond the expected ones.
     """
-    h = histogram[histogram["length"] > 0].groupby("length", as_index=False)[["n", "unstopped"]].sum().sort_values("length")
+    empty = pd.DataFrame({"length": [], "answers": [], "unfinished": [], "expected": [], "posterior": []})
+    h = histogram[histogram["length"] > 0]
     if h.empty:
-        return pd.DataFrame({"length": [], "posterior": []})
-    length, n, unstopped = (h[c].to_numpy(float) for c in ("length", "n", "unstopped"))
-    total, loose = n.sum(), unstopped.sum()
-    censored = np.zeros_like(n)
+        return empty
+    if "kind" not in h:
+        h = h.assign(kind="")
+    length = np.sort(h["length"].unique()).astype(float)
+    kinds = [k.groupby("length")[["n", "unstopped"]].sum().reindex(length.astype("int64"), fill_value=0).to_numpy(float).T for _, k in h.groupby("kind")]
+    n, unstopped = sum(k[0] for k in kinds), sum(k[1] for k in kinds)
+    share_cut = np.zeros_like(n)
     for _ in range(2):
-        mu, sigma = _fit(length, n, censored)
-        density = _survival((np.log(np.maximum(length - 0.5, 0.5)) - mu) / sigma) - _survival((np.log(length + 0.5) - mu) / sigma)
-        expected = density * total * max(loose / total, 1e-9)  # unfinished texts that would have this length anyway
+        expected = np.zeros_like(n)
+        for own_n, own_unstopped in kinds:
+            seen = own_n > 0
+            mu, sigma = _fit(length[seen], own_n[seen], (own_unstopped * share_cut)[seen])
+            density = _survival((np.log(np.maximum(length - 0.5, 0.5)) - mu) / sigma) - _survival((np.log(length + 0.5) - mu) / sigma)
+            expected += density * own_unstopped.sum()  # unfinished texts that would have this length anyway
         excess = unstopped - expected
         candidate = (unstopped >= 5) & (excess > LEAST_EXCESS * np.sqrt(expected + 1)) & (unstopped >= 0.5 * n) & (unstopped > 4 * expected)
-        censored = np.where(candidate, np.maximum(excess, 0), 0)
-    keep = candidate
-    return pd.DataFrame({"length": length[keep].astype("int64"), "posterior": np.clip(excess[keep] / unstopped[keep], 0, 0.999)})
+        share_cut = np.where(candidate, np.maximum(excess, 0) / np.maximum(unstopped, 1), 0)
+    kept = candidate
+    columns = {"length": length[kept].astype("int64"), "answers": n[kept].astype("int64"), "unfinished": unstopped[kept].astype("int64"), "expected": expected[kept], "posterior": np.clip(share_cut[kept], 0, 0.999)}
+    return pd.DataFrame(columns)
+
+
+LIMITS = "source STRING, measure STRING, length BIGINT, answers BIGINT, unfinished BIGINT, expected DOUBLE, posterior DOUBLE"
 
 
 def field_limits(features: DataFrame, shares: DataFrame) -> DataFrame:
-    """(source, measure, length, posterior): the limits at which sources cut, source null included.
+    """LIMITS: the limits at which sources cut, source null included.
 
     Unfinished are texts that end inside an object, or without a mark in words that few whole texts end
-    in. A source's histogram has one row per distinct length, so its size doesn't grow with its rows.
+    in; of equally long ones with one ending one counts, since a field limit cuts wherever it falls while
+    a repeated text always ends alike. A source's histogram has one row per kind and distinct length, so its size doesn't grow with its rows.
     """
-    usual = shares.where(F.col("share") >= USUAL_ENDING).select("kind", "ending", F.lit(True).alias("usual"))
-    features = features.join(usual, ["kind", "ending"], "left").withColumn("whole", F.coalesce("whole", "usual"))
+    usual = shares.where(F.col("share") >= USUAL_ENDING).select("kind", "ending", F.lit(True).alias("usual"))  # at most 1/USUAL_ENDING a kind
+    features = features.join(F.broadcast(usual), ["kind", "ending"], "left").withColumn("whole", F.coalesce("whole", "usual"))
     measured = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("bigint").alias("length"), F.lit(m == "caption").alias("of_caption")) for m, c in MEASURES.items()]))
     loose = F.when(F.col("m.of_caption"), (F.col("kind") == "caption") & F.col("whole").isNull()).otherwise(~F.coalesce("whole", F.lit(False)) & (F.col("kind") != "caption"))
     histogram = (
-        features.where(F.size("defects") == 0).select("source", "kind", "whole", measured.alias("m")).where("m.length is not null")
-        .groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"), F.sum(loose.cast("bigint")).alias("unstopped"))
+        features.where(F.size("defects") == 0).select("source", "kind", "whole", "ending", measured.alias("m")).where("m.length is not null")
+        .groupBy("source", "m.measure", F.when(F.col("m.of_caption"), "caption").otherwise(F.col("kind")).alias("kind"), "m.length")
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(loose, F.col("ending"))).alias("unstopped"))
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,47 +144,86 @@ def field_limits(features: DataFrame, shares: DataFrame) -> DataFrame:
         out.insert(0, "source", pdf["source"].iloc[0])
         return out
 
-    return histogram.groupBy("source", "measure").applyInPandas(fit, "source STRING, measure STRING, length BIGINT, posterior DOUBLE")
+    return _without_echoes(features, cut_lineage(histogram.groupBy("source", "measure").applyInPandas(fit, LIMITS)))
+
+
+def _without_echoes(features: DataFrame, limits: DataFrame) -> DataFrame:
+    """Limits in characters whose texts mostly lie at one stronger limit in bytes, and the reverse, are its echo and dropped."""
+    chars, size = (
+        limits.where(F.col("measure") == m).select(F.col("source").alias(f"{m}_source"), F.col("length").alias(f"{m}_length"), F.col("unfinished").alias(f"{m}_strength")) for m in ("chars", "bytes")
+    )
+    at = lambda m: F.col("source").eqNullSafe(F.col(f"{m}_source")) & (F.col(m) == F.col(f"{m}_length"))
+    loose = features.where(~F.coalesce("whole", F.lit(False)) & (F.col("kind") != "caption") & (F.size("defects") == 0)).select("source", "chars", "bytes")
+    both = loose.join(chars, at("chars")).join(size, at("bytes"))
+    echo = []
+    for m, other in (("chars", "bytes"), ("bytes", "chars")):
+        weaker = both.where(F.col(f"{m}_strength") < F.col(f"{other}_strength")).groupBy("source", f"{m}_length").agg(F.count(F.lit(1)).alias("shared"), F.max(f"{m}_strength").alias("strength"))
+        echo.append(weaker.where(F.col("shared") * 2 >= F.col("strength")).select(F.col("source").alias("e_source"), F.lit(m).alias("e_measure"), F.col(f"{m}_length").alias("e_length")))
+    dropped = echo[0].unionByName(echo[1])
+    return limits.join(dropped, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("measure") == F.col("e_measure")) & (F.col("length") == F.col("e_length")), "left_anti")
+
+
+def own_text() -> Column:
+    """Answers that are neither empty nor copied from their prompt."""
+    return ~F.arrays_overlap("defects", F.array(F.lit("empty"), F.lit("copied_prompt")))
 
 
 def ending_shares(features: DataFrame) -> DataFrame:
-    """(kind, ending, share): how often whole texts of a kind end in these two words.
+    """(kind, ending, share): how often whole texts of a kind end in these two words, where that is at least LEAST_ENDING.
 
     Whole are texts that a sentence mark closes; added lines after an object have none, so all count.
+    Answers with defects count too, unless they are empty or copied.
     """
-    whole = features.where((F.size("defects") == 0) & (F.col("ending") != "") & (F.col("stopped") | (F.col("kind") == "tail")))
-    counts = whole.groupBy("kind", "ending").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("kind", "ending", (F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).alias("share"))
+    whole = features.where(own_text() & (F.col("ending") != "") & (F.col("stopped") | (F.col("kind") == "tail")))
+    counts = cut_lineage(whole.groupBy("kind", "ending").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("kind").agg(F.sum("n").alias("of_kind"))  # one row a kind
+    return counts.join(F.broadcast(totals), "kind").select("kind", "ending", (F.col("n") / F.col("of_kind")).alias("share")).where(F.col("share") >= LEAST_ENDING)
 
 
 def unstopped_shares(features: DataFrame, shares: DataFrame) -> DataFrame:
     """(kind, unmarked): of the texts with an ending that is frequent in whole ones, the share without a mark."""
-    known = features.where(F.size("defects") == 0).join(shares.where(F.col("share") >= USUAL_ENDING), ["kind", "ending"])
+    usual = shares.where(F.col("share") >= USUAL_ENDING).select("kind", "ending")  # at most 1/USUAL_ENDING a kind
+    known = features.where(F.size("defects") == 0).join(F.broadcast(usual), ["kind", "ending"])
     return known.groupBy("kind").agg(F.avg((~F.col("stopped")).cast("double")).alias("unmarked"))
 
 
+def limits(features: DataFrame) -> DataFrame:
+    """LIMITS of every source of `examined` rows."""
+    return field_limits(features, cut_lineage(ending_shares(features)))
+
+
 def judged(features: DataFrame, id: str) -> DataFrame:
-    """(id, source, defects, truncated) of every row of `examined`."""
-    weighed = features.where(F.col("whole").isNull() & (F.size("defects") == 0))
+    """(id, source, defects, truncated, evidence) of every row of `examined`; truncated answers may have other defects too.
+
+    evidence: 'object' for an end inside an object, 'limit' or 'ending' for what the odds of a cut in
+    other texts come from, null if not truncated. An answer that is empty or copied from its prompt has
+    no text of its own that could be cut.
+    """
+    weighed = features.where(F.col("whole").isNull() & own_text())
     shares = cut_lineage(ending_shares(features))
     unmarked = unstopped_shares(features, shares)
-    limits = cut_lineage(field_limits(features, shares))
-    at = lambda m: limits.where(F.col("measure") == m).select(F.col("source").alias(f"s_{m}"), F.col("length").alias(f"l_{m}"), F.col("posterior").alias(f"p_{m}"))
-    rows = weighed.join(shares, ["kind", "ending"], "left").join(unmarked, "kind", "left")
+    found = cut_lineage(field_limits(features, shares))
+    at = lambda m: found.where(F.col("measure") == m).select(F.col("source").alias(f"s_{m}"), F.col("length").alias(f"l_{m}"), F.col("posterior").alias(f"p_{m}"))
+    rows = weighed.join(shares, ["kind", "ending"], "left").join(F.broadcast(unmarked), "kind", "left")
     for m, c in MEASURES.items():
         own = (F.col("kind") == "caption") if m == "caption" else (F.col("kind") != "caption")
         rows = rows.join(at(m), F.col("source").eqNullSafe(F.col(f"s_{m}")) & (F.col(c) == F.col(f"l_{m}")) & own, "left")
     posterior = F.greatest(*[F.coalesce(f"p_{m}", F.lit(0.0)) for m in MEASURES])
-    length_odds = F.greatest(posterior / (1 - posterior), F.lit(TRANSFER_ODDS))
+    length_odds = posterior / (1 - posterior)
     mark_odds = 1.0 / F.greatest(F.coalesce("unmarked", F.lit(0.0)), F.lit(0.001))
     end_odds = F.lit(CUT_ENDING) / F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(LEAST_ENDING))
-    cut = rows.where(length_odds * mark_odds * end_odds > 1.0).select(F.col(id).alias("__id")).distinct().withColumn("__cut", F.lit(True))
+    odds = F.greatest(length_odds, F.lit(TRANSFER_ODDS)) * mark_odds * end_odds
+    evidence = F.when(length_odds > TRANSFER_ODDS, "limit").otherwise("ending")
+    cut = rows.where(odds > 1.0).select(F.col(id).alias("__id"), evidence.alias("__evidence")).groupBy("__id").agg(F.max("__evidence").alias("__evidence"))
     decided = features.join(cut, F.col(id) == F.col("__id"), "left")
-    inside = ~F.coalesce("whole", F.lit(True)) & (F.size("defects") == 0)
-    return decided.select(id, "source", "defects", (inside | F.coalesce("__cut", F.lit(False))).alias("truncated"))
+    inside = ~F.coalesce("whole", F.lit(True)) & own_text()
+    why = F.when(inside, "object").otherwise(F.col("__evidence"))
+    return decided.select(id, "source", "defects", why.isNotNull().alias("truncated"), why.alias("evidence"))
 
 
 def truncated_by_source(judgements: DataFrame) -> DataFrame:
-    """(source, answers, truncated, rate) per source, null included."""
+    """(source, answers, truncated, rate, by_object, by_limit, by_ending) per source, null included."""
     hit = F.sum(F.col("truncated").cast("bigint"))
-    return judgements.groupBy("source").agg(F.count(F.lit(1)).alias("answers"), hit.alias("truncated"), (hit / F.count(F.lit(1))).alias("rate"))
+    return judgements.groupBy("source").agg(
+        F.count(F.lit(1)).alias("answers"), hit.alias("truncated"), (hit / F.count(F.lit(1))).alias("rate"), *[F.count_if(F.col("evidence") == e).alias(f"by_{e}") for e in ("object", "limit", "ending")]
+    )

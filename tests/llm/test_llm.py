@@ -27,7 +27,7 @@ def found(text, lang="en"):
     ("text", "defect"),
     [
         (None, "empty"), ("", "empty"), (" ​ ", "empty"), ("```json\n```", "empty"), ("<json></json>", "empty"), ("null", "empty"), ("```json\nnull\n```", "empty"), ('""', "empty"), ("[{}]", "empty"), ("{ }", "empty"),
-        ("I'm sorry, but I cannot comply with this instruction.", "refusal"), ('{"caption": "I won’t judge whether the persons follow the rules."}', "refusal"), ("Dabei kann ich nicht helfen.", "refusal"), ("Prefiero no dar un juicio.", "refusal"),
+        ("I'm sorry, but I cannot comply with this instruction.", "refusal"), ('{"caption": "I won’t judge whether the persons follow the rules."}', "refusal"), ("Dabei kann ich nicht helfen.", "refusal"), ("Prefiero no dar un juicio.", ["refusal", "other_language"]),
         ("Sorry for the delay. " + NULLS, None), ("I cannot see every corner, but this is my reading:\n" + NULLS, None), (NULLS, None), ("Nothing else needs attention.", None),
         (PROMPT, "copied_prompt"), (PROMPT.upper(), "copied_prompt"), ("> " + PROMPT.replace("safety", "now"), "copied_prompt"), ("Look at the photo and report on safety.\n\n" + NULLS, None),
         ('{"caption":"text","excavator":[[xmin, ymin, xmax, ymax]]}', "copied_prompt"),
@@ -36,7 +36,49 @@ def found(text, lang="en"):
     ],
 )
 def test_defect_rules(text, defect):
-    assert found(text) == ([defect] if defect else [])
+    assert found(text) == (defect if isinstance(defect, list) else [defect] if defect else [])
+
+
+DECLINING = [
+    "Unfortunately the picture can not be judged by me, so there is no report.", "I'm afraid I am not in a position to evaluate what is going on here.", "We do not offer opinions about people at work.",
+    "Sorry, the attachment could not be opened.", "No image was attached, please upload it again.", "I refuse to answer.", "I don't feel able to rate this scene. You should ask a certified inspector.",
+    "Ich bin nicht in der Lage, dieses Foto zu beurteilen.", "Leider konnte das Bild nicht geöffnet werden.", "Dazu gebe ich keine Auskunft.", "Ohne Ortsbesichtigung kann ich das nicht bewerten.",
+    "No estoy en condiciones de valorar esta escena.", "La imagen no se pudo abrir, envíela otra vez por favor.", "Je ne suis pas en mesure d'évaluer cette photo.", "L'image n'a pas pu être ouverte.",
+    "Non posso valutare questa immagine.", "A imagem não foi carregada.", "Não posso avaliar as pessoas desta foto.", "Ik kan deze foto niet beoordelen.", "Nie mogę ocenić tego zdjęcia.",
+    "I cannot help with this request. " * 20, "I am sorry. " + "A picture of a site holds people who have not agreed to be rated by me, and I will not judge their work. " * 8,
+]
+ASSESSING = [
+    "The picture shows a worker without a helmet. A guard can not be seen behind the scaffold.", "No harness is visible in the picture. The guard rail is missing on the left.", "Auf dem Foto ist kein Helm zu sehen. Der Kran steht still.",
+    "En la foto no se ve ningún arnés. La grúa está parada.", "Aucun garde-corps n'est visible sur la photo.", "Nella foto non si vede nessuna imbracatura, la gru è ferma.", "Op de foto is geen helm te zien.", "Na zdjęciu nie widać kasku.",
+    "Sorry for the delay. The trench has no edge protection and two workers stand close to it; the ladder is not tied.", "I cannot judge the far side. Rule 2 is broken: a welder has no harness.",
+    "I can't describe everything. " + "Two workers carry planks past the crane and a dumper waits by the gate. " * 6,
+]
+
+
+@pytest.mark.parametrize(("texts", "refusal"), [(DECLINING, True), (ASSESSING, False)])
+def test_refusals_by_structure(texts, refusal):
+    assert [x for x in texts if ("refusal" in answers.defects(answers.read(x), None, None)) != refusal] == []
+
+
+def test_every_rule_fires_by_itself():
+    assert answers.defects(answers.read("Dabei kann ich nicht helfen, weil das die Sicherheit der Leute auf dem Bild betrifft."), None, "en") == ["refusal", "other_language"]
+
+
+@pytest.mark.parametrize(
+    ("text", "lang", "other"),
+    [
+        ("Рабочий стоит без каски у края котлована.", "ru", None), ("Рабочий стоит без каски у края котлована.", "en", "cyrillic"), ("Рабочий стоит без каски у края котлована.", "RU-ru", None), ("The worker is near the edge of the pit.", "ru", "latin"),
+        ("作業員が掘削機の近くに立っています。", "ja", None), ("作業員が掘削機の近くに立っています。", "ar", "cjk"), ("Arbetaren står utan hjälm vid kanten av gropen.", "sv", None), ("العامل يقف بدون خوذة", "ar", None), ("العامل يقف بدون خوذة", "de", "arabic"),
+    ],
+)
+def test_scripts_follow_the_expected_language(text, lang, other):
+    assert answers.language_of(text, lang) == other
+
+
+@pytest.mark.parametrize("text", ["[" + " " * 500 + "]", "```json\n[" + "[], " * 150 + "null]\n```", '["' + " " * 600 + '"]', "<json>" + "\u200b" * 400 + "</json>"])
+def test_long_empty_values(text):
+    assert found(text) == ["empty"]
+    assert found(text.replace("[", '[{"a": 1}, ', 1) if "[" in text else text + "x") != ["empty"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -81,11 +123,23 @@ def test_truncation(spark):
     rows += [(900, "a", "The rules ar", PROMPT, "en", 1), (901, "a", '{"caption": "a b', PROMPT, "en", 1), (902, "a", None, None, None, 1), (903, None, "I cannot comply", PROMPT, "en", 1)]
     rows += [(1000 + i, "b", ("word " * 40)[:100], PROMPT, "en", 1) for i in range(9)]
     got = judged(spark, rows)
-    assert {i for i, r in got.items() if r["truncated"]} == {900, 901, *range(1000, 1009)}
+    assert {i for i, r in got.items() if r["truncated"]} == {900, 901, 903, *range(1000, 1009)}
     assert got[902]["defects"] == ["empty"] and got[903]["defects"] == ["refusal"] and len(got) == len(rows)
+    assert got[901]["evidence"] == "object" and got[900]["evidence"] == "ending" and got[902]["evidence"] is None
     assert judged(spark, []) == {}
 
 
+def test_limits_in_characters_have_no_echo_in_bytes(spark):
+    r = random.Random(4)
+    words = ["kept", "fine", "safe", "dry", "über", "loose"]
+    text = lambda n: " ".join(f"{r.choice(words)}{r.randrange(99)}" for _ in range(n))
+    rows = [(i, "a", text(r.randrange(10, 80)) + " all is fine.", PROMPT, "en", 1) for i in range(600)] + [(1000 + i, "a", text(60)[:200], PROMPT, "en", 1) for i in range(200)]
+    rows += [(2000 + i, "a", "Nothing was found on", PROMPT, "en", 1) for i in range(40)]  # a repeated text is no limit
+    df = spark.createDataFrame(rows, "id BIGINT, source STRING, raw_output STRING, prompt STRING, lang STRING, chars INT")
+    found = [(x["measure"], x["length"]) for x in truncation.limits(truncation.examined(df, "id")).collect()]
+    assert found == [("chars", 200)]
+
+
 # p3
 def test_overlaps_equal_brute_force(spark):
     r = random.Random(5)
