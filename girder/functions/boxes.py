@@ -26,6 +26,29 @@ def normalized(boxes: Column) -> Column:
     return F.coalesce(F.filter(boxes, lambda b: b.isNotNull()), none())
 
 
+def from_json_text(text: Column) -> Column:
+    """Boxes of untyped JSON: a list of boxes, one flat box, and boxes as mappings (bounding_box, or all four corners).
+
+    Null, an empty list, anything that isn't a list, and entries of no such form give no boxes. Boxes keep
+    their numbers as they are, of whatever count.
+    """
+    entries = F.from_json(text, "array<string>")
+    corners = "bounding_box array<double>, xmin double, ymin double, xmax double, ymax double"
+
+    def box(entry: Column) -> Column:
+        named = F.from_json(entry, corners)
+        four = F.array(*[named[c] for c in ("xmin", "ymin", "xmax", "ymax")])
+        whole = F.when(F.forall(four, lambda c: c.isNotNull()), four)
+        return F.when(entry.startswith("["), F.from_json(entry, "array<double>")).when(entry.startswith("{"), F.coalesce(named["bounding_box"], whole))
+
+    def read(e: Column) -> Column:
+        first = F.get(e, F.lit(0))
+        flat = F.array(F.transform(e, lambda x: x.try_cast("double")))
+        return F.when(first.try_cast("double").isNotNull(), flat).otherwise(F.filter(F.transform(e, box), lambda b: b.isNotNull()))
+
+    return F.when(F.coalesce(F.ltrim(text).startswith("["), F.lit(False)), F.coalesce(let(entries, read), none())).otherwise(none())
+
+
 def is_valid(box: Column, min_side: float = MIN_SIDE) -> Column:
     """Four numbers within [0, 1] (up to TOLERANCE) with both sides over `min_side`; NaN and null never are."""
     inside = F.forall(box, lambda c: c.isNotNull() & ~F.isnan(c) & (c >= -TOLERANCE) & (c <= 1 + TOLERANCE))

@@ -173,6 +173,11 @@ def missing_keys(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return expected.where(F.col(key).isNotNull()).select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
 
 
+def pixels(width: Column, height: Column) -> Column:
+    """The resolution of an image; null where a side is null."""
+    return (width * height).cast("bigint")
+
+
 def aspect_drift(width: Column, height: Column, new_width: Column, new_height: Column) -> Column:
     """Change of the aspect ratio by a resize in percent; null where a side is 0 or null."""
     before = F.when(height > 0, width / height)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..functions.predicates import has_boxes, is_violated
 from ..tables import CLASSES, METADATA, RULES
+from .ranking import ROWS_PER_BUCKET, running
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -68,12 +69,23 @@ def cooccurrence(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def summary(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """count, min, max, mean, population standard deviation and exact, interpolated percentiles of non-null values."""
+    """count, min, max, mean, population standard deviation and exact, interpolated percentiles of non-null values.
+
+    All percentiles come from one sketch-free pass over the counts of the distinct values of each group.
+    """
     x = F.col(column)
-    return df.groupBy(*by).agg(
-        F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-        *[F.percentile(x, F.lit(p / 100)).alias(f"p{p:02d}") for p in PERCENTILES],
+    shares = F.array(*[F.lit(p / 100) for p in PERCENTILES])
+    out = df.groupBy(*by).agg(
+        F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, shares).alias("__p"),
     )
+    return out.select(*by, "count", "min", "max", "mean", "std", *[F.get("__p", F.lit(i)).alias(f"p{p:02d}") for i, p in enumerate(PERCENTILES)])
+
+
+def extreme_sizes(df: DataFrame, column: str, id: str, *by: str) -> DataFrame:
+    """by…, min_id, max_id: the first row by id with the smallest and with the largest value (null for no value)."""
+    x = F.col(column)
+    kept = df.where(x.isNotNull())
+    return kept.groupBy(*by).agg(F.min_by(id, F.struct(x, F.col(id))).alias("min_id"), F.min_by(id, F.struct(-x, F.col(id))).alias("max_id"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -116,28 +128,54 @@ def uniqueness(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("distinct_keys")).withColumn("surplus", F.col("rows") - F.col("distinct_keys"))
 
 
-def islands(df: DataFrame, key: str, order: str, flag: Column) -> DataFrame:
-    """Runs of consecutive flagged rows within each key: (key, first, last, length), by position in `order`."""
-    w = Window.partitionBy(key).orderBy(order)
-    placed = df.select(key, order, flag.alias("__f"), F.row_number().over(w).alias("__n"))
-    run = F.col("__n") - F.row_number().over(w)
-    return placed.where("__f").withColumn("__run", run).groupBy(key, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("__run")
+def islands(df: DataFrame, key: str, order: str, flag: Column, bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Runs of consecutive flagged rows within each key: (key, first, last, length), by position in `order` (a number, not null).
+
+    A run is a flagged row's number of unflagged rows before it. The running count works on buckets of
+    `order`, so a key that holds most rows isn't sorted in one task.
+    """
+    rows = df.select(key, order, F.coalesce(flag, F.lit(False)).alias("__f")).withColumn("__gap", (~F.col("__f")).cast("bigint"))
+    low, high, count = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    width = max((high - low + 1) / max(1, -(-count // bucket_rows)), 1) if count else 1
+    bucket = F.floor((F.col(order) - F.lit(low)) / F.lit(float(width))).cast("bigint")
+    placed = running(rows, [key], bucket, [F.col(order)], "__gap", "__run")
+    return placed.where("__f").groupBy(key, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
 def expected_counts(found: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
     """Observed against expected counts: key…, n, expected, status (MATCH or MISMATCH); a missing group counts 0."""
-    both = found.join(F.broadcast(expected), key, "full").na.fill(0, ["n"])
+    both = found.join(expected, key, "full").na.fill(0, ["n"])
     return both.withColumn("status", F.when(F.col("n").eqNullSafe(F.col("expected")), "MATCH").otherwise("MISMATCH"))
 
 
+def report(row: DataFrame) -> DataFrame:
+    """(check_name, passed, detail) from one row of counts: a check passes if its count is 0."""
+    each = F.array(*[F.struct(F.lit(c).alias("check_name"), (F.col(c) == 0).alias("passed"), F.col(c).cast("string").alias("detail")) for c in row.columns])
+    return row.select(F.inline(each))
+
+
 def checks(samples: DataFrame, id: str) -> DataFrame:
     """The validation report: (check_name, passed, detail), one row per check."""
     issue = audit_boxes(samples, id).where("issues <> ''").agg(F.count(F.lit(1)).alias("bad_boxes"))
-    row = samples.agg(
-        (F.count(F.lit(1)) - F.countDistinct(id)).alias("repeated_ids"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in (*METADATA, "image_caption")]
-    )
-    one = lambda name, df: df.select(F.lit(name).alias("check_name"), (F.col(name) == 0).alias("passed"), F.col(name).cast("string").alias("detail"))
-    out = one("bad_boxes", issue)
-    for c in row.columns:
-        out = out.unionByName(one(c, row))
-    return out
+    row = samples.agg((F.count(F.lit(1)) - F.countDistinct(id)).alias("repeated_ids"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in (*METADATA, "image_caption")])
+    return report(issue).unionByName(report(row))
+
+
+def named_checks(samples: DataFrame, faults: dict[str, Column]) -> DataFrame:
+    """The report of named checks in one pass: each fails on the rows for which its condition holds."""
+    return report(samples.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in faults.items()]))
+
+
+def fix_checks() -> dict[str, Column]:
+    """What the corrections of annotations must have removed, as conditions of a faulty sample."""
+    every = F.concat(*[boxes.normalized(F.col(c)) for c in CLASSES], *[boxes.normalized(F.col(f"{r}.bounding_box")) for r in RULES])
+    hollow = lambda r: F.col(r).isNotNull() & ~is_violated(F.col(r))
+    return {
+        "null_class_lists": F.greatest(*[F.col(c).isNull() for c in CLASSES]),
+        "hollow_violations": F.greatest(*[hollow(r) for r in RULES]),
+        "boxes_of_wrong_length": F.exists(every, lambda b: F.size(b) != 4),
+        "boxes_out_of_range": F.exists(every, lambda b: F.exists(b, lambda c: (c < -boxes.TOLERANCE) | (c > 1 + boxes.TOLERANCE))),
+        "boxes_turned_around": F.exists(every, lambda b: (F.get(b, F.lit(0)) >= F.get(b, F.lit(2))) | (F.get(b, F.lit(1)) >= F.get(b, F.lit(3)))),
+        "repeated_boxes": F.greatest(*[F.size(F.array_distinct(boxes.normalized(F.col(c)))) < F.size(boxes.normalized(F.col(c))) for c in CLASSES]),
+        "missing_metadata": F.greatest(*[F.col(c).isNull() for c in METADATA]),
+    }

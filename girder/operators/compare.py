@@ -28,6 +28,26 @@ def wide(metrics: DataFrame, run: str, names: list[str], as_percent: bool = Fals
     return metrics.groupBy(run).pivot("metric", names).agg(F.first("value") * scale).na.fill(0.0)
 
 
+def heat_map(metrics: DataFrame, run: str, runs: list[str], names: list[str]) -> DataFrame:
+    """One row per metric in the order of `names`, one column per run; 0 where it is missing."""
+    wanted = metrics.where(F.col("metric").isin(*names)).groupBy("metric").pivot(run, runs).agg(F.first("value")).na.fill(0.0)
+    return wanted.orderBy(F.array_position(F.array(*map(F.lit, names)), F.col("metric")))
+
+
+def chart(metrics: DataFrame, run: str, charts: dict[str, list[str]]) -> DataFrame:
+    """(chart, run, metric, value): what each chart shows. A metric that a run lacks is 0; one that all runs lack is left out."""
+    chosen = F.array(*[F.struct(F.lit(c).alias("chart"), F.lit(m).alias("metric")) for c, names in charts.items() for m in names])
+    shown = metrics.select(F.explode(chosen).alias("c")).select("c.*").distinct().join(metrics.select("metric").distinct(), "metric", "left_semi")
+    grid = shown.join(metrics.select(run).distinct(), F.lit(True))  # runs by names of metrics
+    return grid.join(metrics.select(run, "metric", "value"), [run, "metric"], "left").select("chart", run, "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def paper_tables(metrics: DataFrame, strata: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The main table (one row, one column per metric) and the table of strata (field, stratum and the metrics)."""
+    main = metrics.groupBy().pivot("metric", names).agg(F.first("value"))
+    return main, strata.groupBy("field", "stratum").pivot("metric", names).agg(F.first("value"))
+
+
 def merged_answers(scores: DataFrame, id: str, run: str, runs: list[str]) -> DataFrame:
     """One row per id with the score of each run, null where a run has none."""
     return scores.groupBy(id).pivot(run, runs).agg(F.max("score"))

@@ -84,9 +84,66 @@ def corrected(samples: DataFrame, corrections: DataFrame, id: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in METADATA else F.col(c) for c in samples.columns])
 
 
-def without_box(boxes_column: Column, box: list[float]) -> Column:
+def without_box(boxes_column: Column, box: Column) -> Column:
     """The boxes without exact copies of one."""
-    return F.filter(boxes_column, lambda b: b != F.array(*map(F.lit, box)))
+    return F.filter(boxes_column, lambda b: ~F.coalesce(b == box, F.lit(False)))
+
+
+#: kind is remove_box, replace_boxes, null_violation or set_value; `boxes` holds the box or boxes, `value` the text to set.
+EDIT = "kind STRING, column_name STRING, value STRING, boxes ARRAY<ARRAY<DOUBLE>>"
+
+
+def point_edits(samples: DataFrame, edits: DataFrame, id: str) -> DataFrame:
+    """Samples with keyed edits (id and EDIT): exact boxes removed, boxes replaced, a violation nulled, an attribute set.
+
+    The edits of a sample are gathered into one row and applied in one pass, in the order null_violation,
+    replace_boxes, remove_box; of edits of one kind to one column the last by (value, boxes) counts, but
+    every removal is made. Edits of unknown samples, columns or kinds have no effect.
+    """
+    each = F.struct("kind", "column_name", "value", "boxes")
+    gathered = edits.groupBy(F.col(id).alias("__id")).agg(F.array_sort(F.collect_list(each)).alias("__edits"))  # the edits of one sample
+    joined = samples.join(gathered, F.col(id) == F.col("__id"), "left")
+    of = lambda kind, c: F.filter(F.coalesce("__edits", F.array()), lambda e: (e["kind"] == kind) & (e["column_name"] == c))
+    last = lambda kind, c: F.try_element_at(of(kind, c), F.lit(-1))
+
+    def edited(c: str, own: Column) -> Column:
+        replaced = F.coalesce(last("replace_boxes", c)["boxes"], own)
+        removed = F.flatten(F.transform(of("remove_box", c), lambda e: F.coalesce(e["boxes"], boxes.none())))
+        return F.when(F.size(of("remove_box", c)) > 0, F.filter(replaced, lambda b: ~F.coalesce(F.array_contains(removed, b), F.lit(False)))).otherwise(replaced)
+
+    def column(c: str) -> Column:
+        if c in CLASSES:
+            return edited(c, F.col(c))
+        if c in RULES:
+            kept = F.struct(edited(c, F.col(f"{c}.bounding_box")).alias("bounding_box"), F.col(f"{c}.reason").alias("reason"))
+            return F.when(F.col(c).isNotNull() & (F.size(of("null_violation", c)) == 0), kept)
+        if c in METADATA:
+            return F.coalesce(last("set_value", c)["value"], F.col(c))
+        return F.col(c)
+
+    return joined.select(*[column(c).alias(c) for c in samples.columns])
+
+
+def prompt_of(prompts: DataFrame, task: str) -> str:
+    """The prompt of a task: that of the least prompt_id. A task without one is an error that names those there are."""
+    known = {r["task"]: r["prompt"] for r in prompts.groupBy("task").agg(F.min_by("prompt", "prompt_id").alias("prompt")).collect()}  # the fixed list of tasks
+    if task not in known:
+        raise ValueError(f"no prompt for the task {task!r}; there are {sorted(known)}")
+    return known[task]
+
+
+def lookup(samples: DataFrame, image_id: str | int) -> DataFrame:
+    """The samples of one image, its id compared as text."""
+    return samples.where(F.col("image_id").cast("string") == str(image_id))
+
+
+def training_set(samples: DataFrame, id: str, prompts: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conversations, counts) of the first `cap` samples by id, or all; counts: per prompt its samples, those skipped for want of a caption."""
+    kept = samples if cap is None else samples.orderBy(id).limit(cap)
+    skipped = (F.col("task") == "unified") & F.col("image_caption").isNull()
+    tasks = prompts.select("prompt_id", "task")
+    counts = kept.join(F.broadcast(tasks), F.lit(True)).groupBy("prompt_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(skipped).alias("skipped"))  # a few fixed prompts
+    return conversations(kept, id, prompts), counts
 
 
 def rejoined(cache: DataFrame, images: DataFrame, key: str, order: str, how: str = "inner") -> DataFrame:

@@ -278,6 +278,34 @@ def captions(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def caption_suite(rows: DataFrame, id: str, prefix: str = "", scorers: dict | None = None, image: str | None = None, embedding: str | None = None) -> DataFrame:
+    """(metric, value) of predicted captions: lengths, n-gram F1, consensus, CLIPScore where embeddings are given, and any further scorer.
+
+    `rows` (id, parsed, sample and the embedding columns) should be materialised; none is an error, as is
+    an image embedding without one of the text. A scorer takes the two caption columns and gives a score;
+    model-backed ones fit there. Missing and blank captions count as 'empty' on both sides.
+    """
+    assert_not_empty(rows, "captions")
+    if (image is None) != (embedding is None):
+        raise ValueError("CLIPScore needs the embeddings of images and of texts")
+    pred, truth = caption_or_empty(F.col("parsed.caption")), caption_or_empty(F.col("sample.image_caption"))
+    n = text.word_count(pred)
+    values = [F.avg(n).alias("words_avg"), F.min(n).alias("words_min"), F.max(n).alias("words_max"), F.avg(text.ngram_f1(pred, truth)).alias("ngram_f1")]
+    values += [F.avg(scorer(pred, truth)).alias(name) for name, scorer in (scorers or {}).items()]
+    if image is not None and embedding is not None:
+        values.append(F.coalesce(F.avg(text.clip_score(F.col(image), F.col(embedding))), F.lit(0.0)).alias("clipscore"))
+    one = rows.agg(*values)
+    consensus = text.consensus_score(rows.select(id, pred.alias("__p"), truth.alias("__t")), id, "__p", "__t").agg(F.avg("score").alias("ciderd"))
+    out = long(one, [], one.columns).unionByName(long(consensus, [], ["ciderd"]))
+    return out.withColumn("metric", F.concat(F.lit(prefix), "metric"))
+
+
+def stratified_suite(rows: DataFrame, fields: tuple[str, ...] = METADATA) -> DataFrame:
+    """field, stratum, metric, value: all families for each value of each metadata field; `rows` should be materialised."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"sample.{f}").alias("stratum")) for f in fields])
+    return full_evaluation(rows.select("*", F.inline(pairs)).where("stratum is not null"), "field", "stratum")
+
+
 def failures(rows: DataFrame, id: str) -> DataFrame:
     """(id, error_type, detail, raw_output) of answers that failed one of the two gates."""
     error = F.col("parsed.error")
@@ -333,5 +361,5 @@ def full_evaluation(rows: DataFrame, *by: str, scorer=text.ngram_f1) -> DataFram
 
 def long(df: DataFrame, keys: list[str], value_columns: list[str]) -> DataFrame:
     """keys…, metric, value: one row per number that isn't null."""
-    cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in value_columns])
-    return cast.unpivot(keys, value_columns, "metric", "value").where("value is not null")
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in value_columns])
+    return df.select(*keys, F.inline(each)).where("value is not null")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.predicates import is_blank
 from ..tables import CLASSES, METADATA
 
 # Keys of a sample and the notations of a box's corners.
@@ -250,3 +251,20 @@ def violation_boxes(df: DataFrame, key: str, payload: str) -> DataFrame:
         F.when(is_box, F.col("in_violation.ordinal")).otherwise(F.col("ordinal")).alias("violation_no"),
         F.when(is_box, F.col("ordinal")).otherwise(F.lit(-1)).cast("bigint").alias("box_no"),
     )
+
+
+def struct_boxes(df: DataFrame, key: str, rules: tuple[str, ...]) -> DataFrame:
+    """(key, rule_no, violation_no, box_no) of violations that are typed structs, by the rules of violation_boxes.
+
+    A struct is the only violation of its rule; boxes without exactly four finite numbers are skipped.
+    """
+    readable = lambda v: F.filter(F.coalesce(v["bounding_box"], F.array().cast("array<array<double>>")), lambda b: F.coalesce((F.size(b) == 4) & F.forall(b, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)))
+
+    def entry(i: int, rule: str) -> Column:
+        v = F.col(rule)
+        numbers = F.transform(readable(v), lambda _, at: at.cast("bigint"))
+        alone = F.when(~is_blank(v["reason"]), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(v.isNotNull(), F.struct(F.lit(i).cast("bigint").alias("rule_no"), F.when(F.size(numbers) > 0, numbers).otherwise(alone).alias("boxes")))
+
+    each = F.array_compact(F.array(*[entry(i, r) for i, r in enumerate(rules, 1)]))
+    return df.select(key, F.inline(each)).select(key, "rule_no", F.lit(0).cast("bigint").alias("violation_no"), F.explode("boxes").alias("box_no"))

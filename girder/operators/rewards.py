@@ -105,6 +105,31 @@ REGISTRY = {
 }
 
 
+def assembled(settings: dict) -> dict[str, float]:
+    """Component and weight of a task's settings: `reward_components` (all if absent) and `reward_weights`.
+
+    Components are named with or without the prefix reward_. One that doesn't exist is an error; a weight
+    whose name is no component of the task has no effect, and the default stays.
+    """
+    plain = lambda name: str(name).removeprefix("reward_")
+    names = [plain(n) for n in settings.get("reward_components") or WEIGHTS]
+    if unknown := [n for n in names if n not in REGISTRY]:
+        raise ValueError(f"unknown reward components: {unknown}; there are {sorted(REGISTRY)}")
+    own = {plain(n): float(w) for n, w in (settings.get("reward_weights") or {}).items()}
+    return {n: own.get(n, WEIGHTS[n]) for n in names}
+
+
+def task_rewards(rows: DataFrame, settings: dict) -> DataFrame:
+    """All columns, one of each component of the task's settings, and `weighted`, their weighted sum (no halving for repeats)."""
+    weights = assembled(settings)
+    return components(rows, tuple(weights)).withColumn("weighted", sum((F.col(f"r_{n}") * w for n, w in weights.items()), F.lit(0.0)))
+
+
+def last_content(turns: Column) -> Column:
+    """The text of an answer given as a chat: the content of its last turn; null for no turn."""
+    return F.try_element_at(turns, F.lit(-1))["content"]
+
+
 def components(rows: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """All columns and one of each reward named; an unknown name is an error. A failed answer scores 0 in each."""
     unknown = set(names) - REGISTRY.keys()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.jsonio import TASKS
+from ..functions.predicates import is_violated
 from ..operators import arrange, audit, conversations
 from ..tables import CLASSES, METADATA, RULES, table
 
@@ -108,7 +110,54 @@ def _shard_export(samples: DataFrame) -> DataFrame:
     return conversations.task_shards(samples, "sample_id")
 
 
+def _json_boxes(samples: DataFrame) -> DataFrame:
+    """Class boxes written in four notations in turn, and read again."""
+    first = F.get("excavator", F.lit(0))
+    corner = F.transform("excavator", lambda b: F.struct(*[F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))]))
+    held = F.transform("excavator", lambda b: F.struct(b.alias("bounding_box")))
+    turn = F.col("sample_id") % 4
+    written = F.when(turn == 0, F.to_json("excavator")).when(turn == 1, F.to_json(first)).when(turn == 2, F.to_json(corner)).otherwise(F.to_json(held))
+    return samples.select("sample_id", _boxes_text_list(boxes.from_json_text(written)).alias("boxes"))
+
+
+def _edits(samples: DataFrame) -> DataFrame:
+    """Annotations after edits: boxes of no extent removed, hollow violations nulled, missing views set, one class's boxes replaced by clean ones."""
+    none = F.lit(None).cast("string")
+    edit = lambda kind, c, value, b: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column_name"), value.alias("value"), b.alias("boxes"))
+    flat = lambda c: F.filter(boxes.normalized(F.col(c)), lambda b: F.coalesce(F.get(b, F.lit(0)) >= F.get(b, F.lit(2)), F.lit(False)))
+    when = lambda condition, e: F.when(condition, e)
+    each = [when(F.size(flat("excavator")) > 0, edit("remove_box", "excavator", none, flat("excavator")))]
+    each += [when(F.col(r).isNotNull() & ~is_violated(F.col(r)), edit("null_violation", r, none, boxes.none())) for r in RULES]
+    each += [when(F.col("view").isNull(), edit("set_value", "view", F.lit("ground view"), boxes.none())), when(F.size("rebar") > 0, edit("replace_boxes", "rebar", none, boxes.clean(F.col("rebar"))))]
+    edits = samples.select("sample_id", F.inline(F.array_compact(F.array(*each))))
+    out = conversations.point_edits(samples, edits, "sample_id")
+    return out.select("sample_id", "view", *[F.col(r).isNotNull().alias(r) for r in RULES], *[_boxes_text_list(F.col(c)).alias(c) for c in ("excavator", "rebar")])
+
+
+def _prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt of each task, as the registry gives it."""
+    prompts = table(spark, folder, "prompt_text")
+    return spark.createDataFrame([(t, conversations.prompt_of(prompts, t)) for t in TASKS], "task STRING, prompt STRING")
+
+
+def _lookup(samples: DataFrame) -> DataFrame:
+    """The samples of one image: that of the first sample with an id."""
+    first = samples.where("image_id is not null").orderBy("sample_id").select("image_id").first()
+    return conversations.lookup(samples, first["image_id"] if first else "").select("sample_id", "image_id", "split")
+
+
+def _training_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.training_set(_samples(spark, folder).where("split = 'train'"), "sample_id", table(spark, folder, "prompt_text"))[1]
+
+
 QUERIES = {
+    "b1_json_boxes": _on(_json_boxes),
+    "c10_fix_checks": _on(lambda s: audit.named_checks(s, audit.fix_checks())),
+    "pr12_point_edits": _on(_edits),
+    "pr11_prompts": _prompts,
+    "pr21_point_lookup": _on(_lookup),
+    "pr8_training_counts": _training_counts,
+    "a24_extreme_sizes": _on(lambda s: audit.extreme_sizes(s, "resolution", "sample_id", "split")),
     "b9_b10_box_audit": _on(_audit),
     "a23_audit_crosstab": _on(_crosstab),
     "b11_repeated_boxes": _on(lambda s: audit.repeated_boxes(s, "sample_id", 1)),
@@ -244,3 +293,20 @@ _TRUE_JSON = " || ',' || ".join(
     + [f"""'"{r}":' || CASE WHEN {r} IS NULL THEN 'null' ELSE '{{"bounding_box":' || {_numbers_sql(r + ".bounding_box")} || ',"reason":' || {_quoted_sql(f"coalesce({r}.reason, '')")} || '}}' END""" for r in RULES]
 )
 ORACLE["pr9_reward_prompts"] = f"SELECT sample_id, image_id, '{{' || {_TRUE_JSON} || '}}' AS ground_truth FROM raw_sample WHERE split = 'train'"
+ORACLE["b1_json_boxes"] = f"SELECT sample_id, {_box_text('(CASE WHEN sample_id % 4 = 1 THEN coalesce(excavator, [])[1:1] WHEN sample_id % 4 = 2 THEN [b FOR b IN coalesce(excavator, []) IF len(b) >= 4] ELSE coalesce(excavator, []) END)')} AS boxes FROM raw_sample"
+_EVERY_BOX = "flatten([" + ", ".join(f"coalesce({c}, [])" for c in (*CLASSES, *[f"{r}.bounding_box" for r in RULES])) + "])"
+_any_box = lambda test: f"len([b FOR b IN {_EVERY_BOX} IF {test}]) > 0"
+_FAULTS = {
+    "null_class_lists": " OR ".join(f"{c} IS NULL" for c in CLASSES), "hollow_violations": " OR ".join(f"({r} IS NOT NULL AND NOT {_VIOL(r)})" for r in RULES),
+    "boxes_of_wrong_length": _any_box("len(b) <> 4"), "boxes_out_of_range": _any_box("list_bool_or([x < -1e-6 OR x > 1 + 1e-6 FOR x IN b])"), "boxes_turned_around": _any_box("b[1] >= b[3] OR b[2] >= b[4]"),
+    "repeated_boxes": " OR ".join(f"len(list_distinct(coalesce({c}, []))) < len(coalesce({c}, []))" for c in CLASSES), "missing_metadata": " OR ".join(f"{m} IS NULL" for m in METADATA),
+}
+ORACLE["c10_fix_checks"] = "SELECT check_name, n = 0 AS passed, CAST(n AS VARCHAR) AS detail FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) FILTER ({v}) AS n FROM raw_sample" for k, v in _FAULTS.items()) + ")"
+ORACLE["pr12_point_edits"] = (
+    f"SELECT sample_id, coalesce(view, 'ground view') AS view, {', '.join(f'({r} IS NOT NULL AND {_VIOL(r)}) AS {r}' for r in RULES)}, {_box_text('[b FOR b IN excavator IF NOT coalesce(b[1] >= b[3], false)]')} AS excavator, "
+    f"CASE WHEN len(rebar) > 0 THEN {_box_text(_CLEANED('rebar'))} ELSE {_box_text('rebar')} END AS rebar FROM raw_sample"
+)
+ORACLE["pr11_prompts"] = "SELECT task, arg_min(prompt, prompt_id) AS prompt FROM prompt_text GROUP BY task"
+ORACLE["pr21_point_lookup"] = "SELECT sample_id, image_id, split FROM raw_sample WHERE image_id = (SELECT arg_min(image_id, sample_id) FROM raw_sample WHERE image_id IS NOT NULL)"
+ORACLE["pr8_training_counts"] = "SELECT prompt_id, count(*) AS samples, count(*) FILTER (task = 'unified' AND image_caption IS NULL) AS skipped FROM raw_sample, prompt_text WHERE split = 'train' GROUP BY prompt_id"
+ORACLE["a24_extreme_sizes"] = "SELECT DISTINCT split, first_value(sample_id) OVER (PARTITION BY split ORDER BY resolution, sample_id) AS min_id, first_value(sample_id) OVER (PARTITION BY split ORDER BY resolution DESC, sample_id) AS max_id FROM raw_sample WHERE resolution IS NOT NULL"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonio
 from ..operators import evaluation as ev
-from ..operators import rewards
+from ..operators import compare, rewards
 from ..session import cut_lineage
 from ..tables import RULES, table
-from .evaluation_sql import ORACLE  # noqa: F401
+from .evaluation_sql import ORACLE, paper_sql
 
 
 #: The number in an image id however it is padded, null if there is none.
@@ -77,10 +77,35 @@ def _reward_means(rows: DataFrame) -> DataFrame:
     return rewards.composite(rows).groupBy("task").agg(F.count(F.lit(1)).alias("answers"), *[F.avg(n).alias(n) for n in names])
 
 
+#: Settings of a task that is rewarded for rules alone.
+VIOLATION_SETTINGS = {
+    "reward_components": ["reward_format", "reward_violation_id", "reward_violation_grounding", "reward_reasoning"],
+    "reward_weights": {"reward_format": 0.10, "reward_violation_id": 0.40, "reward_violation_grounding": 0.30, "reward_reasoning": 0.20},
+}
+
+
 def _task_rewards(rows: DataFrame) -> DataFrame:
-    """The component list of violations_only: rules, their boxes and reasons, and the format."""
-    names = ("format", "violation_id", "violation_grounding", "reasoning")
-    return rewards.components(rows.where("task = 'violations_only'"), names).select("prediction_id", *[f"r_{n}" for n in names])
+    """The rewards of violations_only by its settings: rules, their boxes and reasons, and the format."""
+    names = rewards.assembled(VIOLATION_SETTINGS)
+    return rewards.task_rewards(rows.where("task = 'violations_only'"), VIOLATION_SETTINGS).select("prediction_id", *[f"r_{n}" for n in names], "weighted")
+
+
+def _caption_suite(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut_lineage(_scored(spark, folder).where("task = 'unified'").select("prediction_id", "parsed", "sample"))
+    return _rounded(ev.caption_suite(rows, "prediction_id", "caption_"))
+
+
+def _suite(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(ev.stratified_suite(_materialised(spark, folder)))
+
+
+PAPER = ["schema_rate", "presence_f1_micro", "mask_exist", "violation_f1_micro", "violation_f1_macro", "gated_f1_micro", "reason_score_macro", "ngram_f1"]
+
+
+def _paper(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of strata; the main table has the same columns."""
+    rows = _materialised(spark, folder)
+    return _rounded(compare.paper_tables(ev.full_evaluation(rows), ev.stratified_suite(rows), PAPER)[1])
 
 
 def _funnel(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,6 +176,9 @@ QUERIES = {
     "c7_full_evaluation": _full,
     "c8_dual_pass": _dual,
     "c7_failures": lambda s, f: ev.failures(parsed_answers(s, f), "prediction_id"),
+    "x10_caption_suite": _caption_suite,
+    "a17_stratified_suite": _suite,
+    "k10_paper_strata": _paper,
     "a31_gates": _funnel,
     "a32_log_triage": _triage,
     "a33_failure_reasons": _reasons,
@@ -162,3 +190,5 @@ QUERIES = {
     "r11_task_rewards": _over(_task_rewards),
     "r12_legacy_rewards": _over(lambda r: rewards.legacy(r).select("prediction_id", "r_json", "r_caption", "r_rules", "r_boxes")),
 }
+
+ORACLE["k10_paper_strata"] = paper_sql(PAPER)

@@ -266,7 +266,7 @@ w AS (SELECT *, ({" + ".join(f"{x} * r_{n}" for n, x in WEIGHTS.items())}) * CAS
 _NAMES = [f"r_{n}" for n in WEIGHTS]
 ORACLE["r8_r9_reward_breakdown"] = f"{_COMPONENTS} SELECT prediction_id, {', '.join(f'round(CAST({n} AS DOUBLE), 6) AS {n}' for n in [*_NAMES, 'repetition', 'total'])} FROM w"
 ORACLE["r8_reward_means"] = f"{_COMPONENTS} SELECT task, count(*) AS answers, {', '.join(f'round(avg({n}), 6) AS {n}' for n in [*_NAMES, 'repetition', 'total'])} FROM w GROUP BY task"
-ORACLE["r11_task_rewards"] = f"{_COMPONENTS} SELECT prediction_id, {', '.join(f'round(CAST(r_{n} AS DOUBLE), 6) AS r_{n}' for n in ('format', 'violation_id', 'violation_grounding', 'reasoning'))} FROM c WHERE task = 'violations_only'"
+ORACLE["r11_task_rewards"] = f"{_COMPONENTS} SELECT prediction_id, {', '.join(f'round(CAST(r_{n} AS DOUBLE), 6) AS r_{n}' for n in ('format', 'violation_id', 'violation_grounding', 'reasoning'))}, round(CAST(0.1 * r_format + 0.4 * r_violation_id + 0.3 * r_violation_grounding + 0.2 * r_reasoning AS DOUBLE), 6) AS weighted FROM c WHERE task = 'violations_only'"
 ORACLE["r12_legacy_rewards"] = f"""{_COMPONENTS} SELECT prediction_id, CASE WHEN json_valid THEN 1.0::DOUBLE ELSE 0.0 END AS r_json, round(CAST(grams AS DOUBLE), 6) AS r_caption,
   round(CAST(CASE WHEN NOT schema_valid THEN 0 WHEN tp + fp + fn = 0 THEN 1 WHEN tp > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn) ELSE 0 END AS DOUBLE), 6) AS r_rules, round(CASE WHEN schema_valid THEN greedy ELSE 0 END, 6) AS r_boxes FROM c"""
 RULE_SCORES = f"{_COMPONENTS}, o AS (SELECT c.prediction_id, s.image_id, s.run_id, r_violation_id FROM c JOIN s USING (prediction_id))"
@@ -274,8 +274,17 @@ TEXT_WORDS = f"""WITH {_PARSED}, t AS (SELECT 'truth' AS origin, 'caption' AS ki
   {" ".join(f"UNION ALL SELECT 'truth', 'reason', coalesce(sample.{r}.reason, '') FROM s WHERE t{i} UNION ALL SELECT 'answer', 'reason', coalesce(v->>'$.{r}.reason', '') FROM s WHERE p{i}" for i, r in enumerate(RULES, 1))}),
 u AS (SELECT origin, kind, {_word_count("x")} AS n FROM t WHERE x IS NOT NULL)"""
 _words_of = lambda c, n: f"[array_to_string({c}[i:i + {n - 1}], ' ') FOR i IN range(1, len({c}) - {n - 2})]"
-ORACLE["x7_caption_consensus"] = f"""WITH {_PARSED},
-t AS (SELECT prediction_id, {_tokens("v->>'$.caption'")} AS p, {_tokens("coalesce(sample.image_caption, '')")} AS r FROM s WHERE schema_valid AND task = 'unified'),
+_STRATA = evaluation_sql(" UNION ALL ".join(f"SELECT prediction_id, '{m}' AS k_field, sample.{m} AS k_stratum FROM s WHERE sample.{m} IS NOT NULL" for m in METADATA), ("k_field", "k_stratum"))
+ORACLE["a17_stratified_suite"] = _STRATA + " SELECT k_field AS field, k_stratum AS stratum, metric, round(value, 6) AS value FROM every"
+
+
+def paper_sql(names: list[str]) -> str:
+    return _STRATA + f" SELECT k_field AS field, k_stratum AS stratum, {', '.join(f"round(max(CASE WHEN metric = '{n}' THEN value END), 6) AS {n}" for n in names)} FROM every GROUP BY ALL"
+
+
+def _consensus_sql(pred: str, truth: str, kept: str) -> str:
+    return f"""WITH {_PARSED},
+t AS (SELECT prediction_id, {_tokens(pred)} AS p, {_tokens(truth)} AS r FROM s WHERE {kept}),
 pg AS ({" UNION ALL ".join(f"SELECT prediction_id, {n} AS n, unnest({_words_of('p', n)}) AS g FROM t" for n in range(1, 5))}),
 rg AS ({" UNION ALL ".join(f"SELECT prediction_id, {n} AS n, unnest({_words_of('r', n)}) AS g FROM t" for n in range(1, 5))}),
 pc AS (SELECT prediction_id, n, g, count(*) AS p FROM pg GROUP BY ALL), rc AS (SELECT prediction_id, n, g, count(*) AS r FROM rg GROUP BY ALL),
@@ -286,3 +295,8 @@ w AS (SELECT b.*, ln((SELECT CAST(count(*) AS DOUBLE) FROM t)) - ln(greatest(coa
 u AS (SELECT prediction_id, n, sum(least(p, r) * w * r * w) AS dot, sqrt(sum(pow(p * w, 2))) AS np, sqrt(sum(pow(r * w, 2))) AS nr FROM w GROUP BY prediction_id, n),
 c AS (SELECT prediction_id, sum(CASE WHEN np > 0 AND nr > 0 THEN dot / (np * nr) ELSE 0 END) AS x FROM u GROUP BY prediction_id)
 SELECT t.prediction_id, round(2.5 * coalesce(x, 0) * exp(-pow(len(p) - len(r), 2) / 72.0), 6) AS score FROM t LEFT JOIN c USING (prediction_id)"""
+
+
+ORACLE["x7_caption_consensus"] = _consensus_sql(_OWN, "coalesce(sample.image_caption, '')", "schema_valid AND task = 'unified'")
+ORACLE["x10_caption_suite"] = f"""SELECT 'caption_' || metric AS metric, round(value, 6) AS value FROM ({_ONE} SELECT metric, value FROM every WHERE metric IN ('words_avg', 'words_min', 'words_max', 'ngram_f1'))
+UNION ALL SELECT 'caption_ciderd', round(avg(score), 6) FROM ({_consensus_sql(_CAPTION, _TRUE_CAPTION, "task = 'unified'").replace("round(2.5", "(2.5").replace("72.0), 6)", "72.0))")})"""

@@ -148,7 +148,32 @@ def _rejoined(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rejoined(log, images, "image", "sample_id").drop("image")
 
 
+CHARTS = {"shape": ["json_rate", "schema_rate", "repair_rate"], "rules": ["violation_f1_micro", "violation_f1_macro", "gated_f1_micro"], "boxes": ["mask_exist", "presence_f1_micro"]}
+MODELS = ["vlm_base_a", "vlm_base_b", "vlm_tuned_a", "vlm_tuned_b", "vlm_reward_a", "vlm_reward_b"]
+
+
+def _charts(spark: SparkSession, folder: str) -> DataFrame:
+    out = compare.chart(cut_lineage(_metrics(spark, folder)), "run", CHARTS)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def _heat_map(spark: SparkSession, folder: str) -> DataFrame:
+    out = compare.heat_map(_metrics(spark, folder), "run", MODELS, list(MODEL_METRICS))
+    return out.select("metric", *[F.round(m, 6).alias(m) for m in MODELS])
+
+
+def _clip_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """CLIPScore of each vector as an image with the next one as its text, per label; vectors without a next one have no text."""
+    e = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    score = text.clip_score(F.col("embedding"), F.col("other"))
+    return e.join(nxt, "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 5).alias("clipscore"))
+
+
 QUERIES = {
+    "c5_chart_rows": _charts,
+    "c6_heat_map": _heat_map,
+    "x9_clip_score": _clip_mean,
     "o4_seeded_sample": _seeded,
     "j6_missing_ids": _missing_ids,
     "o15_failure_ids": _id_lists,
@@ -195,3 +220,7 @@ ORACLE["o3_outstanding"] = f"""{RULE_SCORES}, q AS (SELECT image_id, coalesce(ma
 UNION ALL (SELECT image_id, base, final, 'failure' FROM q WHERE final < 0.1 ORDER BY final, image_id LIMIT 5)"""
 ORACLE["x11_word_counts"] = f"""{TEXT_WORDS} SELECT origin, kind, count(n) AS count, CAST(min(n) AS INT) AS min, CAST(max(n) AS INT) AS max, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std,
 {", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS p{p:02d}" for p in audit.PERCENTILES)} FROM u GROUP BY origin, kind"""
+ORACLE["c5_chart_rows"] = f"""{MODEL_VALUES}, ch AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{m}')" for c, names in CHARTS.items() for m in names)}) AS x(chart, metric)), rr AS (SELECT DISTINCT k_run FROM every)
+SELECT chart, rr.k_run AS run, ch.metric, round(coalesce(e.value, 0), 6) AS value FROM ch CROSS JOIN rr LEFT JOIN every e ON e.metric = ch.metric AND e.k_run = rr.k_run WHERE ch.metric IN (SELECT metric FROM every)"""
+ORACLE["c6_heat_map"] = f"""{MODEL_VALUES} SELECT metric, {", ".join(f"coalesce(round(max(CASE WHEN k_run = '{m}' THEN value END), 6), 0) AS {m}" for m in MODELS)} FROM every WHERE metric IN ({", ".join(f"'{m}'" for m in MODEL_METRICS)}) GROUP BY metric"""
+ORACLE["x9_clip_score"] = "SELECT a.label, count(*) AS pairs, round(avg(greatest(0, 2.5 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 5) AS clipscore FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label"

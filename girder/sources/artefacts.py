@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.repair import with_repair
 from ..session import cut_lineage
-from .files import write_json_atomically, write_jsonl
+from .files import write_json_array, write_json_atomically, write_jsonl
 
 
 def event_summary(repaired: DataFrame, id: str, kind: str) -> DataFrame:
@@ -17,13 +17,14 @@ def event_summary(repaired: DataFrame, id: str, kind: str) -> DataFrame:
 
 
 def write_repair(answers: DataFrame, id: str, text: str, task: str, folder: str) -> dict:
-    """Repaired log, change manifest, still broken rows (JSON lines) and the report; the answers are repaired once."""
+    """Repaired log (JSON lines and a JSON array), change manifest, still broken rows (JSON lines) and the report; the answers are repaired once."""
     done = cut_lineage(with_repair(answers, text, task))
     fixed = F.col("repair.status") == "fixed_valid"
-    write_jsonl(
-        done.select(*[c for c in answers.columns if c != text], F.when(fixed, F.col("repair.fixed")).otherwise(F.col(text)).alias(text), F.when(fixed, F.col(text)).alias("original_raw_output"), F.col("repair.status").alias("repair_status")),
-        f"{folder}/repaired",
+    log = (
+        done.select(*[c for c in answers.columns if c != text], F.when(fixed, F.col("repair.fixed")).otherwise(F.col(text)).alias(text), F.when(fixed, F.col(text)).alias("original_raw_output"), F.col("repair.status").alias("repair_status"))
     )
+    write_jsonl(log, f"{folder}/repaired")
+    write_json_array(log, f"{folder}/repaired.json")
     write_jsonl(done.where("size(repair.changes) > 0 or size(repair.warnings) > 0").select(id, "repair.status", "repair.changes", "repair.warnings"), f"{folder}/changes")
     broken = done.where("repair.status in ('invalid_json', 'invalid_schema')")
     write_jsonl(broken.select(id, "repair.status", "repair.error", F.col(text).alias("raw_output"), F.col("repair.fixed").alias("parsed"), F.col("repair.changes").alias("changes_attempted"), "repair.warnings"), f"{folder}/broken")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import tempfile
@@ -25,37 +24,71 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, malformed lines as `line`)."""
+    """(good rows, malformed lines as `line`); blank lines are neither. The lines are read and parsed by one expression each."""
     declared = T._parse_datatype_string(schema)
     with_bad = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # Spark answers queries on nothing but the corrupt column from no data; the text scan avoids that
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = lines.where(F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})[CORRUPT].isNotNull())
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad.withColumnRenamed("value", "line")
+    parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", parsed.alias("__row"))
+    good = lines.where(F.col(f"__row.{CORRUPT}").isNull()).select(*[F.col(f"__row.{f.name}").alias(f.name) for f in declared.fields])
+    return good, lines.where(F.col(f"__row.{CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_json(path: str) -> Any:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path as it knows it, so that cluster stores work as local folders do."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern matches, sorted; none if nothing does."""
+    fs, at = _filesystem(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(at) or [])
+
+
+def read_documents(spark: SparkSession, paths: list[str]) -> dict[str, Any]:
+    """Small JSON documents by path; unreadable ones are warned about and left out."""
+    found = {}
+    for path, text in spark.sparkContext.wholeTextFiles(",".join(paths)).collect() if paths else []:
+        try:
+            found[path] = json.loads(text)
+        except ValueError as why:
+            warnings.warn(f"skipped {path}: {why}", stacklevel=2)
+    return found
+
+
 def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
     """(run, metric, value) of `<run>/<file>.json` metric files; absent or unreadable ones are warned about and skipped."""
     from ..operators.compare import flattened
 
     rows = []
-    for path in sorted(glob.glob(pattern)):
-        try:
-            flat = flattened(read_json(path))
-        except (OSError, ValueError) as why:
-            warnings.warn(f"skipped {path}: {why}", stacklevel=2)
-            continue
-        rows += [(Path(path).parent.name, k, float(v)) for k, v in flat.items() if isinstance(v, int | float) and not isinstance(v, bool)]
+    for path, document in sorted(read_documents(spark, matching(spark, pattern)).items()):
+        flat = flattened(document) if isinstance(document, dict) else {}
+        rows += [(path.rsplit("/", 2)[-2], k, float(v)) for k, v in flat.items() if isinstance(v, int | float) and not isinstance(v, bool)]
     if not rows:
         warnings.warn(f"no metric file matches {pattern}", stacklevel=2)
     return spark.createDataFrame(rows, "run STRING, metric STRING, value DOUBLE")
 
 
+EVALUATED = "image_id STRING, raw_output STRING, latency_seconds DOUBLE, parsed_output STRING, ground_truth STRING"
+
+
+def read_evaluated(spark: SparkSession, paths: dict[str, str], schema: str = EVALUATED) -> DataFrame:
+    """Evaluated predictions of several models, each a JSON array or JSON lines in a file of its own: model and the columns of `schema`."""
+    out = None
+    for model, path in paths.items():
+        lines = not spark.read.text(path).where(F.trim("value") != "").limit(1).where(F.ltrim("value").startswith("[")).count()
+        one = spark.read.schema(schema).option("multiLine", str(not lines)).option("mode", "FAILFAST").json(path).select(F.lit(model).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no model")
+    return out
+
+
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Saved samples, all splits or one; a path that doesn't exist is an error."""
     df = spark.read.parquet(path)
@@ -91,9 +124,22 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_target_cache(targets: DataFrame, path: str) -> None:
-    """image_id and target_json as JSON lines; a missing id becomes unknown_ and a row number."""
-    unknown = F.concat(F.lit("unknown_"), F.monotonically_increasing_id().cast("string"))
-    write_jsonl(targets.select(F.coalesce("image_id", unknown).alias("image_id"), "target_json"), path)
+    """image_id and target_json as JSON lines; a missing id becomes unknown_ and the row's number among those without one."""
+    named = targets.where(F.col("image_id").isNotNull()).select("image_id", "target_json")
+    nameless = targets.where(F.col("image_id").isNull())
+    if nameless.isEmpty():
+        write_jsonl(named, path)
+        return
+    numbered = nameless.select("target_json").rdd.zipWithIndex().map(lambda x: (f"unknown_{x[1]}", x[0][0]))  # counts per partition, no sort
+    write_jsonl(named.unionByName(targets.sparkSession.createDataFrame(numbered, "image_id STRING, target_json STRING")), path)
+
+
+def read_target_cache(spark: SparkSession, path: str, expected_rows: int | None = None) -> DataFrame:
+    """image_id and target_json of a cache; another number of rows than expected is an error."""
+    cache = read_jsonl(spark, path, TARGET_CACHE)
+    if expected_rows is not None and (found := cache.count()) != expected_rows:
+        raise ValueError(f"{path} has {found} targets, not {expected_rows}")
+    return cache
 
 
 def write_task_shards(shards: DataFrame, path: str) -> None:
@@ -103,12 +149,38 @@ def write_task_shards(shards: DataFrame, path: str) -> None:
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a CSV folder with a header: in the column order that is already there, unknown columns dropped."""
-    if glob.glob(os.path.join(path, "*.csv")):
+    if matching(df.sparkSession, f"{path}/*.csv"):
         have = df.sparkSession.read.option("header", True).csv(path).columns
         df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in have])
     df.write.mode("append").option("header", True).csv(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of all rows as the twin of a JSON-lines folder; rows pass through the driver one partition at a time."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=folder, suffix=".tmp")
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
+            f.write((",\n" if i else "\n") + row["j"])
+        f.write("\n]\n")
+    os.replace(temporary, path)
+
+
+def rows_to_csv(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """Overwrite a CSV folder with rows of the driver; nothing for no rows, and a key that the first row lacks is an error."""
+    if not rows:
+        return
+    columns = list(rows[0])
+    extra = {k for r in rows for k in r} - set(columns)
+    if extra:
+        raise ValueError(f"keys that the first row lacks: {sorted(extra)}")
+    text = lambda v: None if v is None else str(v)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    write_csv(spark.createDataFrame([tuple(text(r.get(c)) for c in columns) for r in rows], schema), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite a CSV folder; nothing is written for no rows."""
     if not df.isEmpty():
