@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HEAVY = 64
 #: Distinct light pairs held by a task before it passes their counts on.
 HELD_PAIRS = 500_000
@@ -82,9 +84,9 @@ def pair_counts(baskets: DataFrame, items: str, heavy: int = HEAVY) -> DataFrame
     joint * baskets / (rows_a * rows_b). Null items and repeats within a basket don't count. Texts are
     ordered by code point. An empty input gives no rows.
     """
-    n = baskets.count()
-    lists = baskets.select(F.col(items).alias("items"))
-    counts = item_counts(lists, "items")
+    lists = cut_lineage(baskets.select(F.col(items).alias("items")))  # written once, read for the size, the items and the pairs
+    n = lists.count()
+    counts = cut_lineage(item_counts(lists, "items"))
     frequent = [r["item"] for r in counts.where(F.col("rows") * heavy >= n).select("item").collect()]
     pairs = (
         lists.where(F.size("items") > 1)

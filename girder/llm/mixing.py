@@ -41,7 +41,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, plan: MixPlan) -> tuple[DataFr
     (null included) and without tokens are never used. Sources without documents, with a weight of 0 or
     less or max_repeats below 1 get no seats; their share goes to the others and shows in the report.
     Report: source, weight, documents, available, capacity, quota (blocks), uses, tokens, share, met (share
-    within one block or one longest document of the weight).
+    within one block or one longest document of the weight), total_tokens (the size of the mix that was
+    asked for or found) and limits_total (whether this source's capacity is what that size is due to).
     """
     usable = cut_lineage(sizes.where("source is not null and tokens > 0").select("doc_id", "source", "tokens"))
     ready = cut_lineage(capacities(usable, targets.select("source", F.col("weight").cast("double").alias("weight"), "max_repeats")))
@@ -82,8 +83,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, plan: MixPlan) -> tuple[DataFr
     report = ready.join(quota, "source", "left").join(taken, "source", "left").na.fill(0, ["quota", "uses", "tokens", "longest"])
     all_tokens = F.sum("tokens").over(Window.partitionBy())
     share = F.when(all_tokens > 0, F.col("tokens") / all_tokens).otherwise(F.lit(0.0))
+    scarcest = F.when((F.col("weight") > 0) & (F.col("capacity") > 0), F.col("capacity") / F.col("weight"))
+    limiting = F.coalesce(scarcest == F.min(scarcest).over(Window.partitionBy()), F.lit(False)) & F.lit(plan.total_tokens is None)
     slack = F.greatest(F.lit(plan.block_tokens), F.col("longest")) / F.greatest(all_tokens, F.lit(1))
     return used, report.select(
         "source", "weight", "max_repeats", "documents", "available", "capacity", "quota", "uses", "tokens",
-        share.alias("share"), (F.abs(share - F.col("weight")) <= slack).alias("met"),
+        share.alias("share"), (F.abs(share - F.col("weight")) <= slack).alias("met"), F.lit(total).cast("bigint").alias("total_tokens"), limiting.alias("limits_total"),
     )

@@ -65,7 +65,8 @@ def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, samp
     samples = table(spark, folder, "raw_sample")
     rows = samples.select("sample_id", "illumination", is_violated(F.col("rule_4_violation")).cast("bigint").alias("rule_4"))
     targets = table(spark, folder, "target_share").withColumnRenamed("share_pct", "share")
-    return rows, targets, sampling.SamplePlan("sample_id", ("illumination", "rule_4"), samples.count() // 10)
+    total = samples.count()
+    return rows, targets, sampling.SamplePlan("sample_id", ("illumination", "rule_4"), total // 10, rows=total)
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +79,7 @@ def _needed(rows: int) -> Column:
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:
     rows, targets, plan = _cells(spark, folder)
-    needed = _needed(rows.count())
+    needed = _needed(rows.count() if plan.rows is None else plan.rows)
     report = sampling.sample_report(rows, targets, plan)
     return report.withColumn("needed", needed).withColumn("short", F.greatest(needed - F.col("available"), F.lit(0)))
 
@@ -94,7 +95,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows is the check behind it; it alone decides a cell without a share, from which nothing is drawn.
     """
     rows, targets, plan = _cells(spark, folder)
-    floors = targets.withColumn("min_rows", _needed(rows.count()))
+    floors = targets.withColumn("min_rows", _needed(rows.count() if plan.rows is None else plan.rows))
     size = floors.agg(F.sum("min_rows")).first()[0] or 0
     report = sampling.sample_report(rows, floors, replace(plan, size=size))
     return report.where((F.col("taken") < F.col("min_rows")) & (F.col("available") < F.col("min_rows"))).select("illumination", "rule_4")
@@ -128,6 +129,14 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # p8: encoding
+def x12_chars_per_token(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source the answers, their characters and tokens, and the characters a token."""
+    answers = table(spark, folder, "predictions").select("source", F.coalesce(F.length("raw_output"), F.lit(0)).alias("chars"), "raw_output")
+    sizes = tokenizing.token_counts(answers, ["source", "chars"], "raw_output")
+    total = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("answers"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+    return total.withColumn("chars_per_token", F.round(F.when(F.col("tokens") > 0, F.col("chars") / F.col("tokens")).otherwise(0.0), 6))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encoded(table(spark, folder, "documents"), ["doc_id"], "text")
 
@@ -179,6 +188,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p8_ids": p8_ids,
+    "x12_chars_per_token": x12_chars_per_token,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
     "p10_accuracies": p10_accuracies,
@@ -207,6 +217,11 @@ p AS (SELECT j.*, a.n AS rows_a, b.n AS rows_b, (SELECT count(*) FROM raw_sample
 
 ORACLE = {
     "p4_found": f"WITH {_CELLS} SELECT illumination, rule_4 FROM t WHERE available < needed",
+    "p4_sample": f"""WITH {_CELLS.replace("SELECT illumination,", "SELECT sample_id, illumination,", 1)},
+k AS (SELECT r.*, t.share_pct, t.min_rows, CAST('0x' || substr(md5(concat_ws(':', '42', sample_id)), 1, 15) AS BIGINT) AS key FROM r JOIN t ON r.illumination = t.illumination AND r.rule_4 = t.rule_4),
+o AS (SELECT *, row_number() OVER (PARTITION BY illumination, rule_4 ORDER BY key, sample_id) AS n FROM k),
+p AS (SELECT *, CASE WHEN n <= min_rows THEN -1.0 / (1.0 + (n - 0.5) / share_pct) ELSE (n - 0.5) / share_pct END AS priority FROM o)
+SELECT sample_id, illumination, CAST(rule_4 AS BIGINT) AS rule_4 FROM p ORDER BY priority, illumination, rule_4, key, sample_id LIMIT (SELECT n // 10 FROM n)""",
     "p4_report": f"""WITH {_CELLS},
 ranks AS (SELECT illumination, rule_4, min_rows, share_pct, unnest(range(1, available + 1)) AS k FROM t),
 order_ AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= min_rows THEN -1.0 / (1.0 + (k - 0.5) / share_pct) ELSE (k - 0.5) / share_pct END, illumination, rule_4, k) AS place FROM ranks),

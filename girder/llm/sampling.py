@@ -19,12 +19,13 @@ from ..session import cut_lineage
 
 @dataclass(frozen=True)
 class SamplePlan:
-    """`cell`: the category columns; targets hold them, `share` (weights of any scale) and `min_rows`."""
+    """`cell`: the category columns; targets hold them, `share` (weights of any scale) and `min_rows`. `rows`: how many rows there are, if known."""
 
     id: str
     cell: tuple[str, ...]
     size: int
     seed: int = 42
+    rows: int | None = None
 
 
 def prioritised(rows: DataFrame, targets: DataFrame, plan: SamplePlan, total: int) -> DataFrame:
@@ -48,7 +49,7 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, plan: SamplePlan) -
     Ties of priority fall to the smaller cell, then to the smaller random key. An empty input or no
     target gives no rows.
     """
-    total = rows.count()
+    total = rows.count() if plan.rows is None else plan.rows
     ready = cut_lineage(prioritised(rows, targets, plan, total))
     return smallest(ready, "priority", [*plan.cell, "__key", plan.id], plan.size).select(plan.id, *plan.cell)
 
