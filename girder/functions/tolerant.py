@@ -199,8 +199,8 @@ def _numbers(value: Any) -> bool:
 
 
 class _Reader:
-    def __init__(self, seen: Counter) -> None:
-        self.seen = seen
+    def __init__(self, seen: Counter, rogue: bool) -> None:
+        self.seen, self.rogue = seen, rogue
         self.stack: list[_Open] = []
         self.root: Any = None
         self.done = False
@@ -238,7 +238,7 @@ class _Reader:
     def _open(self, closing: str) -> None:
         top = self.stack[-1] if self.stack else None
         if top is not None and closing == "]":
-            if top.is_list and top.state == "comma" and _numbers(top.value):
+            if self.rogue and top.is_list and top.state == "comma" and _numbers(top.value):
                 self.seen[ROGUE_BRACKET] += 1  # the numbers of one box go on
                 return
             if not top.is_list and top.state == "comma" and _numbers(top.value.get(top.key)):
@@ -276,17 +276,34 @@ class _Reader:
             self.stack[-1].put(top.value, self.seen)
 
 
+def _read(text: str, rogue: bool) -> tuple[Any, dict[str, int]]:
+    seen: Counter = Counter()
+    value = _Reader(seen, rogue).read(Scanner(text, seen).tokens())
+    return value, {event: n for event, n in seen.items() if n}
+
+
 def read_damaged(text: str) -> tuple[Any, dict[str, int]]:
     """The first object or list of the text and the mends made, by event; raises Unreadable.
 
-    What stands before the first bracket and after its closing is not looked at.
+    What stands before the first bracket and after its closing is not looked at. A list among the numbers
+    of a list is taken as such if the brackets then match; else its bracket may be a stray one.
     """
     starts = [i for c in "{[" if (i := text.find(c)) >= 0]
     if not starts:
         raise Unreadable("no bracket")
-    seen: Counter = Counter()
-    value = _Reader(seen).read(Scanner(text[min(starts) :], seen).tokens())
-    return value, {event: n for event, n in seen.items() if n}
+    text = text[min(starts) :]
+    try:
+        value, mends = _read(text, rogue=False)
+    except Unreadable:
+        return _read(text, rogue=True)
+    if mends.keys() & {TRUNCATED, WRONG_CLOSING}:
+        try:
+            other, fewer = _read(text, rogue=True)
+        except Unreadable:
+            return value, mends
+        if ROGUE_BRACKET in fewer and not fewer.keys() & {TRUNCATED, WRONG_CLOSING}:
+            return other, fewer
+    return value, mends
 
 
 def balanced_object(text: str) -> str | None:
