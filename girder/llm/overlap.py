@@ -41,7 +41,7 @@ ROW_BITS, TOGETHER = 8_192, 32
 CELL, SMALL_CELL, LEAST_PARTS = 32_768, 4_096, 4
 
 # Letters of other scripts that look like Latin ones, and the Latin ones.
-LOOKALIKES = str.maketrans(
+LOOKALIKES = (
     {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
      "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "ι": "i", "κ": "k", "υ": "u", "ε": "e"}
 )
@@ -53,9 +53,12 @@ _WORD = re.compile(r"\w+")
 def canonical(text: str) -> list[list[str]]:
     """The words of each sentence in one form: no case, marks, accents, invisible or look-alike characters."""
     if not text.isascii() or "&" in text:
-        text = unicodedata.normalize("NFKD", html.unescape(text))
-        text = "".join(c for c in _INVISIBLE.sub("", text) if not unicodedata.combining(c))
-        text = text.casefold().translate(LOOKALIKES)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", html.unescape(text)))
+        for mark in [c for c in set(text) if unicodedata.combining(c)]:
+            text = text.replace(mark, "")
+        text = text.casefold()
+        for letter in LOOKALIKES.keys() & set(text):
+            text = text.replace(letter, LOOKALIKES[letter])
     else:
         text = text.lower()
     return [words for s in _SENTENCE.split(text) if (words := _WORD.findall(s))]
@@ -82,18 +85,20 @@ def canonical_captions(records: DataFrame, keep: list[str], text: str) -> DataFr
     return _mapped(kept, ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keep) + ", canon STRING", make)
 
 
-def code_row(canon: str, known: dict[tuple[str, int], int]) -> np.ndarray:
+def code_row(canon: str, known: dict[str, list[int]]) -> np.ndarray:
     """A code of each word; the second use of a word is another word, so that shared words are shared codes."""
-    seen: dict[str, int] = {}
+    used: dict[str, int] = {}
     codes = []
     for w in canon.split():
-        n = seen[w] = seen.get(w, -1) + 1
-        code = known.get((w, n))
-        if code is None:
+        n = used[w] = used.get(w, -1) + 1
+        own = known.get(w)
+        if own is None:
             if len(known) > 200_000:
                 known.clear()
-            code = known[w, n] = xxhash.xxh64_intdigest(w, n) % CODES
-        codes.append(code)
+            own = known[w] = []
+        if n == len(own):
+            own.append(xxhash.xxh64_intdigest(w, n) % CODES)
+        codes.append(own[n])
     return np.array(codes, np.uint16)
 
 
@@ -101,7 +106,7 @@ def coded(classes: DataFrame) -> DataFrame:
     """(class_id, in_train, in_eval, words, codes): number of words, and the code of each as 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, int], int] = {}
+        known: dict[str, list[int]] = {}
         for batch in batches:
             rows = [code_row(c, known) for c in batch.column(1).to_pylist()]
             words, packed = pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())
