@@ -9,6 +9,7 @@ import ast
 import json
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
@@ -209,10 +210,10 @@ def language_of(text: str, expected: str) -> str | None:
     expected = re.split(r"[-_]", expected.strip().casefold())[0]
     scripts = SCRIPTS.get(expected, ("LATIN",))
     if not text.isascii() or scripts != ("LATIN",):
-        letters = [c for c in text if c.isalpha()]
-        foreign = [c for c in letters if not (c.isascii() and "LATIN" in scripts) and script_of(c) not in scripts]
-        if len(letters) >= 8 and len(foreign) > 0.5 * len(letters):
-            return script_of(foreign[0]).casefold()
+        letters = {c: n for c, n in Counter(text).items() if c.isalpha()}
+        foreign = {c: n for c, n in letters.items() if script_of(c) not in scripts}
+        if sum(letters.values()) >= 8 and sum(foreign.values()) > 0.5 * sum(letters.values()):
+            return script_of(next(iter(foreign))).casefold()
     own = _LANGUAGES.get(expected)
     if not own:
         return None

@@ -131,11 +131,13 @@ def declines(sentence: str) -> bool:
     """Whether a sentence has speaker, denial and act in one language, or a denied theme."""
     speakers: set[str] = set()
     themes: set[str] = set()
-    for token in _TOKEN.findall(sentence):
-        for word in {token, token[token.find("'") + 1 :]}:  # l'image is both
-            s, t = _roles(word)
-            speakers.update(s)
-            themes.update(t)
+    tokens = _TOKEN.findall(sentence)
+    if "'" in sentence:
+        tokens += [t.partition("'")[2] for t in tokens if "'" in t]  # l'image is image too
+    for spoken, meant in map(_roles, tokens):
+        if spoken or meant:
+            speakers.update(spoken)
+            themes.update(meant)
     if any(p.search(sentence) for lang in sorted(themes) for p in _THEMES[lang]):
         return True
     return any(denial.search(sentence) and act.search(sentence) for _, denial, act, _ in (_PARTS[lang] for lang in sorted(speakers)))
