@@ -66,13 +66,18 @@ def consensus_score(pairs: DataFrame, id: str, pred: str, ref: str, most: int =
     """
     kept = pairs.select(F.col(id).alias("row"), F.col(pred).alias("__p"), F.col(ref).alias("__r"))
     n_rows = kept.count()
+    hashed = lambda c: F.transform(tokens(F.col(c)), lambda w: F.xxhash64(w))
     # rows of one task stay in it until their n-grams are counted, so the occurrences are not shuffled
-    texts = kept.repartition("row").select("row", tokens(F.col("__p")).alias("p"), tokens(F.col("__r")).alias("r"))
-    occurrences = F.concat(*[_hashed_ngrams(side, n) for side in ("p", "r") for n in range(1, most + 1)])
+    texts = kept.repartition("row").select("row", hashed("__p").alias("p"), hashed("__r").alias("r"))
+    each = lambda side, n: F.transform(_ngram_hashes(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "p")).alias("in_p"), F.lit(int(side == "r")).alias("in_r")))
+    occurrences = F.concat(*[each(side, n) for side in ("p", "r") for n in range(1, most + 1)])
     counts = texts.select("row", F.inline(occurrences)).groupBy("row", "n", "g").agg(F.sum("in_p").alias("p"), F.sum("in_r").alias("r"))
-    df = counts.where("r > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    # many rows share a reference: its n-grams are taken once and weighted
+    refs = kept.groupBy("__r").agg(F.count(F.lit(1)).alias("k")).select("k", hashed("__r").alias("r"))
+    own = F.array_distinct(F.concat(*[_ngram_hashes(F.col("r"), n) for n in range(1, most + 1)]))
+    df = refs.select("k", F.explode(own).alias("g")).groupBy("g").agg(F.sum("k").alias("df"))
     idf = F.log(F.lit(float(max(n_rows, 1)))) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
-    both = counts.join(df, ["n", "g"], "left").withColumn("w", idf)
+    both = counts.join(df, "g", "left").withColumn("w", idf)
     sums = both.groupBy("row", "n").agg(
         F.sum(F.least("p", "r") * F.col("w") * F.col("r") * F.col("w")).alias("dot"),
         F.sqrt(F.sum(F.pow(F.col("p") * F.col("w"), 2))).alias("np"), F.sqrt(F.sum(F.pow(F.col("r") * F.col("w"), 2))).alias("nr"),
@@ -85,7 +90,7 @@ def consensus_score(pairs: DataFrame, id: str, pred: str, ref: str, most: int =
     )
 
 
-def _hashed_ngrams(side: str, n: int) -> Column:
-    """Structs (n, g, in_p, in_r) of the n-grams of one side, g being their 64-bit hash."""
-    of_side = lambda name: F.lit(int(side == name)).alias(f"in_{name}")
-    return F.transform(ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"), of_side("p"), of_side("r")))
+def _ngram_hashes(words: Column, n: int) -> Column:
+    """One 64-bit hash of each n-gram of hashed words; those of different n are different too."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)]))
