@@ -134,7 +134,7 @@ def loaded(text: str, start: int) -> tuple[Any, int] | None:
         pass
     try:
         return ast.literal_eval(body), end
-    except (ValueError, SyntaxError, RecursionError, MemoryError):
+    except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):
         return body, end
 
 

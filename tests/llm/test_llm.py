@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -83,6 +83,7 @@ def test_long_empty_values(text):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet='{}[]":,abc \n`\\\'', max_size=60))
+@example("{{}}")
 def test_reading_never_raises(text):
     reading = answers.read(text)
     answers.ending(reading)
