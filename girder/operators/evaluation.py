@@ -290,13 +290,14 @@ def caption_suite(rows: DataFrame, id: str, prefix: str = "", scorers: dict | No
         raise ValueError("CLIPScore needs the embeddings of images and of texts")
     pred, truth = caption_or_empty(F.col("parsed.caption")), caption_or_empty(F.col("sample.image_caption"))
     n = text.word_count(pred)
-    values = [F.avg(n).alias("words_avg"), F.min(n).alias("words_min"), F.max(n).alias("words_max"), F.avg(text.ngram_f1(pred, truth)).alias("ngram_f1")]
+    values = [F.avg(n).alias("words_avg"), F.min(n).alias("words_min"), F.max(n).alias("words_max")]
     values += [F.avg(scorer(pred, truth)).alias(name) for name, scorer in (scorers or {}).items()]
     if image is not None and embedding is not None:
         values.append(F.coalesce(F.avg(text.clip_score(F.col(image), F.col(embedding))), F.lit(0.0)).alias("clipscore"))
     one = rows.agg(*values)
-    consensus = text.consensus_score(rows.select(id, pred.alias("__p"), truth.alias("__t")), id, "__p", "__t").agg(F.avg("score").alias("ciderd"))
-    out = long(one, [], one.columns).unionByName(long(consensus, [], ["ciderd"]))
+    scores = text.caption_scores(rows.select(id, pred.alias("__p"), truth.alias("__t")), id, "__p", "__t")
+    both = scores.agg(F.avg("ngram_f1").alias("ngram_f1"), F.avg("score").alias("ciderd"))
+    out = long(one, [], one.columns).unionByName(long(both, [], both.columns))
     return out.withColumn("metric", F.concat(F.lit(prefix), "metric"))
 
 

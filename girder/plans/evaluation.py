@@ -91,7 +91,8 @@ def _task_rewards(rows: DataFrame) -> DataFrame:
 
 
 def _caption_suite(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cut_lineage(_scored(spark, folder).where("task = 'unified'").select("prediction_id", "parsed", "sample"))
+    captions = [F.struct("parsed.caption").alias("parsed"), F.struct("sample.image_caption").alias("sample")]  # nothing else is written
+    rows = cut_lineage(_scored(spark, folder).where("task = 'unified'").select("prediction_id", *captions))
     return _rounded(ev.caption_suite(rows, "prediction_id", "caption_"))
 
 
